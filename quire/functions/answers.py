@@ -6,7 +6,7 @@ exception, so one bad answer does not end a job over millions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
@@ -33,30 +33,24 @@ def _braces(text: Column) -> Column:
     return F.when(has, F.substring(text, first, last - first + 1))
 
 
-def json_text(raw: Column) -> Column:
-    """The JSON object of an answer that may be fenced or wrapped in prose."""
-    clean = js_trim(F.coalesce(raw, F.lit("")))
-    clean = F.regexp_replace(clean, rf"(?i)^```(?:json)?{fv.WS}*", "")
-    clean = F.regexp_replace(clean, rf"{fv.WS}*```\z", "")
+def strip_fence(clean: Column) -> Column:
+    opened = F.regexp_replace(clean, rf"(?i)^```(?:json)?{fv.WS}*", "")
+    return F.regexp_replace(opened, rf"{fv.WS}*```\z", "")
+
+
+def json_text(clean: Column) -> Column:
+    """The JSON object of an unfenced answer that may be wrapped in prose."""
     return F.when(F.startswith(clean, F.lit("{")) & F.endswith(clean, F.lit("}")), clean).otherwise(_braces(clean))
 
 
-def fenced_json_text(raw: Column) -> Column:
+def fenced_json_text(clean: Column) -> Column:
     """As above for reports: a ```json fence wins, else from the first ``{``."""
-    clean = js_trim(F.coalesce(raw, F.lit("")))
     fenced = F.regexp_extract(clean, rf"```json{fv.WS}*([\s\S]*?){fv.WS}*```", 1)
     text = F.when(fenced != "", fenced).otherwise(clean)
     first = F.instr(text, F.lit("{"))
     return F.when(first > 0, F.substr(text, first))
 
 
-def answer_error(raw: Column, parsed: Column) -> Column:
-    span = _braces(F.coalesce(raw, F.lit("")))
-    return F.when(span.isNull(), F.concat(F.lit("模型没有返回 JSON："), F.left(F.coalesce(raw, F.lit("")), F.lit(120)))).when(
-        parsed.isNull(), F.lit("模型返回的 JSON 解析不了")
-    )
-
-
 def _text(c: Column) -> Column:
     return js_trim(F.coalesce(c, F.lit("")))
 
@@ -68,14 +62,26 @@ def _strings(c: Column, limit: int, drop_empty: bool = False) -> Column:
     return F.slice(items, 1, limit)
 
 
-def page_answer(raw: Column) -> Column:
+def parsed(df: DataFrame, raw: Column, schema: str, fenced: bool = False) -> DataFrame:
+    """Adds ``_a``, the answer as a struct. The text is cut and parsed in steps of
+    their own, so no step is evaluated once per field that reads it."""
+    clean = js_trim(F.coalesce(raw, F.lit("")))
+    if fenced:
+        step = df.withColumn("_clean", clean).withColumn("_json", fenced_json_text(F.col("_clean")))
+    else:
+        step = df.withColumn("_clean", strip_fence(clean)).withColumn("_json", json_text(F.col("_clean")))
+    return step.withColumn("_a", F.from_json("_json", schema)).drop("_clean", "_json")
+
+
+def page_answers(df: DataFrame, raw: Column, out: str = "answer") -> DataFrame:
     """A page transcription; ``error`` is set when it holds neither text nor a note."""
-    a = F.from_json(json_text(raw), REFINE_SCHEMA)
-    markdown, note = _text(a["markdown"]), F.left(_text(a["note"]), F.lit(200))
+    a = F.col("_a")
+    staged = parsed(df, raw, REFINE_SCHEMA).withColumn("_md", _text(a["markdown"])).withColumn("_note", F.left(_text(a["note"]), F.lit(200)))
+    markdown, note = F.col("_md"), F.col("_note")
     no_text = F.coalesce(a["noText"], F.lit(False)) | ((markdown == "") & (note != ""))
     readable = F.coalesce(a["markdown"], a["note"], a["noText"].cast("string")).isNotNull()
     error = F.when(~readable, F.lit("模型没有返回有效 JSON。")).when((markdown == "") & ~no_text, F.lit("模型返回了空白 Markdown。"))
-    return F.struct(
+    answer = F.struct(
         markdown.alias("markdown"),
         no_text.alias("no_text"),
         note.alias("note"),
@@ -85,44 +91,53 @@ def page_answer(raw: Column) -> Column:
         _strings(a["uncertain"], 30, drop_empty=True).alias("uncertain"),
         error.alias("error"),
     )
+    return staged.withColumn(out, answer).drop("_a", "_md", "_note")
 
 
-def card_answer(raw: Column) -> Column:
+def card_answers(df: DataFrame, raw: Column, out: str = "card") -> DataFrame:
     """Title card: NULL unless at least one tag is left."""
-    a = F.from_json(json_text(raw), CARD_SCHEMA)
-    tags = F.transform(F.coalesce(a["tags"], F.array().cast("array<string>")), lambda t: F.left(js_trim(t), F.lit(24)))
-    tags = F.slice(F.filter(tags, lambda t: F.coalesce(t, F.lit("")) != ""), 1, 4)
-    return F.when(
-        F.size(tags) > 0,
-        F.struct(
-            tags.alias("tags"),
-            F.nullif(F.left(_text(a["title"]), F.lit(30)), F.lit("")).alias("title"),
-            F.nullif(F.left(_text(a["one_line"]), F.lit(60)), F.lit("")).alias("one_line"),
-            a["filename_meaningful"].alias("filename_meaningful"),
-        ),
+    a = F.col("_a")
+    cut = F.transform(F.coalesce(a["tags"], F.array().cast("array<string>")), lambda t: F.left(js_trim(t), F.lit(24)))
+    tags = F.slice(F.filter(cut, lambda t: F.coalesce(t, F.lit("")) != ""), 1, 4)
+    card = F.struct(
+        F.col("_tags").alias("tags"),
+        F.nullif(F.left(_text(a["title"]), F.lit(30)), F.lit("")).alias("title"),
+        F.nullif(F.left(_text(a["one_line"]), F.lit(60)), F.lit("")).alias("one_line"),
+        a["filename_meaningful"].alias("filename_meaningful"),
     )
+    staged = parsed(df, raw, CARD_SCHEMA).withColumn("_tags", tags)
+    return staged.withColumn(out, F.when(F.size("_tags") > 0, card)).drop("_a", "_tags")
 
 
-def narrative_answer(raw: Column, lang: str) -> Column:
+def narratives(df: DataFrame, raw: Column, lang: str, out: str = "narrative") -> DataFrame:
     """One language's recap; NULL when its headline is missing."""
-    a = F.from_json(fenced_json_text(raw), NARRATIVE_SCHEMA)
+    a = F.col("_a")
     part = a[lang]
     head = F.regexp_replace(_text(part["headline"]), r"[。.]+\z", "")
-    topics = F.filter(F.coalesce(a["topics"], F.array().cast("array<struct<tag:string,name_zh:string,desc_zh:string,name_en:string,desc_en:string>>")),
-                      lambda t: F.coalesce(t["tag"], F.lit("")) != "")
-    named = F.transform(topics, lambda t: F.struct(
+    tagged = F.filter(a["topics"], lambda t: F.coalesce(t["tag"], F.lit("")) != "")
+    topics = F.transform(tagged, lambda t: F.struct(
         t["tag"].alias("tag"),
         F.left(js_trim(F.coalesce(F.nullif(t[f"name_{lang}"], F.lit("")), t["tag"])), F.lit(40)).alias("name"),
         F.left(_text(t[f"desc_{lang}"]), F.lit(120)).alias("desc"),
     ))
-    return F.when(
-        F.coalesce(part["headline"], F.lit("")) != "",
-        F.struct(
-            F.left(head, F.lit(60 if lang == "zh" else 120)).alias("headline"),
-            F.left(_text(part["narrative"]), F.lit(800)).alias("narrative"),
-            named.alias("topics"),
-        ),
+    text = F.struct(
+        F.left(head, F.lit(60 if lang == "zh" else 120)).alias("headline"),
+        F.left(_text(part["narrative"]), F.lit(800)).alias("narrative"),
+        topics.alias("topics"),
     )
+    has = F.coalesce(part["headline"], F.lit("")) != ""
+    return parsed(df, raw, NARRATIVE_SCHEMA, fenced=True).withColumn(out, F.when(has, text)).drop("_a")
+
+
+def find_picks(df: DataFrame, raw: Column, schema: str = FIND_SCHEMA) -> DataFrame:
+    """A search answer's picks, one row each with their position; ``error`` rows
+    for answers that hold no readable JSON."""
+    staged = df.withColumn("_raw", F.coalesce(raw, F.lit(""))).withColumn("_span", _braces(F.col("_raw")))
+    a = staged.withColumn("_a", F.from_json("_span", schema))
+    error = F.when(F.col("_span").isNull(), F.concat(F.lit("模型没有返回 JSON："), F.left("_raw", F.lit(120)))).when(
+        F.col("_a.results").isNull(), F.lit("模型返回的 JSON 解析不了"))
+    picks = a.withColumn("error", error).select(*df.columns, "error", F.posexplode_outer("_a.results").alias("position", "_r"))
+    return picks.select(*df.columns, "error", "position", "_r.*")
 
 
 def command_step(command: Column, tool: str = "look") -> Column:

@@ -120,15 +120,12 @@ def word_snippets(pages: DataFrame, words: Sequence[str], per_doc: int = fv.SNIP
     """First snippets of each document, page by page and word by word."""
     needles = [w.lower() for w in words if w]
     body = F.lower(F.coalesce(F.col("markdown"), F.lit("")))
-    spots = F.concat(
-        *[
-            F.transform(
-                text.occurrence_offsets(F.col("_b"), w, per_doc),
-                lambda at, w=w, i=i: F.struct(F.lit(i).alias("word"), at.alias("at"), F.lit(len(w)).alias("size")),
-            )
-            for i, w in enumerate(needles)
-        ]
-    )
+
+    def spot(i: int, word: str) -> Column:
+        tagged = lambda at: F.struct(F.lit(i).alias("word"), at.alias("at"), F.lit(len(word)).alias("size"))
+        return F.transform(text.occurrence_offsets(F.col("_b"), word, per_doc), tagged)
+
+    spots = F.concat(*[spot(i, word) for i, word in enumerate(needles)])
     hits = (
         pages.withColumn("_b", body)
         .filter(_any([F.contains(F.col("_b"), F.lit(w)) for w in needles]))

@@ -1,4 +1,4 @@
 """Registered queries, grouped by what they read."""
 
-from quire.plans import ledger_queries, library_queries  # noqa: F401
+from quire.plans import ledger_queries, library_queries, page_queries, reflect_queries, search_queries  # noqa: F401
 from quire.plans.registry import ORACLE, QUERIES  # noqa: F401
