@@ -47,10 +47,13 @@ def clip(c: Column, size: int) -> Column:
     return F.when(F.char_length(c) > size, F.concat(F.left(c, F.lit(size)), F.lit(fv.ELLIPSIS))).otherwise(c)
 
 
+def flat_cell(c: Column) -> Column:
+    """Text fit for a ``|``-separated catalogue cell."""
+    return js_trim(squash(F.regexp_replace(F.coalesce(c, F.lit("")), r"[|\r\n\t]+", " ")))
+
+
 def clip_cell(c: Column, size: int) -> Column:
-    """Clip for a ``|``-separated catalogue cell."""
-    flat = F.regexp_replace(F.coalesce(c, F.lit("")), r"[|\r\n\t]+", " ")
-    return clip(js_trim(squash(flat)), size)
+    return clip(flat_cell(c), size)
 
 
 def line_count(c: Column) -> Column:

@@ -140,48 +140,49 @@ def _tolerance(size: float) -> float:
     return max(fv.ROW_TOLERANCE, size * fv.ROW_TOLERANCE_RATIO)
 
 
-def _rows(items: list[dict]) -> list[list[dict]]:
-    """Items to text rows, from the top. The first items' heights fall from row
-    to row, so the topmost row within an item's tolerance is found by bisection."""
-    rows: list[list[dict]] = []
+def _rows(y: list[float], size: list[float], order: list[int]) -> list[list[int]]:
+    """Runs, from the top, to rows of run numbers. The rows' first heights fall
+    from row to row, so the topmost row within a run's tolerance is found by
+    bisection; mostly it is the last one."""
+    rows: list[list[int]] = []
     heights: list[float] = []  # negated: rising
-    for item in sorted(items, key=lambda i: (-i["y"], i["x"])):
-        at = bisect_left(heights, -(item["y"] + _tolerance(item["size"])))
-        if at < len(rows):
-            rows[at].append(item)
+    for i in order:
+        reach = -(y[i] + _tolerance(size[i]))
+        if not heights or heights[-1] < reach:
+            rows.append([i])
+            heights.append(-y[i])
+        elif len(heights) == 1 or heights[-2] < reach:
+            rows[-1].append(i)
         else:
-            rows.append([item])
-            heights.append(-item["y"])
+            rows[bisect_left(heights, reach)].append(i)
     return rows
 
 
-def _row_text(row: list[dict]) -> str:
-    text, edge = "", 0.0
-    for item in sorted(row, key=lambda i: i["x"]):
-        gap = " " if text and item["x"] - edge > _tolerance(item["size"]) else ""
-        text += gap + item["text"]
-        edge = item["x"] + item["width"]
-    return strip(_SPACES.sub(" ", _ESCAPE.sub(r"\\\1", text)))
-
-
-def lines_to_markdown(items: list[dict]) -> str:
-    """Positioned text runs (text, x, y, width, size) of one page to Markdown:
-    size decides headings, marks decide lists, gaps decide paragraphs."""
-    sizes = sorted(i["size"] for i in items if i["size"] > 3)
+def lines_to_markdown(words: list[str], x: list[float], y: list[float], width: list[float], size: list[float]) -> str:
+    """Positioned text runs of one page to Markdown: size decides headings, marks
+    decide lists, gaps decide paragraphs."""
+    sizes = sorted(s for s in size if s > 3)
     body = sizes[len(sizes) // 2] if sizes else fv.BODY_SIZE_DEFAULT
+    order = sorted(range(len(words)), key=lambda i: (-y[i], x[i]))
     blocks: list[str] = []
     above = None
-    for row in _rows(items):
-        text = _row_text(row)
+    for row in _rows(y, size, order):
+        parts, edge = [], 0.0
+        for i in sorted(row, key=x.__getitem__):
+            if parts and x[i] - edge > _tolerance(size[i]):
+                parts.append(" ")
+            parts.append(words[i])
+            edge = x[i] + width[i]
+        text = strip(_SPACES.sub(" ", _ESCAPE.sub(r"\\\1", "".join(parts))))
         if not text:
             continue
-        size, y = sum(i["size"] for i in row) / len(row), row[0]["y"]
-        gap = 0 if above is None else above - y
-        above = y
+        mean, top = sum(size[i] for i in row) / len(row), y[row[0]]
+        gap = 0 if above is None else above - top
+        above = top
         number = _NUMBER.match(text)
-        if size > body * fv.HEADING_RATIO and len(text) < fv.HEADING_CHARS:
+        if mean > body * fv.HEADING_RATIO and len(text) < fv.HEADING_CHARS:
             blocks.append(f"### {text}")
-        elif size > body * fv.SUBHEADING_RATIO and len(text) < fv.SUBHEADING_CHARS:
+        elif mean > body * fv.SUBHEADING_RATIO and len(text) < fv.SUBHEADING_CHARS:
             blocks.append(f"#### {text}")
         elif _BULLET.match(text):
             blocks.append("- " + _BULLET.sub("", text))

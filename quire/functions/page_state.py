@@ -56,20 +56,36 @@ def draft_from_text(pages: DataFrame) -> DataFrame:
     )
 
 
-def validation_failures(
-    draft_md: Column, draft_formulas: Column, draft_options: Column, reply_md: Column, reply_no_text: Column
-) -> Column:
-    """Reasons why a reply must not replace the draft; empty when it may."""
-    text = F.coalesce(reply_md, F.lit(""))
-    before, after = visible_length(draft_md), visible_length(text)
+def validation_failures(draft: tuple[Column, Column, Column], reply: tuple[Column, Column, Column], blank: Column, no_text: Column) -> Column:
+    """Reasons why a reply must not replace the draft; empty when it may.
+    ``draft`` and ``reply`` are (visible length, formulas, options)."""
+    (before, formulas, options), (after, new_formulas, new_options) = draft, reply
     floor = F.greatest(F.lit(float(fv.SHORT_FLOOR)), before * F.lit(fv.SHORT_RATIO))
     checks = F.array(
-        F.when(js_trim(text) == "", F.lit(fv.FAIL_BLANK)),
+        F.when(blank, F.lit(fv.FAIL_BLANK)),
         F.when((before >= fv.SHORT_DRAFT) & (after < floor), F.lit(fv.FAIL_SHORT)),
-        F.when((draft_formulas > 0) & (count_formulas(text) < draft_formulas), F.lit(fv.FAIL_FORMULA)),
-        F.when((draft_options >= 2) & (count_options(text) < draft_options), F.lit(fv.FAIL_OPTION)),
+        F.when((formulas > 0) & (new_formulas < formulas), F.lit(fv.FAIL_FORMULA)),
+        F.when((options >= 2) & (new_options < options), F.lit(fv.FAIL_OPTION)),
     )
-    return F.when(F.coalesce(reply_no_text, F.lit(False)), _none()).otherwise(F.array_compact(checks))
+    return F.when(F.coalesce(no_text, F.lit(False)), _none()).otherwise(F.array_compact(checks))
+
+
+def checked(joined: DataFrame) -> DataFrame:
+    """Drafts joined with replies, plus the reply's metrics and the failed checks.
+    Each metric is a column of its own and so taken once."""
+    reply = F.coalesce(F.col("r_markdown"), F.lit(""))
+    metrics = joined.withColumns({
+        "_reply": reply,
+        "_final": js_trim(reply),
+        "_visible": visible_length(reply).cast("long"),
+        "_formulas": count_formulas(reply).cast("long"),
+        "_options": count_options(reply).cast("long"),
+    })
+    failures = validation_failures(
+        (F.col("char_count"), F.col("formula_count"), F.col("option_count")),
+        (F.col("_visible"), F.col("_formulas"), F.col("_options")),
+        F.col("_final") == "", F.col("r_no_text"))
+    return metrics.withColumn("_failures", failures)
 
 
 def apply_reply(joined: DataFrame) -> DataFrame:
@@ -79,17 +95,15 @@ def apply_reply(joined: DataFrame) -> DataFrame:
     error, model, provider, input_tokens, output_tokens, cost_usd. ``r_sent``
     is NULL where the page was not given to the model.
     """
-    md, reasons = F.col("markdown"), F.col("reasons")
-    reply = F.coalesce(F.col("r_markdown"), F.lit(""))
-    failures = validation_failures(md, F.col("formula_count"), F.col("option_count"), reply, F.col("r_no_text"))
+    md, reasons, reply, final = (F.col(c) for c in ("markdown", "reasons", "_reply", "_final"))
     step = (
         F.when(F.col("r_sent").isNull(), "local")
         .when(F.col("r_error").isNotNull(), "failed")
-        .when(F.size(failures) > 0, "rejected")
+        .when(F.size("_failures") > 0, "rejected")
         .when(F.coalesce(F.col("r_no_text"), F.lit(False)), "noText")
         .otherwise("ok")
     )
-    staged = joined.withColumn("_failures", failures).withColumn("_step", step)
+    staged = checked(joined).withColumn("_step", step)
     step = F.col("_step")
     used, adopted = step.isin("ok", "noText"), step == "ok"
     note = F.coalesce(F.col("r_note"), F.lit(""))
@@ -114,14 +128,13 @@ def apply_reply(joined: DataFrame) -> DataFrame:
     )
     answered = step.isin("ok", "noText", "rejected")
     pick = lambda ok, empty, keep: F.when(adopted, ok).when(step == "noText", empty).otherwise(keep)
-    final = js_trim(reply)
     out = staged.withColumn("_reasons", new_reasons)
     return out.select(
         "job_id",
         "page",
         pick(final, F.lit(""), md).alias("markdown"),
         F.when(step != "local", md).alias("raw_markdown"),
-        pick(visible_length(reply).cast("long"), F.lit(0).cast("long"), F.col("char_count")).alias("char_count"),
+        pick(F.col("_visible"), F.lit(0).cast("long"), F.col("char_count")).alias("char_count"),
         pick(line_count(final).cast("long"), F.lit(0).cast("long"), F.col("line_count")).alias("line_count"),
         F.when(used, "ai").otherwise(F.col("method")).alias("method"),
         F.when(step == "local", F.col("status"))
@@ -129,8 +142,8 @@ def apply_reply(joined: DataFrame) -> DataFrame:
         .otherwise("review")
         .alias("status"),
         F.col("_reasons").alias("reasons"),
-        pick(count_formulas(reply).cast("long"), F.lit(0).cast("long"), F.col("formula_count")).alias("formula_count"),
-        pick(count_options(reply).cast("long"), F.lit(0).cast("long"), F.col("option_count")).alias("option_count"),
+        pick(F.col("_formulas"), F.lit(0).cast("long"), F.col("formula_count")).alias("formula_count"),
+        pick(F.col("_options"), F.lit(0).cast("long"), F.col("option_count")).alias("option_count"),
         F.when(adopted, uncertain).when(step == "noText", _none()).alias("uncertain"),
         (step != "local").alias("ai_attempted"),
         F.when(step == "noText", F.lit(True)).alias("no_text"),

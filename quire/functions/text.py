@@ -17,7 +17,7 @@ _INLINE_JAVA = r"(?:^|[^\\$])\$((?>(?:[^$\n\\]++|\\.|\\)+)(?=\$)|[^\n]*\\)\$"
 
 
 def count_formulas(md: Column) -> Column:
-    return F.regexp_count(md, F.lit(_FORMULA_JAVA))
+    return F.when(F.contains(md, F.lit("$")), F.regexp_count(md, F.lit(_FORMULA_JAVA))).otherwise(0)
 
 
 def count_options(md: Column) -> Column:
@@ -54,19 +54,16 @@ def plain(c: Column) -> Column:
 
 def preview(md: Column) -> Column:
     """Opening of the body: own title, provenance, page headings, rules and
-    empty-page notes are skipped."""
-    lines = F.transform(F.split(F.coalesce(md, F.lit("")), "\n", -1), lambda x: F.struct(x.alias("raw"), js_trim(x).alias("cut")))
-    is_title = lambda x: x["cut"].rlike(rf"^#{fv.WS}")
-    title_at = F.array_position(F.transform(lines, is_title), F.lit(True))
-    own = (
-        lambda x: x["cut"].rlike(fv.PROVENANCE_LINE)
-        | x["cut"].rlike(fv.PAGE_HEADING_LINE)
-        | x["cut"].rlike(fv.RULE_LINE)
-        | x["cut"].rlike(fv.EMPTY_NOTE_LINE)
-    )
-    kept = F.filter(lines, lambda x, i: ~own(x) & ((i + 1) != title_at))
-    joined = F.array_join(F.transform(kept, lambda x: x["raw"]), " ")
-    return F.left(plain(link_text(joined)), F.lit(fv.PREVIEW_LENGTH))
+    empty-page notes are skipped. Lines are removed by anchored patterns, so the
+    text is never cut into an array of lines."""
+    text = F.coalesce(md, F.lit(""))
+    gap = f"[{fv.WS_SET.replace(chr(92) + 'n', '', 1)}]"  # white space inside a line
+    title = rf"(?dm)\A([\s\S]*?)^{gap}*#{gap}+[^{fv.WS_SET}][^\n]*$"
+    own = "|".join([
+        rf">{gap}*由[^，\n]*转换[^\n]*", rf"##{gap}+(?:PDF 第 [0-9]+ 页|第 [0-9]+ 张图){gap}*", rf"-{{3,}}{gap}*", rf"_\[[^\n]*\]_{gap}*",
+    ])
+    body = F.regexp_replace(F.regexp_replace(text, title, "$1"), rf"(?dm)^{gap}*(?:{own})$", "")
+    return F.left(plain(link_text(body)), F.lit(fv.PREVIEW_LENGTH))
 
 
 def card_content(md: Column) -> Column:
@@ -130,25 +127,27 @@ def wikilinks(md: Column) -> Column:
 
 # ---- occurrences ----------------------------------------------------------
 
-def quote(needle: str) -> str:
-    """Literal pattern for ``split``."""
-    return "\\Q" + needle.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+def literal(needle: str, ignore_case: bool = False) -> str:
+    """Pattern matching exactly the needle; with ``ignore_case`` ASCII letters,
+    and only those, match in either case, so offsets fit the text as it is."""
+    quoted = "\\Q" + needle.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    return f"(?i){quoted}" if ignore_case else quoted
 
 
-def count_occurrences(folded: Column, needle: str) -> Column:
-    """Non-overlapping occurrences, left to right."""
-    gone = F.char_length(folded) - F.char_length(F.replace(folded, F.lit(needle), F.lit("")))
+def count_occurrences(text: Column, needle: str) -> Column:
+    """Non-overlapping exact occurrences, left to right."""
+    gone = F.char_length(text) - F.char_length(F.replace(text, F.lit(needle), F.lit("")))
     return (gone / F.lit(len(needle))).cast("long")
 
 
-def occurrence_offsets(folded: Column, needle: str, limit: int | None = None) -> Column:
+def occurrence_offsets(text: Column, needle: str, limit: int | None = None, ignore_case: bool = False) -> Column:
     """Zero-based offsets of the first ``limit`` occurrences (all when None).
 
     A running sum over the lengths of the pieces between occurrences, so each
     character is visited once.
     """
     width = len(needle)
-    pieces = F.split(folded, quote(needle), -1 if limit is None else limit + 1)
+    pieces = F.split(text, literal(needle, ignore_case), -1 if limit is None else limit + 1)
     lengths = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.char_length(p))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("offsets"))
     return F.aggregate(

@@ -35,8 +35,9 @@ def _blocks_markdown(html: pd.Series, display: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def _lines_markdown(items: pd.Series) -> pd.Series:
-    return pd.Series([lines_to_markdown(list(page)) for page in items])
+def _lines_markdown(words: pd.Series, x: pd.Series, y: pd.Series, width: pd.Series, size: pd.Series) -> pd.Series:
+    pages = zip(words, x, y, width, size)
+    return pd.Series([lines_to_markdown(*(column.tolist() for column in page)) for page in pages])
 
 
 def _chunker(target: int):
@@ -96,12 +97,16 @@ def block_pages(pages: DataFrame, keys: list[str]) -> DataFrame:
 
 def text_layer_pages(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Pages from a text layer. ``items``: array of (text, x, y, width, size)."""
-    items = F.transform(
-        F.filter("items", lambda i: js_trim(i["text"]) != ""),
-        lambda i: F.struct(i["text"].alias("text"), *[i[c].cast("double").alias(c) for c in ("x", "y", "width")],
-                           F.greatest(F.lit(1.0), i["size"].cast("double")).alias("size")))
-    raw = F.array_join(F.transform("_items", lambda i: i["text"]), "")
-    rendered = pages.select(*keys, items.alias("_items")).withColumn("markdown", _lines_markdown("_items"))
+    runs = pages.select(*keys, F.filter("items", lambda i: js_trim(i["text"]) != "").alias("_items"))
+    part = lambda c: F.transform("_items", lambda i: i[c].cast("double"))
+    flat = runs.select(
+        *keys,
+        F.transform("_items", lambda i: i["text"]).alias("_words"),
+        *[part(c).alias(f"_{c}") for c in ("x", "y", "width")],
+        F.transform(part("size"), lambda v: F.greatest(F.lit(1.0), v)).alias("_size"),
+    )
+    raw = F.array_join("_words", "")
+    rendered = flat.withColumn("markdown", _lines_markdown("_words", "_x", "_y", "_width", "_size"))
     md, thin = F.col("markdown"), F.char_length(js_trim(raw)) < fv.THIN_TEXT
     return rendered.select(
         *keys, "markdown", *_metrics(md), F.when(md != "", "text").otherwise("empty").alias("method"),

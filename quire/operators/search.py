@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
 from quire.functions import text
-from quire.functions.base import ascii_fold, clip, clip_cell, or_else, parse_tags
+from quire.functions.base import clip, clip_cell, flat_cell, or_else, parse_tags
 from quire.operators.ordered import row_numbers
 
 
@@ -24,16 +24,17 @@ def needle_of(query: str) -> str:
     return needle if len(needle) >= 2 else ""
 
 
-def _matching(pages: DataFrame, needle: str, fold=ascii_fold) -> DataFrame:
-    folded = fold(F.coalesce(F.col("markdown"), F.lit("")))
-    return pages.withColumn("_f", folded).filter(F.contains(F.col("_f"), F.lit(needle)) if needle else F.lit(False))
+def _counted(pages: DataFrame, needle: str) -> DataFrame:
+    """Pages holding the needle, with its number of occurrences."""
+    if not needle:
+        return pages.filter(F.lit(False)).withColumn("_n", F.lit(0).cast("long"))
+    pattern = F.lit(text.literal(needle, ignore_case=True))
+    return pages.withColumn("_n", F.regexp_count("markdown", pattern).cast("long")).filter(F.col("_n") > 0)
 
 
 def hit_counts(pages: DataFrame, query: str) -> DataFrame:
     """Occurrences per document; no ranking, no limit."""
-    needle = needle_of(query)
-    count = text.count_occurrences(F.col("_f"), needle) if needle else F.lit(0).cast("long")
-    return _matching(pages, needle).groupBy("job_id").agg(F.sum(count).alias("hits"))
+    return _counted(pages, needle_of(query)).groupBy("job_id").agg(F.sum("_n").alias("hits"))
 
 
 def search(pages: DataFrame, query: str, limit: int = fv.SEARCH_LIMIT) -> DataFrame:
@@ -51,10 +52,9 @@ def search_hits(
     needle = needle_of(query)
     ranked = search(pages, query, limit)
     width = max(len(needle), 1)
-    found = _matching(pages, needle).join(ranked, "job_id", "left_semi")
-    each = found.select(
-        "job_id", "page", "markdown", F.explode(text.occurrence_offsets(F.col("_f"), needle or "\0", per_doc)).alias("at")
-    )
+    found = _counted(pages, needle).join(ranked, "job_id", "left_semi")
+    offsets = text.occurrence_offsets(F.col("markdown"), needle or "\0", per_doc, ignore_case=True)
+    each = found.select("job_id", "page", "markdown", F.explode(offsets).alias("at"))
     w = Window.partitionBy("job_id").orderBy("page", "at")
     first = each.withColumn("hit", F.row_number().over(w)).filter(F.col("hit") <= per_doc)
     return first.select(
@@ -144,7 +144,7 @@ def word_hits(pages: DataFrame, word: str, limit: int = fv.WORD_LIMIT) -> DataFr
 def read_window(pages: DataFrame, word: str, chars: int = fv.READ_CHARS) -> DataFrame:
     """Per document: the first page holding the word, and the text around it."""
     needle = word.lower()
-    found = _matching(pages, needle, F.lower)
+    found = pages.filter(F.contains(F.lower("markdown"), F.lit(needle)))
     first = found.groupBy("job_id").agg(F.min_by(F.struct("page", "markdown"), "page").alias("_p"))
     md = F.col("_p.markdown")
     at = F.instr(F.lower(md), F.lit(needle)) - 1
@@ -196,27 +196,39 @@ def resolve_prefixes(ids: DataFrame, refs: DataFrame) -> DataFrame:
 def catalog(done: DataFrame, budget: int = fv.CATALOG_BUDGET) -> DataFrame:
     """Numbered catalogue lines, newest first. Over the budget every line drops
     its one-liner and tags. Lines stay rows; the budget check is one sum."""
-    rows = row_numbers(
-        done, [F.col("created_at").desc(), F.col("id")], F.to_date("created_at"), out="n", descending=True
-    )
     c = fv.CATALOG_CLIP
     preview = F.col("preview") if "preview" in done.columns else F.lit(None).cast("string")
+    cells = done.select(
+        "id",
+        "created_at",
+        flat_cell(or_else(F.col("ai_title"), F.col("filename"))).alias("_title"),
+        flat_cell(or_else(F.col("ai_one_line"), preview)).alias("_line"),
+        flat_cell(F.array_join(parse_tags(F.col("tags")), fv.TAG_JOINER)).alias("_tags"),
+        flat_cell(F.col("filename")).alias("_file"),
+        F.coalesce("page_count", F.lit(0)).alias("_pages"),
+    )
 
-    def line(full: bool) -> Column:
+    def body(full: bool) -> Column:
         return F.concat_ws(
             " | ",
-            F.col("n").cast("string"),
             F.date_format("created_at", "yyyy-MM-dd"),
-            clip_cell(or_else(F.col("ai_title"), F.col("filename")), c["title"]),
-            clip_cell(or_else(F.col("ai_one_line"), preview), c["one_line"]) if full else F.lit(""),
-            clip_cell(F.array_join(parse_tags(F.col("tags")), fv.TAG_JOINER), c["tags"]) if full else F.lit(""),
-            clip_cell(F.col("filename"), c["filename"]),
-            F.concat(F.coalesce("page_count", F.lit(0)).cast("string"), F.lit("页")),
+            clip(F.col("_title"), c["title"]),
+            clip(F.col("_line"), c["one_line"]) if full else F.lit(""),
+            clip(F.col("_tags"), c["tags"]) if full else F.lit(""),
+            clip(F.col("_file"), c["filename"]),
+            F.concat(F.col("_pages").cast("string"), F.lit("页")),
         )
 
-    both = rows.select("n", "id", line(True).alias("_full"), line(False).alias("_short"))
-    size = both.select(F.sum(F.char_length("_full") + 1) - 1).scalar()
-    return both.select("n", "id", F.when(size > budget, F.col("_short")).otherwise(F.col("_full")).alias("line"))
+    # the numbers 1..N take N digits, plus one more for each number from 10, from 100, ...
+    count = F.count(F.lit(1))
+    digits = sum((F.greatest(F.lit(0), count - 10**k + 1) for k in range(1, 18)), count)
+    size = cells.select(F.sum(F.char_length(body(True)) + len(" | ") + 1) + digits - 1).scalar()
+    line = F.when(size > budget, body(False)).otherwise(body(True))
+    lines = cells.select("id", "created_at", line.alias("_body"))
+    numbered = row_numbers(
+        lines, [F.col("created_at").desc(), F.col("id")], F.to_date("created_at"), out="n", descending=True
+    )
+    return numbered.select("n", "id", F.concat_ws(" | ", F.col("n").cast("string"), "_body").alias("line"))
 
 
 def find_results(answers: DataFrame, catalog_rows: DataFrame, limit: int = fv.FIND_RESULTS) -> DataFrame:

@@ -38,9 +38,8 @@ def fast_pages(spark, folder):
 select job_id, page, array_to_string(failures, '|') failures from stepped where len(failures) > 0""")
 def validate_pages(spark, folder):
     joined = lib_drafts(spark, folder).join(lib_replies(spark, folder), ["job_id", "page"])
-    failures = page_state.validation_failures(
-        F.col("markdown"), F.col("formula_count"), F.col("option_count"), F.col("r_markdown"), F.col("r_no_text"))
-    return joined.select("job_id", "page", JOIN(failures).alias("failures")).filter(F.col("failures") != "")
+    failed = page_state.checked(joined).filter(F.size("_failures") > 0)
+    return failed.select("job_id", "page", JOIN("_failures").alias("failures"))
 
 
 @query("apply_replies", with_(FINALS) + """
