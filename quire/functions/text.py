@@ -9,11 +9,12 @@ from quire import fixed_values as fv
 from quire.functions.base import js_trim, js_trim_end, js_trim_start, squash
 
 # The formula pattern, shaped for a backtracking engine: the run between two
-# dollars is taken atomically, and a dollar behind a backslash closes only when
-# the line holds no plain one. Same matches, no recursion per character.
-_FORMULA_JAVA = r"\$\$[\s\S]*?\$\$|\$(?>(?:[^$\n\\]++|\\.|\\)+)\$|\$[^\n]*\\\$"
+# dollars is taken possessively (a loop, where a plain group would recurse once
+# per character), and a dollar behind a backslash closes only when the line holds
+# no plain one. The matches are the same.
+_FORMULA_JAVA = r"\$\$[\s\S]*?\$\$|\$(?:[^$\n\\]++|\\.|\\)++\$|\$[^\n]*\\\$"
 
-_INLINE_JAVA = r"(?:^|[^\\$])\$((?>(?:[^$\n\\]++|\\.|\\)+)(?=\$)|[^\n]*\\)\$"
+_INLINE_JAVA = r"(?:^|[^\\$])\$((?:[^$\n\\]++|\\.|\\)++(?=\$)|[^\n]*\\)\$"
 
 
 def count_formulas(md: Column) -> Column:

@@ -107,11 +107,12 @@ def write_merged(documents: DataFrame, order: list[Column], folder: str) -> None
 
 def write_documents(pages: DataFrame, folder: str) -> None:
     """Document files as sorted page sections, written without holding a document:
-    one folder per document, sections sorted inside each task."""
-    sections = page_sections(pages).repartition("job_id", F.floor(F.col("page") / 1000))
+    one folder per document and thousand pages, sections in page order."""
+    ranged = page_sections(pages).withColumn("from_page", F.floor(F.col("page") / 1000) * 1000)
     (
-        sections.withColumn("from_page", F.floor(F.col("page") / 1000) * 1000)
-        .sortWithinPartitions("job_id", "page")
+        ranged.repartition("job_id", "from_page")
+        # starts with the partition columns, so the writer keeps this order
+        .sortWithinPartitions("job_id", "from_page", "page")
         .select("job_id", "from_page", F.col("section").alias("value"))
         .write.mode("overwrite").partitionBy("job_id", "from_page").text(folder)
     )
