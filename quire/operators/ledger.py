@@ -110,12 +110,12 @@ def spend_since(calls: DataFrame, now: Column, hours: int = fv.SPEND_WINDOW_HOUR
     )
 
 
-def rolling_spend(calls: DataFrame, hours: int = fv.SPEND_WINDOW_HOURS, bucket_minutes: int = 15) -> DataFrame:
+def rolling_spend(calls: DataFrame, hours: int = fv.SPEND_WINDOW_HOURS) -> DataFrame:
     """Spend in the window that ends at each call instant, start excluded.
 
     The window is global, so it is not run as one sort: spend is first summed
     per instant, and ``total up to t`` less ``total up to t - window`` comes from
-    one bucketed running total over both kinds of points.
+    one running total over both kinds of points.
     """
     spent = calls.groupBy("ts").agg(F.coalesce(F.sum(money(F.col("cost_usd"))), F.lit(0).cast(MONEY)).alias("v"))
     back = F.timestamp_add("HOUR", F.lit(-hours), F.col("ts"))
@@ -128,10 +128,8 @@ def rolling_spend(calls: DataFrame, hours: int = fv.SPEND_WINDOW_HOURS, bucket_m
             )
         )
     )
-    step = bucket_minutes * 60
-    bucket = F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / step)
     order = [F.col("at").asc(), F.col("kind").asc(), F.col("owner").asc()]
-    totals = running_total(points, F.col("v"), order, bucket, out="upto")
+    totals = running_total(points, F.col("v"), order, out="upto")
     pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("upto")))
     return totals.groupBy(F.col("owner").alias("ts")).agg(_usd(pick(0) - pick(1)).alias("usd"))
 

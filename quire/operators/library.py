@@ -170,7 +170,7 @@ def timeline(done: DataFrame, batches: DataFrame) -> DataFrame:
 
     A run of singles ends at a day's edge or at a batch, so its number is the
     count of the batches that come before it that day: a running total over
-    hours, not a sort of the whole library.
+    ranges of rows, not a sort of the whole library.
     """
     singles = done.filter(F.col("batch_id").isNull()).select(
         F.col("id").alias("entry"), "updated_at", F.lit(0).alias("is_batch"), F.lit(1).cast("long").alias("docs")
@@ -182,7 +182,7 @@ def timeline(done: DataFrame, batches: DataFrame) -> DataFrame:
     entries = singles.unionByName(grouped).withColumn("day", F.to_date("updated_at"))
     order = [F.col("updated_at").desc(), F.col("is_batch").asc(), F.col("entry")]
     counted = running_total(
-        entries, F.col("is_batch").cast("long"), order, F.date_trunc("hour", "updated_at"), ["day"], "run", descending=True
+        entries, F.col("is_batch").cast("long"), order, ["day"], "run"
     )
     key = F.when(F.col("is_batch") == 1, F.concat(F.lit("batch:"), "entry")).otherwise(
         F.concat(F.lit("run:"), F.col("run").cast("string"))
@@ -201,9 +201,7 @@ def unique_entry_names(done: DataFrame) -> DataFrame:
     """Archive entry names; a repeated base gets `` (2)``, `` (3)`` by arrival."""
     base = files.safe_entry_name(F.col("filename"), F.left("id", F.lit(fv.SHORT_ID)))
     rows = done.select("id", "created_at", base.alias("base"))
-    numbered = row_numbers(
-        rows, [F.col("created_at").desc(), F.col("id")], F.to_date("created_at"), ["base"], "n", descending=True
-    )
+    numbered = row_numbers(rows, newest_first(), ["base"])
     suffix = F.when(F.col("n") > 1, F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise(F.lit(""))
     return numbered.select("id", F.concat("base", suffix, F.lit(".md")).alias("entry"))
 

@@ -1,10 +1,11 @@
 """Running values over a total order without a single-task window.
 
-A window over all rows, or over one hot key, sorts them in one task. Here the
-order is cut into buckets (a monotone function of the leading order column): a
-window runs inside each bucket, and the totals of the buckets before it, one
-row a bucket, are added by an equi-join. The work is spread over the buckets,
-and results are the same as those of the plain window.
+A window over all rows, or over one hot key, sorts them in one task. Here rows
+are first cut into ranges of (keys, order) by sampled bounds, so the ranges are
+of like size however skewed keys or times are: one key, one day or one instant
+with a third of all rows is cut like any other stretch. A window then runs inside
+each range, and the totals of the ranges before it, one row per key and range,
+are added by an equi-join. The results are those of the plain window.
 """
 
 from __future__ import annotations
@@ -14,41 +15,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import written
 
-def running_total(
-    df: DataFrame,
-    value: Column,
-    order: Sequence[Column],
-    bucket: Column,
-    keys: Sequence[str] = (),
-    out: str = "running",
-    how: str = "sum",
-    descending: bool = False,
-) -> DataFrame:
-    """``value`` totalled (``how``: sum or max) up to and including each row.
-
-    ``order`` must be total within ``keys``; ``bucket`` must rise with it (fall,
-    with ``descending``). Key and bucket columns must not be NULL.
-    """
+RANGE = "_range"
+
+
+def cut(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """Rows with the number of their range, as a written table: the range of a row
+    must be the same for every later use, also after a lost executor."""
+    count = ranges or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(count, *keys, *order).withColumn(RANGE, F.spark_partition_id()), "ranges")
+
+
+def running(rows: DataFrame, value: Column, order: Sequence[Column], keys: Sequence[str] = (), out: str = "running", how: str = "sum") -> DataFrame:
+    """``value`` totalled (``how``: sum or max) up to and including each row of a
+    ``cut`` table. ``order`` must be total within ``keys``; keys must not be NULL."""
     fold = F.sum if how == "sum" else F.max
-    cols = list(keys)
-    rows = df.withColumn("_bucket", bucket).withColumn("_value", value)
-    totals = rows.groupBy(*cols, "_bucket").agg(fold("_value").alias("_total"))
-    turn = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    # one row per key and bucket: the number of buckets is bounded by the span of the order column
-    before = Window.partitionBy(*cols).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    prior = totals.select(*cols, "_bucket", fold("_total").over(before).alias("_prior"))
-    within = Window.partitionBy(*cols, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    valued = rows.withColumn("_value", value)
+    totals = valued.groupBy(*keys, RANGE).agg(fold("_value").alias("_total"))
+    # at most one row per key and range; without keys, one row per range
+    before = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    prior = totals.select(*keys, RANGE, fold("_total").over(before).alias("_prior"))
+    within = Window.partitionBy(*keys, RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = fold("_value").over(within)
-    joined = rows.join(prior, [*cols, "_bucket"])
-    if how == "sum":
-        result = F.coalesce(F.col("_prior"), F.lit(0)) + local
-    else:
-        result = F.greatest(F.col("_prior"), local)
-    return joined.withColumn(out, result).drop("_bucket", "_value", "_prior")
-
-
-def row_numbers(
-    df: DataFrame, order: Sequence[Column], bucket: Column, keys: Sequence[str] = (), out: str = "n", descending: bool = False
-) -> DataFrame:
-    return running_total(df, F.lit(1).cast("long"), order, bucket, keys, out, "sum", descending)
+    joined = valued.join(prior, [*keys, RANGE])
+    total = F.coalesce(F.col("_prior"), F.lit(0)) + local if how == "sum" else F.greatest(F.col("_prior"), local)
+    return joined.withColumn(out, total).drop("_value", "_prior")
+
+
+def running_total(df: DataFrame, value: Column, order: Sequence[Column], keys: Sequence[str] = (), out: str = "running", how: str = "sum") -> DataFrame:
+    return running(cut(df, order, keys), value, order, keys, out, how).drop(RANGE)
+
+
+def row_numbers(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), out: str = "n") -> DataFrame:
+    return running_total(df, F.lit(1).cast("long"), order, keys, out)

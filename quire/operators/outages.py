@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
-from quire.operators.ordered import running_total
+from quire.operators.ordered import cut, running
 
 
 def breaker_trips(attempts: DataFrame, threshold: int = fv.BREAKER_FAILURES, seconds: int = fv.BREAKER_SECONDS) -> DataFrame:
@@ -14,15 +14,13 @@ def breaker_trips(attempts: DataFrame, threshold: int = fv.BREAKER_FAILURES, sec
 
     ``attempts``: lane, ts, event_id, failed. The count starts again after a trip
     and after a success. Failures in a row are the running failure count less its
-    value at the last success; both are bucketed running totals, so one lane with
-    a third of all attempts is still spread over its hours.
+    value at the last success: two running values over one cut of the rows.
     """
-    hour = F.date_trunc("hour", "ts")
     order = [F.col("ts").asc(), F.col("event_id").asc()]
     one = F.when(F.col("failed"), F.lit(1)).otherwise(F.lit(0)).cast("long")
-    counted = running_total(attempts, one, order, hour, ["lane"], "fails")
+    counted = running(cut(attempts, order, ["lane"]), one, order, ["lane"], "fails")
     at_success = F.when(~F.col("failed"), F.col("fails")).otherwise(F.lit(0).cast("long"))
-    based = running_total(counted, at_success, order, hour, ["lane"], "base", how="max")
+    based = running(counted, at_success, order, ["lane"], "base", how="max")
     row = F.col("fails") - F.coalesce("base", F.lit(0))
     return based.filter(F.col("failed") & (row % threshold == 0)).select(
         "lane", "ts", "event_id", F.timestamp_add("SECOND", F.lit(seconds), F.col("ts")).alias("down_until")

@@ -141,11 +141,12 @@ def assembled(pages: DataFrame, titles: DataFrame, mode: str = "ai", maker: str
     sections without ever holding a document in memory.
     """
     unit = "张图" if noun == "图" else "页"
-    g = page_sections(pages, noun).groupBy("job_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "section"))), lambda x: x["section"]), "\n").alias("_body"),
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if(F.col("method") == "ai").alias("_ai"),
+    joined = lambda at, part: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, part))), lambda x: x[part]), "\n")
+    # first stretches of pages, then the stretches: no task gathers a long document page by page
+    stretches = page_sections(pages, noun).groupBy("job_id", F.floor(F.col("page") / 256).alias("stretch")).agg(
+        joined("page", "section").alias("text"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("method") == "ai").alias("ai")
     )
+    g = stretches.groupBy("job_id").agg(joined("stretch", "text").alias("_body"), F.sum("n").alias("_n"), F.sum("ai").alias("_ai"))
     how = {
         "ai": F.concat(F.lit("由视觉模型直接识别 "), F.col("_ai").cast("string"), F.lit("/"), F.col("_n").cast("string"),
                        F.lit(" 页；PDF 文字层作为提示与回退，识别未通过校验的页面回退文字层。")),

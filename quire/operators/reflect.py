@@ -135,14 +135,17 @@ def topics(done: DataFrame, period: Period) -> DataFrame:
     )
     order = [F.col("pages").desc(), F.col("seen").asc()]
     top = per_tag.orderBy(*order).limit(fv.TOP_TOPICS)
-    rest = (
-        per_tag.join(top.select("tag"), "tag", "left_anti")
-        .agg(F.sum("pages").alias("pages"), F.sum("docs").alias("docs"))
-        .filter(F.col("pages").isNotNull())
-        .select(F.lit(fv.OTHER_TOPIC).alias("tag"), "pages", "docs", F.lit(1).alias("last"), F.lit(None).cast("struct<created_at:timestamp_ntz,id:string>").alias("seen"))
+    # every document is in one topic: the rest is all documents less the top five
+    size = items.select(F.struct(F.sum("w").alias("pages"), F.count(F.lit(1)).alias("docs"))).scalar()
+    head = top.groupBy().agg(
+        F.collect_list(F.struct("pages", "docs", "seen", "tag")).alias("five"), F.sum("pages").alias("p"), F.sum("docs").alias("d")
     )
-    head = top.select("tag", "pages", "docs", F.lit(0).alias("last"), "seen")
-    six = head.unionByName(rest)
+    no_date = F.lit(None).cast("struct<created_at:timestamp_ntz,id:string>")
+    other = F.struct(
+        (size["pages"] - F.col("p")).alias("pages"), (size["docs"] - F.col("d")).alias("docs"), no_date.alias("seen"), F.lit(fv.OTHER_TOPIC).alias("tag")
+    )
+    all_six = F.when(size["docs"] > F.col("d"), F.concat("five", F.array(other))).otherwise(F.col("five"))
+    six = head.select(F.inline(all_six)).withColumn("last", (F.col("tag") == fv.OTHER_TOPIC).cast("int"))
     # at most six rows from here on
     w = Window.orderBy("last", F.col("pages").desc(), "seen")
     whole = Window.partitionBy(F.lit(1))
@@ -176,7 +179,7 @@ def fingerprint(done: DataFrame, period: Period) -> DataFrame:
 def sample(done: DataFrame, period: Period, cap: int = fv.SAMPLE_CAP) -> DataFrame:
     """Evenly spaced documents for a prompt: all of them up to ``cap``."""
     items = done.filter(period.current()).select("id", "created_at")
-    numbered = row_numbers(items, [F.col("created_at").asc(), F.col("id")], F.to_date("created_at"), out="n")
+    numbered = row_numbers(items, [F.col("created_at").asc(), F.col("id")])
     total = items.select(F.count(F.lit(1))).scalar()
     slot = F.ceil((F.col("n") - 1) * F.lit(cap) / total)
     spaced = (slot < cap) & (F.floor(slot * (total / F.lit(float(cap)))) == F.col("n") - 1)

@@ -179,14 +179,14 @@ def outline(pages: DataFrame, limit: int = fv.OUTLINE_LIMIT) -> DataFrame:
 def resolve_prefixes(ids: DataFrame, refs: DataFrame) -> DataFrame:
     """Short ids to full ids: at least four characters and exactly one match.
 
-    An id is expanded to its own prefixes of the lengths asked for (at most the
-    length of an id), counts are partially added before the shuffle, and the
-    join is an equality.
+    An id is expanded to its prefixes of the lengths asked for, counts are partly
+    added before the shuffle, and the join is an equality.
     """
     wanted = refs.select(F.lower("ref").alias("ref")).filter(F.char_length("ref") >= fv.MIN_PREFIX).distinct()
-    prefixes = ids.select(
-        "id", F.explode(F.transform(F.sequence(F.least(F.lit(fv.MIN_PREFIX), F.char_length("id")), F.char_length("id")), lambda n: F.left("id", n))).alias("ref")
-    ).filter(F.char_length("ref") >= fv.MIN_PREFIX)
+    # the lengths asked for, usually one: a set no larger than the longest reference
+    lengths = wanted.select(F.collect_set(F.char_length("ref"))).scalar()
+    each = ids.select("id", F.explode(lengths).alias("_n")).filter(F.char_length("id") >= F.col("_n"))
+    prefixes = each.select("id", F.left("id", F.col("_n")).alias("ref"))
     counted = prefixes.groupBy("ref").agg(F.count(F.lit(1)).alias("matches"), F.min("id").alias("id"))
     return wanted.join(counted, "ref", "left").select(
         "ref", F.coalesce("matches", F.lit(0)).alias("matches"), F.when(F.col("matches") == 1, F.col("id")).alias("id")
@@ -225,9 +225,7 @@ def catalog(done: DataFrame, budget: int = fv.CATALOG_BUDGET) -> DataFrame:
     size = cells.select(F.sum(F.char_length(body(True)) + len(" | ") + 1) + digits - 1).scalar()
     line = F.when(size > budget, body(False)).otherwise(body(True))
     lines = cells.select("id", "created_at", line.alias("_body"))
-    numbered = row_numbers(
-        lines, [F.col("created_at").desc(), F.col("id")], F.to_date("created_at"), out="n", descending=True
-    )
+    numbered = row_numbers(lines, [F.col("created_at").desc(), F.col("id")])
     return numbered.select("n", "id", F.concat_ws(" | ", F.col("n").cast("string"), "_body").alias("line"))
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "quire", shuffle_partitions: int = 8) -> SparkSession:
@@ -41,6 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_folder(spark.sparkContext.applicationId)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: lineage ends there, so later
+    uses agree with each other and outlive lost executors. Tables stay until the
+    folder's own clean-up takes them."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @lru_cache
 def _local_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"quire-{application}-")
