@@ -49,7 +49,7 @@ def clip(c: Column, size: int) -> Column:
 
 def flat_cell(c: Column) -> Column:
     """Text fit for a ``|``-separated catalogue cell."""
-    return js_trim(squash(F.regexp_replace(F.coalesce(c, F.lit("")), r"[|\r\n\t]+", " ")))
+    return js_trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"[|{fv.WS_SET}]+", " "))
 
 
 def clip_cell(c: Column, size: int) -> Column:

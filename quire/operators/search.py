@@ -197,16 +197,17 @@ def catalog(done: DataFrame, budget: int = fv.CATALOG_BUDGET) -> DataFrame:
     """Numbered catalogue lines, newest first. Over the budget every line drops
     its one-liner and tags. Lines stay rows; the budget check is one sum."""
     c = fv.CATALOG_CLIP
-    preview = F.col("preview") if "preview" in done.columns else F.lit(None).cast("string")
-    cells = done.select(
-        "id",
-        "created_at",
-        flat_cell(or_else(F.col("ai_title"), F.col("filename"))).alias("_title"),
-        flat_cell(or_else(F.col("ai_one_line"), preview)).alias("_line"),
-        flat_cell(F.array_join(parse_tags(F.col("tags")), fv.TAG_JOINER)).alias("_tags"),
-        flat_cell(F.col("filename")).alias("_file"),
-        F.coalesce("page_count", F.lit(0)).alias("_pages"),
-    )
+    sources = [x for x in ("ai_title", "filename", "ai_one_line", "preview", "tags", "page_count") if x in done.columns]
+    rows = done.select("id", "created_at", *sources)
+    preview = F.col("preview") if "preview" in sources else F.lit(None).cast("string")
+
+    def cells(df: DataFrame) -> DataFrame:
+        return df.withColumns({
+            "_title": flat_cell(or_else(F.col("ai_title"), F.col("filename"))),
+            "_line": flat_cell(or_else(F.col("ai_one_line"), preview)),
+            "_tags": flat_cell(F.array_join(parse_tags(F.col("tags")), fv.TAG_JOINER)),
+            "_file": flat_cell(F.col("filename")),
+        })
 
     def body(full: bool) -> Column:
         return F.concat_ws(
@@ -216,17 +217,17 @@ def catalog(done: DataFrame, budget: int = fv.CATALOG_BUDGET) -> DataFrame:
             clip(F.col("_line"), c["one_line"]) if full else F.lit(""),
             clip(F.col("_tags"), c["tags"]) if full else F.lit(""),
             clip(F.col("_file"), c["filename"]),
-            F.concat(F.col("_pages").cast("string"), F.lit("页")),
+            F.concat(F.coalesce("page_count", F.lit(0)).cast("string"), F.lit("页")),
         )
 
     # the numbers 1..N take N digits, plus one more for each number from 10, from 100, ...
     count = F.count(F.lit(1))
     digits = sum((F.greatest(F.lit(0), count - 10**k + 1) for k in range(1, 18)), count)
-    size = cells.select(F.sum(F.char_length(body(True)) + len(" | ") + 1) + digits - 1).scalar()
+    size = cells(rows).select(F.sum(F.char_length(body(True)) + len(" | ") + 1) + digits - 1).scalar()
+    # numbered before the text is made: ranges are cut over the short columns
+    numbered = cells(row_numbers(rows, [F.col("created_at").desc(), F.col("id")]))
     line = F.when(size > budget, body(False)).otherwise(body(True))
-    lines = cells.select("id", "created_at", line.alias("_body"))
-    numbered = row_numbers(lines, [F.col("created_at").desc(), F.col("id")])
-    return numbered.select("n", "id", F.concat_ws(" | ", F.col("n").cast("string"), "_body").alias("line"))
+    return numbered.select("n", "id", F.concat_ws(" | ", F.col("n").cast("string"), line).alias("line"))
 
 
 def find_results(answers: DataFrame, catalog_rows: DataFrame, limit: int = fv.FIND_RESULTS) -> DataFrame:
