@@ -151,3 +151,37 @@ def stand_in(providers: Column, configured: Column, paused: str = "claude") -> C
         .when(sub.isNotNull(), F.array(sub))
         .otherwise(providers)
     )
+
+
+def method_label() -> Column:
+    """How a page came about, from its flat columns."""
+    from quire.functions.page_state import outcome
+
+    shown, method = outcome(), F.col("method")
+    maker = F.concat(F.coalesce(F.col("provider"), F.lit("gemini")), F.lit(" · "), F.coalesce(F.nullif(F.col("model"), F.lit("")), F.lit("视觉模型")))
+    fallback = (
+        F.when(method == "empty", "AI 未通过 · 这页没有文字层可回退，结果为空")
+        .when(method == "text", "AI 未通过 · 已回退 PDF 文字层")
+        .otherwise("AI 未通过 · 已回退本地初稿")
+    )
+    return (
+        F.when(shown.isin("ai", "noText"), maker)
+        .when(shown == "fallback", fallback)
+        .when(method == "surya", "Surya 本地视觉识别")
+        .when(method == "ocr", "本地 OCR")
+        .when(method == "text", "PDF 文字层")
+        .otherwise("未识别")
+    )
+
+
+def page_time_label(total_ms: Column, model_ms: Column) -> Column:
+    """NULL without a time; the model's share is named when the rest is a second or more."""
+    total = F.concat(F.lit("耗时 "), _fixed(total_ms / 1000, 1), F.lit(" 秒"))
+    model = F.concat(total, F.lit(" · 模型 "), _fixed(model_ms / 1000, 1), F.lit(" 秒"))
+    return F.when(model_ms.isNotNull() & (total_ms - model_ms >= 1000), model).otherwise(total)
+
+
+def usable_provider(provider: Column, credentials: Column, allowed: Column) -> Column:
+    """A provider with a credential, and on the allow list unless that is empty."""
+    has = F.coalesce(F.try_element_at(credentials, provider), F.lit("")) != ""
+    return has & ((F.coalesce(F.size(allowed), F.lit(0)) <= 0) | F.array_contains(allowed, provider))

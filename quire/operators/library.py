@@ -290,3 +290,32 @@ def members_from_two(recent: DataFrame, library: DataFrame) -> DataFrame:
     cols = [c for c in both.columns if c not in ("_src", "id")]
     picked = both.groupBy("id").agg(F.min_by(F.struct(*cols), "_src").alias("_r"))
     return picked.select("id", "_r.*")
+
+
+def with_summary(jobs: DataFrame, summary: DataFrame, previews: DataFrame) -> DataFrame:
+    """Job rows with the summary columns of their pages written anew. ``summary``
+    is that of ``pages.summary``; jobs without pages keep what they had."""
+    fresh = ["page_count", "review_count", "ai_pages", "char_count", "fallback_count"]
+    s = summary.select(F.col("job_id").cast("string").alias("id"), F.struct(*fresh).alias("_s"))
+    p = previews.select(F.col("job_id").cast("string").alias("id"), F.col("preview").alias("_preview"))
+    joined = jobs.join(s, "id", "left").join(p, "id", "left")
+    new = {c: F.coalesce(F.col(f"_s.{c}"), F.col(c)) if c in jobs.columns else F.col(f"_s.{c}") for c in fresh}
+    new["preview"] = F.coalesce("_preview", "preview") if "preview" in jobs.columns else F.col("_preview")
+    return joined.withColumns(new).drop("_s", "_preview")
+
+
+def needs_preview(done: DataFrame) -> DataFrame:
+    """Documents whose stored preview is missing or of the old kind."""
+    p = F.col("preview")
+    return done.filter(p.isNull() | p.rlike("由[^，]*转换，共") | p.contains("]("))
+
+
+def needs_tags(done: DataFrame) -> DataFrame:
+    """Documents without tags or without a title."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    return done.filter(blank("tags") | blank("ai_title"))
+
+
+def without(jobs: DataFrame, removed: DataFrame) -> DataFrame:
+    """The library less the removed ids."""
+    return jobs.join(removed.select("id"), "id", "left_anti")

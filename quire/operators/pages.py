@@ -161,3 +161,9 @@ def assembled(pages: DataFrame, titles: DataFrame, mode: str = "ai", maker: str
 
 def previews(documents: DataFrame) -> DataFrame:
     return documents.select("job_id", preview(F.col("markdown")).alias("preview"))
+
+
+def nothing_to_rerun(finals: DataFrame) -> DataFrame:
+    """Documents without a fallback page: a rerun of the fallback pages is refused."""
+    fell = page_state.is_fallback()
+    return finals.groupBy("job_id").agg(F.count_if(fell).alias("_n")).filter(F.col("_n") == 0).select("job_id")

@@ -369,3 +369,40 @@ def lane_weights(spark, folder):
     w = labels.lane_weight(provider, F.col("page"), F.col("page_count"))
     jobs = lib_jobs(spark, folder).filter(F.col("batch_id").isNotNull())
     return jobs.groupBy("batch_id").agg(labels.total_weight(F.sum(w)).cast("long").alias("lanes"))
+
+
+@query("backfill_targets", with_(DONE) + """
+select id, tags is null or tags = '' or ai_title is null untagged, ai_one_line is null or contains(ai_one_line, '](') previewless from done
+where tags is null or tags = '' or ai_title is null or ai_one_line is null""")
+def backfill_targets(spark, folder):
+    """Documents to be tagged or given a preview (the one-liner stands in for it)."""
+    d = done_jobs(spark, folder).withColumn("preview", F.col("ai_one_line"))
+    tagless = library.needs_tags(d).select("id", F.lit(True).alias("untagged"))
+    bare = library.needs_preview(d).select("id", F.lit(True).alias("previewless"))
+    both = tagless.join(bare, "id", "full_outer")
+    return both.select("id", F.coalesce("untagged", F.lit(False)).alias("untagged"), F.coalesce("previewless", F.lit(False)).alias("previewless"))
+
+
+@query("summarised_jobs", with_(DONE, PAGES) + """,
+s as (select cast(job_id as varchar) id, count(*) n, cast(sum(length(markdown)) as bigint) c from lib_pages group by 1)
+select d.id, coalesce(s.n, d.page_count) page_count, coalesce(s.c, d.char_count) "char_count", coalesce(case when s.n is not null then 0 end, d.review_count) review_count
+from done d left join s on s.id = d.id""")
+def summarised_jobs(spark, folder):
+    p = lib_pages(spark, folder)
+    zero = F.lit(0).cast("long")
+    s = p.groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("page_count"), F.max(zero).alias("review_count"), F.max(zero).alias("ai_pages"),
+        F.sum(F.char_length("markdown")).alias("char_count"), F.max(zero).alias("fallback_count"))
+    previews = p.filter(F.col("page") == 1).select("job_id", F.col("markdown").alias("preview"))
+    return library.with_summary(done_jobs(spark, folder), s, previews).select("id", "page_count", "char_count", "review_count")
+
+
+@query("usable_channels", """
+select s_suppkey, s_suppkey % 4 <> 3 and (s_nationkey % 3 = 0 or s_nationkey % 3 = 1 and s_suppkey % 4 = 1) usable from supplier""")
+def usable_channels(spark, folder):
+    """Suppliers as channels: three of four have a credential, allow lists vary by nation."""
+    s, k = views.table(spark, folder, "supplier"), F.col("s_suppkey") % 4
+    name = F.concat(F.lit("p"), k.cast("string"))
+    creds = F.create_map(F.lit("p0"), F.lit("k"), F.lit("p1"), F.lit("k"), F.lit("p2"), F.lit("k"), F.lit("p3"), F.lit(""))
+    lists = F.when(F.col("s_nationkey") % 3 == 0, F.array().cast("array<string>")).when(F.col("s_nationkey") % 3 == 1, F.array(F.lit("p1"))).otherwise(F.array(F.lit("none")))
+    return s.select("s_suppkey", labels.usable_provider(name, creds, lists).alias("usable"))

@@ -265,3 +265,36 @@ select m message, count(*) pages from (select case when starts_with(r, '{fv.REAS
 def service_messages(spark, folder):
     reasons = lib_finals(spark, folder).select(F.explode("reasons").alias("r"))
     return reasons.groupBy(text.translate_service_text(F.col("r")).alias("message")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query("method_labels", with_(FINALS) + """
+select case when method = 'ai' then 'gemini · gemini-2.5-flash' when method = 'empty' then 'AI 未通过 · 这页没有文字层可回退，结果为空' when method = 'text' then 'AI 未通过 · 已回退 PDF 文字层' end label, count(*) pages
+from finals group by 1""")
+def method_labels(spark, folder):
+    from quire.functions import labels
+
+    return lib_finals(spark, folder).groupBy(labels.method_label().alias("label")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query("document_sections", with_(FINALS) + """
+select job_id, page, md5('## PDF 第 ' || page || ' 页' || chr(10) || chr(10) || case when markdown <> '' then markdown when outcome = 'noText' then
+    '_[AI 检测：此页没有可提取的文字（photo）。]_' else '_[此页未检测到文字，请查看原始 PDF。]_' end || chr(10) || chr(10) || '---' || chr(10)) section_md5 from finals""")
+def document_sections(spark, folder):
+    return pages.page_sections(lib_finals(spark, folder)).select("job_id", "page", F.md5("section").alias("section_md5"))
+
+
+@query("nothing_to_rerun", with_(FINALS) + "select job_id from finals group by job_id having count_if(outcome = 'fallback') = 0")
+def nothing_to_rerun(spark, folder):
+    return pages.nothing_to_rerun(lib_finals(spark, folder))
+
+
+@query("page_time_labels", with_(PAGES) + """
+select job_id, page, '耗时 ' || cast(cast(floor(ms / 1000 * 10 + 0.5) / 10 as decimal(30,1)) as varchar) || ' 秒' ||
+  case when ms - m >= 1000 then ' · 模型 ' || cast(cast(floor(m / 1000 * 10 + 0.5) / 10 as decimal(30,1)) as varchar) || ' 秒' else '' end label
+from (select job_id, page, length(markdown) * 9 ms, case when page % 3 <> 0 then length(markdown) * 4 end m from lib_pages)""")
+def page_time_labels(spark, folder):
+    from quire.functions import labels
+
+    size = F.char_length("markdown")
+    label = labels.page_time_label(size * 9, F.when(F.col("page") % 3 != 0, size * 4))
+    return lib_pages(spark, folder).select("job_id", "page", label.alias("label"))

@@ -121,3 +121,8 @@ def write_documents(pages: DataFrame, folder: str) -> None:
 def write_reports(documents: DataFrame, folder: str) -> None:
     """Quality reports: one JSON object per line."""
     documents.write.mode("overwrite").json(folder)
+
+
+def append_calls(calls: DataFrame, folder: str) -> None:
+    """Adds ledger rows, laid out by day so that period queries read only theirs."""
+    calls.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(folder)

@@ -163,3 +163,11 @@ def lib_drafts(spark: SparkSession, folder: str) -> DataFrame:
 def lib_finals(spark: SparkSession, folder: str) -> DataFrame:
     joined = lib_drafts(spark, folder).join(lib_replies(spark, folder), ["job_id", "page"], "left")
     return page_state.apply_reply(joined)
+
+
+def register(spark: SparkSession, folder: str) -> list[str]:
+    """Temporary views for read-only ad-hoc SQL."""
+    made = {"lib_jobs": lib_jobs, "lib_pages": lib_pages, "lib_calls": priced_calls, "lib_finals": lib_finals}
+    for name, view in made.items():
+        view(spark, folder).createOrReplaceTempView(name)
+    return list(made)
