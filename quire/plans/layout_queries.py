@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire import fixed_values as fv
 from quire.operators import layout
 from quire.plans.registry import query
+from quire.plans.views_sql import TRIM
 from quire.sources import views
 from quire.sources.tables import spread
 
@@ -39,7 +41,25 @@ def layout_to_markdown(spark, folder):
     return layout.text_layer_pages(pages, ["doc_id"]).withColumn("reasons", F.array_join("reasons", "|"))
 
 
-@query("print_chunks")
+# the given texts hold no code fences, so the check tracks formula blocks only
+@query("print_chunks", f"""
+with recursive l as (
+  select doc_id, n, unnest(parts) line, unnest(range(1, n + 1)) i from (
+    select doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10)) parts, len(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10))) n from documents)),
+m as (
+  select doc_id, n, i, line, {TRIM('line')} = '' blank, regexp_matches(line, '^ {{0,3}}#{{1,6}}{fv.WS}') head,
+    strlen(line) + 1 bytes, (length(line) - length(replace(line, '$$', ''))) // 2 % 2 = 1 odd from l),
+r as (
+  select distinct doc_id, cast(0 as bigint) i, cast(0 as bigint) size, false filled, false math, 0 chunk from m
+  union all
+  select doc_id, i, case when cut then 0 else size end + bytes, (filled and not cut) or not blank, math <> odd, chunk + case when cut then 1 else 0 end from (
+    select m.doc_id, m.i, r.size, r.filled, r.math, r.chunk, m.bytes, m.blank, m.odd,
+      r.filled and not r.math and ((r.size >= 2000 and m.head) or (r.size >= 4000 and m.blank)) cut
+    from r join m on m.doc_id = r.doc_id and m.i = r.i + 1)),
+f as (select r.*, m.line, last_value(r.filled) over w full_end, last_value(r.chunk) over w last_chunk
+  from r join m on m.doc_id = r.doc_id and m.i = r.i window w as (partition by r.doc_id order by r.i rows between unbounded preceding and unbounded following))
+select doc_id, c as chunk, string_agg(line, chr(10) order by i) markdown from (
+  select *, case when chunk = last_chunk and not full_end and chunk > 0 then chunk - 1 else chunk end c from f) group by 1, 2""")
 def print_chunks(spark, folder):
     """Documents with a blank line between their lines, cut for printing."""
     spaced = F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("markdown")

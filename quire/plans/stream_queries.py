@@ -38,16 +38,40 @@ def usage_log_ingest(spark, folder):
     return done.select("key", "model", js_round(F.col("usd"), 9).alias("usd"))
 
 
-@query("lane_limits")
+@query("lane_limits", """
+with recursive a as (
+  select cast(user_id as varchar) lane, ts, event_id, event_type <> 'error' and value * 100 <= 9000 ok, epoch_ms(ts) ms,
+    row_number() over (partition by user_id order by ts, event_id) rn from events),
+r as (
+  select distinct lane, cast(0 as bigint) rn, cast(0 as bigint) event_id, cast(null as timestamp) ts, 40 lim, 0 before, 0 wins, cast(0 as bigint) cut from a
+  union all
+  select a.lane, a.rn, a.event_id, a.ts,
+    case when a.ok then case when r.wins + 1 >= 4 and r.lim < 40 then r.lim + 1 else r.lim end
+      when a.ms - r.cut < 5000 then r.lim else greatest(2, cast(floor(r.lim * 0.7::double) as int)) end,
+    r.lim, case when a.ok and not (r.wins + 1 >= 4 and r.lim < 40) then r.wins + 1 else 0 end,
+    case when not a.ok and a.ms - r.cut >= 5000 then a.ms else r.cut end
+  from r join a on a.lane = r.lane and a.rn = r.rn + 1)
+select lane, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') ts, lim lane_limit from r where rn > 0 and lim <> before""")
 def lane_limits(spark, folder):
     e = _events(spark, folder)
     attempts = e.select(
         F.col("user_id").cast("string").alias("lane"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
         (F.col("event_type") != "error").alias("ok"), (F.col("value") * 100).alias("latency_ms"))
-    return ingest.run_to_table(state.lane_limits(attempts, top=40, slow_ms=9000), "lane-limits")
+    done = ingest.run_to_table(state.lane_limits(attempts, top=40, slow_ms=9000), "lane-limits")
+    return done.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("progress_writes")
+@query("progress_writes", """
+with recursive p as (
+  select user_id job_id, event_id * 2 + 1 at_ms, cast(floor(event_id / 700 + 1) as bigint) page, cast(1000000000 as bigint) total,
+    row_number() over (partition by user_id order by event_id) rn from events),
+r as (
+  select distinct job_id, cast(0 as bigint) at_ms, cast(0 as bigint) page, cast(0 as bigint) total, cast(0 as bigint) rn, false kept, cast(0 as bigint) w, cast(-1 as bigint) wp from p
+  union all
+  select job_id, at_ms, page, total, rn, k, case when k then at_ms else w end, case when k then page else wp end from (
+    select p.*, r.w, r.wp, p.page = 0 or p.page >= p.total or p.page < r.wp or p.page - r.wp > 1 or p.at_ms - r.w >= 300 k
+    from r join p on p.job_id = r.job_id and p.rn = r.rn + 1))
+select job_id, at_ms, page, total from r where kept""")
 def progress_writes(spark, folder):
     e = _events(spark, folder)
     p = e.select(
