@@ -23,8 +23,10 @@ RANGE = "_range"
 def cut(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Rows with the number of their range, as a written table: the range of a row
     must be the same for every later use, also after a lost executor."""
-    count = ranges or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(df.repartitionByRange(count, *keys, *order).withColumn(RANGE, F.spark_partition_id()), "ranges")
+    columns = [*keys, *order]
+    # without a number the adaptive planner joins small neighbouring ranges, which keeps their order
+    ranged = df.repartitionByRange(ranges, *columns) if ranges else df.repartitionByRange(*columns)
+    return written(ranged.withColumn(RANGE, F.spark_partition_id()), "ranges")
 
 
 def running(rows: DataFrame, value: Column, order: Sequence[Column], keys: Sequence[str] = (), out: str = "running", how: str = "sum") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire import fixed_values as fv
 from quire.operators import layout
 from quire.plans.registry import query
-from quire.plans.views_sql import TRIM
+from quire.plans.views_sql import FORMULAS, LINES, OPTIONS, SQUASH, TRIM, VISIBLE, q
 from quire.sources import views
 from quire.sources.tables import spread
 
@@ -30,7 +30,28 @@ def block_pages(spark, folder):
     return layout.block_pages(p.select("page_id", blocks.alias("blocks")), ["page_id"]).withColumn("reasons", F.array_join("reasons", "|"))
 
 
-@query("layout_to_markdown")
+# on this grid every twelve words are one row, so rows need no clustering in the
+# check; whether a row opens a block follows from the last opener and the last
+# row that a block could go on after
+@query("layout_to_markdown", f"""
+with w as (select doc_id, unnest(ws) w, unnest(range(len(ws))) i from (select doc_id, regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+') ws from documents)),
+k as (select doc_id, w, i // 12 r, i % 12 * 50 x, length(w) * 8 wd, case when i < 12 then 24 else 12 end sz from w where {TRIM('w')} <> ''),
+b as (select doc_id, case when count(*) filter (sz = 12) > count(*) // 2 then 12 else 24 end body, length({TRIM("string_agg(w, '' order by r, x)")}) raw from k group by doc_id),
+g as (select *, lag(x + wd) over (partition by doc_id, r order by x) e from k),
+t as (select doc_id, r, any_value(sz) sz, {TRIM(SQUASH("regexp_replace(string_agg(case when x - e > greatest(2.5, sz * 0.24) then ' ' || w else w end, '' order by x), " + q(fv.ESCAPABLE) + ", " + q(chr(92) * 3 + "1") + ", 'g')"))} txt from g group by 1, 2),
+c as (select t.doc_id, r, body, txt, r - lag(r) over (partition by t.doc_id order by r) gap, row_number() over (partition by t.doc_id order by r) n,
+    case when sz > body * {fv.HEADING_RATIO} and length(txt) < {fv.HEADING_CHARS} then 'h' when sz > body * {fv.SUBHEADING_RATIO} and length(txt) < {fv.SUBHEADING_CHARS} then 'hh'
+      when regexp_matches(txt, '^[•●▪◦]') then 'b' when regexp_matches(txt, '^[0-9]+[.)] ') then 'n' else 'p' end kind
+  from t join b on b.doc_id = t.doc_id where txt <> ''),
+d as (select *, case kind when 'h' then '### ' || txt when 'hh' then '#### ' || txt when 'b' then '- ' || ltrim(substr(txt, 2)) when 'n' then regexp_replace(txt, '^([0-9]+)[.)] +', '\\1. ') else txt end out,
+    kind <> 'p' or n = 1 or gap * 14 >= body * {fv.PARAGRAPH_GAP} opener from c),
+o as (select *, coalesce(max(case when opener then n end) over (partition by doc_id order by n rows unbounded preceding), 0)
+      > coalesce(max(case when out[1] not in ('#', '-') then n end) over (partition by doc_id order by n rows between unbounded preceding and 1 preceding), 0) opens from d),
+j as (select *, lead(opens) over (partition by doc_id order by n) nxt from o),
+m as (select doc_id, string_agg(case when nxt is null then out when nxt then out || chr(10) || chr(10) when out[-1] = '-' then left(out, -1) else out || ' ' end, '' order by n) md from j group by doc_id),
+f as (select doc_id, coalesce(md, '') markdown, coalesce(raw, 0) raw from documents left join m using (doc_id) left join b using (doc_id))
+select doc_id, markdown, {VISIBLE('markdown')} as "char_count", {LINES('markdown')} line_count, {FORMULAS('markdown')} formula_count, {OPTIONS('markdown')} option_count,
+  case when markdown <> '' then 'text' else 'empty' end as method, case when raw < {fv.THIN_TEXT} then 'review' else 'good' end status, case when raw < {fv.THIN_TEXT} then {q(fv.REASON_THIN_TEXT)} else '' end reasons from f""")
 def layout_to_markdown(spark, folder):
     """The words of each document set in twelve columns, the first row larger."""
     d = spread(views.table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
