@@ -95,7 +95,8 @@ def page_answers(df: DataFrame, raw: Column, out: str = "answer") -> DataFrame:
 
 
 def card_answers(df: DataFrame, raw: Column, out: str = "card") -> DataFrame:
-    """Title card: NULL unless at least one tag is left."""
+    """Title cards; answers without a single tag give no row. The card is made by
+    a generator, so dropping rows does not evaluate the parsing twice."""
     a = F.col("_a")
     cut = F.transform(F.coalesce(a["tags"], F.array().cast("array<string>")), lambda t: F.left(js_trim(t), F.lit(24)))
     tags = F.slice(F.filter(cut, lambda t: F.coalesce(t, F.lit("")) != ""), 1, 4)
@@ -106,7 +107,7 @@ def card_answers(df: DataFrame, raw: Column, out: str = "card") -> DataFrame:
         a["filename_meaningful"].alias("filename_meaningful"),
     )
     staged = parsed(df, raw, CARD_SCHEMA).withColumn("_tags", tags)
-    return staged.withColumn(out, F.when(F.size("_tags") > 0, card)).drop("_a", "_tags")
+    return staged.select(*df.columns, F.explode(F.when(F.size("_tags") > 0, F.array(card))).alias(out))
 
 
 def narratives(df: DataFrame, raw: Column, lang: str, out: str = "narrative") -> DataFrame:
@@ -140,18 +141,19 @@ def find_picks(df: DataFrame, raw: Column, schema: str = FIND_SCHEMA) -> DataFra
     return picks.select(*df.columns, "error", "position", "_r.*")
 
 
-def command_step(command: Column, tool: str = "look") -> Column:
-    """(verb, label) of a tool command line; NULL when it is not one."""
+def command_steps(df: DataFrame, command: Column, tool: str = "look", out: str = "step") -> DataFrame:
+    """(verb, args) of tool command lines; NULL for anything else. Words, tool
+    position and arguments are columns of their own, so each is taken once."""
     words = F.transform(
         F.regexp_extract_all(F.coalesce(command, F.lit("")), F.lit(r"\"[^\"]*\"|'[^']*'|\S+"), F.lit(0)),
         lambda w: F.regexp_replace(w, r"^[\"']|[\"']\z", ""),
     )
     is_tool = lambda w: F.regexp_replace(w, r"\.\w+\z", "").rlike(rf"(^|/){tool}\z")
-    at = F.array_position(F.transform(words, is_tool), F.lit(True))
-    after = F.slice(words, (at + 1).cast("int"), F.greatest(F.size(words) - at, F.lit(0)).cast("int"))
-    verb = F.get(after, F.lit(0))
+    staged = df.withColumn("_words", words).withColumn("_at", F.array_position(F.transform("_words", is_tool), F.lit(True)).cast("int"))
+    after = F.slice("_words", F.col("_at") + 1, F.greatest(F.size("_words") - F.col("_at"), F.lit(0)))
+    staged = staged.withColumn("_after", after)
     start = F.struct(F.array().cast("array<string>").alias("args"), F.lit("").alias("option"))
-    rest = F.slice(after, 2, F.greatest(F.size(after) - 1, F.lit(0)))
+    rest = F.slice("_after", 2, F.greatest(F.size("_after") - 1, F.lit(0)))
 
     def step(acc: Column, w: Column) -> Column:
         is_value = acc["option"] != ""
@@ -165,6 +167,8 @@ def command_step(command: Column, tool: str = "look") -> Column:
         option = F.when(is_value, F.lit("")).when(is_option & (w != "--any"), w).otherwise(F.lit(""))
         return F.struct(args.alias("args"), option.alias("option"))
 
-    args = F.aggregate(rest, start, step, lambda acc: acc["args"])
+    verb = F.get("_after", F.lit(0))
     known = verb.isin("search", "hits", "read", "info", "list", "stats")
-    return F.when((at > 0) & known, F.struct(verb.alias("verb"), args.alias("args")))
+    args = F.aggregate(rest, start, step, lambda acc: acc["args"])
+    value = F.when((F.col("_at") > 0) & known, F.struct(verb.alias("verb"), args.alias("args")))
+    return staged.withColumn(out, value).drop("_words", "_at", "_after")

@@ -208,7 +208,7 @@ def card_answers(spark, folder):
         F.concat(F.array(F.lit("  ")), F.coalesce(tags, F.array().cast("array<string>"))).alias("tags"), F.col("ai_title").alias("title"),
         F.col("ai_one_line").alias("one_line"), "filename_meaningful"))
     raw = jobs.select("id", F.concat(F.lit("```\n"), body, F.lit("\n```")).alias("raw"))
-    c = answers.card_answers(raw, F.col("raw"), "c").filter(F.col("c").isNotNull())
+    c = answers.card_answers(raw, F.col("raw"), "c")
     return c.select("id", F.array_join("c.tags", "|").alias("tags"), "c.title", "c.one_line", F.col("c.filename_meaningful").alias("meaningful"))
 
 
@@ -239,5 +239,5 @@ def command_steps(spark, folder):
         .when(k % 4 == 1, F.concat(F.lit("look read "), ks, F.lit(" --page "), (F.col("o_custkey") % 9).cast("string")))
         .when(k % 4 == 2, F.lit("bin/look list --since 2024-01-01")).otherwise(F.concat(F.lit("ls "), ks))
     )
-    s = o.select(k, answers.command_step(command).alias("s"))
+    s = answers.command_steps(o.select(k, command.alias("command")), F.col("command"), out="s")
     return s.select("o_orderkey", "s.verb", F.array_join("s.args", "|").alias("args"))

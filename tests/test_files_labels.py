@@ -99,7 +99,7 @@ def test_page_answers(spark):
 def test_card_and_find_answers(spark):
     df = spark.createDataFrame([('{"tags":[" a ","","bbbbbbbbbbbbbbbbbbbbbbbbbbbbbb","c","d","e"],"title":"","filename_meaningful":"x"}',), ('{"tags":[]}',)], "raw string")
     c = [r["card"] for r in answers.card_answers(df, C("raw")).collect()]
-    assert c[0]["tags"] == ["a", "b" * 24, "c", "d"] and c[0]["title"] is None and c[0]["filename_meaningful"] is None and c[1] is None
+    assert c[0]["tags"] == ["a", "b" * 24, "c", "d"] and c[0]["title"] is None and c[0]["filename_meaningful"] is None and len(c) == 1
     df = spark.createDataFrame([("q1", 'Here: {"results":[{"n":3,"why":"w"},{"n":"1"}]} done'), ("q2", "no"), ("q3", "{bad}")], "q string, raw string")
     rows = answers.find_picks(df, C("raw")).orderBy("q", "position").collect()
     assert [(r["q"], r["n"]) for r in rows] == [("q1", "3"), ("q1", "1"), ("q2", None), ("q3", None)]
@@ -107,5 +107,6 @@ def test_card_and_find_answers(spark):
 
 
 def test_command_steps(spark):
-    got = col(spark, answers.command_step(C("v")), ['node /x/look.mjs search "latent heat" --any --n 5', "look read ab12 --page 3", "rm -rf /", "look fly"])
+    df = spark.createDataFrame([('node /x/look.mjs search "latent heat" --any --n 5',), ("look read ab12 --page 3",), ("rm -rf /",), ("look fly",)], "v string")
+    got = [r["step"] for r in answers.command_steps(df, C("v")).collect()]
     assert [tuple(g) if g else None for g in got] == [("search", ["latent heat"]), ("read", ["ab12", "p3"]), None, None]
