@@ -1,13 +1,14 @@
-"""Streams over the event log, run to completion."""
+"""State machines and streams over the event log."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.operators import chains
 from quire.plans.registry import query
 from quire.plans.views_sql import CALLS, with_
 from quire.sources.tables import table
-from quire.streaming import ingest, state
+from quire.streaming import ingest
 
 
 def _events(spark, folder):
@@ -53,12 +54,13 @@ r as (
   from r join a on a.lane = r.lane and a.rn = r.rn + 1)
 select lane, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') ts, lim lane_limit from r where rn > 0 and lim <> before""")
 def lane_limits(spark, folder):
-    e = _events(spark, folder)
+    """The event log as attempts, each user a lane."""
+    e = table(spark, folder, "events")
     attempts = e.select(
-        F.col("user_id").cast("string").alias("lane"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
+        F.col("user_id").cast("string").alias("lane"), "ts", "event_id",
         (F.col("event_type") != "error").alias("ok"), (F.col("value") * 100).alias("latency_ms"))
-    done = ingest.run_to_table(state.lane_limits(attempts, top=40, slow_ms=9000), "lane-limits")
-    return done.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    limits = chains.lane_limits(attempts, top=40, slow_ms=9000)
+    return limits.select("lane", "event_id", F.date_format(F.timestamp_millis("at_ms"), "yyyy-MM-dd HH:mm:ss").alias("ts"), "lane_limit")
 
 
 @query("progress_writes", """
@@ -73,8 +75,8 @@ r as (
     from r join p on p.job_id = r.job_id and p.rn = r.rn + 1))
 select job_id, at_ms, page, total from r where kept""")
 def progress_writes(spark, folder):
-    e = _events(spark, folder)
-    p = e.select(
+    """The event log as progress reports, each user a job."""
+    p = table(spark, folder, "events").select(
         F.col("user_id").alias("job_id"), (F.col("event_id") * 2 + 1).alias("at_ms"),
         F.floor(F.col("event_id") / 700 + 1).alias("page"), F.lit(10**9).cast("long").alias("total"))
-    return ingest.run_to_table(state.progress_writes(p), "progress")
+    return chains.progress_writes(p)

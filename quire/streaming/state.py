@@ -1,7 +1,8 @@
-"""Keyed state over time-ordered streams.
+"""The state machines of ``operators.chains`` kept up to date on streams.
 
-State per key is a few numbers. Rows of one trigger are sorted per key inside
-the task, so bound a trigger (``maxFilesPerTrigger``) by what a task should hold.
+State per key is a few numbers. Rows of one trigger are put in order per key
+inside the task, so bound a trigger (``maxFilesPerTrigger``, ``maxBytesPerTrigger``)
+by what a task should hold; whole tables belong to the batch form.
 """
 
 from __future__ import annotations
@@ -14,64 +15,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire import fixed_values as fv
+from quire.operators.chains import lane_walk, prepared, progress_walk
 
 
-def lane_step(state: tuple, ok: bool, now_ms: int, top: int, floor: int) -> tuple:
-    """(limit, wins, last cut) after one attempt: one more lane every few wins,
-    a cut on failure unless the last one is too recent."""
-    limit, wins, last_cut = state
-    if ok:
-        wins += 1
-        return (limit + 1, 0, last_cut) if wins >= fv.LANE_WINS and limit < top else (limit, wins, last_cut)
-    if now_ms - last_cut < fv.LANE_COOLDOWN_MS:
-        return limit, 0, last_cut
-    return max(floor, int(limit * fv.LANE_CUT)), 0, now_ms
+def _keyed(stream: DataFrame, key: str, order: list[str], start: dict[str, int], walk, output: str) -> DataFrame:
+    def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(order)
+        after, out = walk(state.get if state.exists else tuple(start.values()), rows)
+        state.update(tuple(int(x) for x in after))
+        out.insert(0, key, group[0])
+        yield out
 
+    kind = dict(stream.dtypes)[key]
+    fields = ", ".join(f"{f} long" for f in start)
+    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, {output}", fields, "append", GroupStateTimeout.NoTimeout)
 
-def lane_limits(attempts: DataFrame, top: int, slow_ms: int = fv.LANE_SLOW_MS, floor: int = fv.LANE_FLOOR) -> DataFrame:
-    """Parallel-request limit of each lane, a row whenever it changes.
 
-    ``attempts`` (streaming): lane, ts, event_id, ok, latency_ms. A success slower
-    than ``slow_ms`` counts as congestion.
-    """
+def lane_limits(attempts: DataFrame, top: int, slow_ms: int = fv.LANE_SLOW_MS, floor: int = fv.LANE_FLOOR) -> DataFrame:
     low = max(1, min(floor, top))
+    walk = lambda state, rows: lane_walk(state, rows, top, low)
+    start = {"lane_top": top, "wins": 0, "last_cut": 0}
+    return _keyed(prepared(attempts, slow_ms), "lane", ["at_ms", "event_id"], start, walk, "event_id long, at_ms long, lane_limit int")
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        current = state.get if state.exists else (top, 0, 0)
-        ok = (rows["ok"] & (rows["latency_ms"] <= slow_ms)).to_numpy()
-        ms = (rows["ts"].astype("int64") // {"ns": 10**6, "us": 10**3, "ms": 1}[rows["ts"].dt.unit]).to_numpy()
-        changes = []
-        for good, at, event, ts in zip(ok, ms, rows["event_id"], rows["ts"]):
-            after = lane_step(current, bool(good), int(at), top, low)
-            if after[0] != current[0]:
-                changes.append((key[0], event, ts, after[0]))
-            current = after
-        state.update(tuple(int(x) for x in current))
-        yield pd.DataFrame(changes, columns=["lane", "event_id", "ts", "lane_limit"])
-
-    return attempts.groupBy("lane").applyInPandasWithState(
-        update, "lane string, event_id long, ts timestamp, lane_limit int", "lane_limit int, wins int, last_cut long", "append", GroupStateTimeout.NoTimeout)
-
-
-def progress_writes(progress: DataFrame, gap_ms: int = fv.PROGRESS_GAP_MS) -> DataFrame:
-    """Progress reports worth writing: edges, jumps and steps back at once, plain
-    steps at most every ``gap_ms``. ``progress`` (streaming): job_id, at_ms, page, total."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["at_ms", "page"])
-        written_at, page_at = state.get if state.exists else (0, -1)
-        kept = []
-        for at, page, total in zip(rows["at_ms"], rows["page"], rows["total"]):
-            edge = page == 0 or page >= total or page < page_at or page - page_at > 1
-            if edge or at - written_at >= gap_ms:
-                written_at, page_at = int(at), int(page)
-                kept.append((key[0], at, page, total))
-        state.update((written_at, page_at))
-        yield pd.DataFrame(kept, columns=["job_id", "at_ms", "page", "total"])
 
-    return progress.groupBy("job_id").applyInPandasWithState(
-        update, "job_id long, at_ms long, page long, total long", "written_at long, page_at long", "append", GroupStateTimeout.NoTimeout)
+def progress_writes(progress: DataFrame) -> DataFrame:
+    return _keyed(progress, "job_id", ["at_ms", "page"], {"written_at": 0, "page_at": -1}, progress_walk, "at_ms long, page long, total long")
 
 
 def most_free(lanes: DataFrame) -> DataFrame:

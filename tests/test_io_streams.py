@@ -5,9 +5,10 @@ import random
 import zipfile
 from datetime import datetime, timedelta
 
-import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from quire.operators import chains
 from quire.sources import changelog, results, sinks
 from quire.streaming import ingest, state
 
@@ -83,20 +84,20 @@ def file_stream(spark, rows, schema, path):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
 
 
-def test_lane_limits_against_a_plain_loop(spark, tmp_path):
-    rng = random.Random(5)
-    rows = [(rng.choice("aab"), T0 + timedelta(milliseconds=700 * i), i, rng.random() < 0.8, rng.randrange(60000)) for i in range(400)]
-    s = file_stream(spark, rows, "lane string, ts timestamp, event_id long, ok boolean, latency_ms long", tmp_path / "in")
-    out = ingest.run_to_table(state.lane_limits(s, top=20), "test-lanes")
-    got = sorted((r["event_id"], r["lane_limit"]) for r in out.collect())
+def lane_rows(seed, n):
+    rng = random.Random(seed)
+    return [(rng.choice("aaab"), T0 + timedelta(milliseconds=700 * i), i, rng.random() < 0.8, rng.randrange(60000)) for i in range(n)]
+
+
+def lane_loop(rows, top):
     want, lanes = [], {}
     for lane, ts, i, ok, ms in rows:
-        limit, wins, cut = lanes.get(lane, (20, 0, -10**9))
+        limit, wins, cut = lanes.get(lane, (top, 0, -10**9))
         at = int(ts.timestamp() * 1000)
         before = limit
         if ok and ms <= 45000:
             wins += 1
-            if wins >= 4 and limit < 20:
+            if wins >= 4 and limit < top:
                 limit, wins = limit + 1, 0
         else:
             wins = 0
@@ -105,18 +106,59 @@ def test_lane_limits_against_a_plain_loop(spark, tmp_path):
         lanes[lane] = (limit, wins, cut)
         if limit != before:
             want.append((i, limit))
-    assert got == want and want
+    return want
+
+
+LANES = "lane string, ts timestamp, event_id long, ok boolean, latency_ms long"
+
+
+def test_lane_limits_stream_against_a_plain_loop(spark, tmp_path):
+    rows = lane_rows(5, 400)
+    s = file_stream(spark, rows, LANES, tmp_path / "in")
+    out = ingest.run_to_table(state.lane_limits(s, top=20), "test-lanes")
+    got = sorted((r["event_id"], r["lane_limit"]) for r in out.collect())
+    assert got == lane_loop(rows, 20) and got
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_lane_limits_of_a_hot_lane_cut_in_ranges(spark, ranges):
+    rows = lane_rows(6, 700)
+    out = chains.lane_limits(spark.createDataFrame(rows, LANES), top=20, ranges=ranges)
+    assert sorted((r["event_id"], r["lane_limit"]) for r in out.collect()) == lane_loop(rows, 20)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_a_machine_that_never_forgets_is_still_exact(spark, seed):
+    """A running sum depends on everything before: every range is walked again."""
+    import pandas as pd
+
+    rng = random.Random(seed)
+    rows = [("h" if i % 3 else "k", i, rng.randrange(100)) for i in range(300)]
+
+    def walk(total, pdf):
+        sums = pdf["v"].cumsum() + total[0]
+        return (int(sums.iloc[-1]),), pd.DataFrame({"i": pdf["i"], "s": sums})
+
+    df = spark.createDataFrame(rows, "k string, i long, v long")
+    out = chains.walk_in_order(df, "k", ["i"], {"total": 0}, walk, "i long, s long", ranges=4)
+    want, sums = {}, {}
+    for k, i, v in rows:
+        sums[k] = sums.get(k, 0) + v
+        want[i] = sums[k]
+    assert {r["i"]: r["s"] for r in out.collect()} == want
 
 
 def test_lane_floor_never_exceeds_the_top():
     s = (1, 0, 0)
-    assert state.lane_step(s, False, 10**6, 1, 1)[0] == 1
+    assert chains.lane_step(s, False, 10**6, 1, 1)[0] == 1
 
 
 def test_progress_throttle(spark, tmp_path):
     rows = [(1, 0, 0, 9), (1, 100, 1, 9), (1, 250, 2, 9), (1, 310, 2, 9), (1, 320, 5, 9), (1, 330, 4, 9), (1, 340, 9, 9)]
     s = file_stream(spark, rows, "job_id long, at_ms long, page long, total long", tmp_path / "in")
     out = ingest.run_to_table(state.progress_writes(s), "test-progress")
+    batch = chains.progress_writes(spark.createDataFrame(rows, "job_id long, at_ms long, page long, total long"), ranges=3)
+    assert sorted(r["at_ms"] for r in batch.collect()) == [0, 250, 320, 330, 340]
     assert sorted(r["at_ms"] for r in out.collect()) == [0, 250, 320, 330, 340]  # jumps count from the last written page
 
 
@@ -144,9 +186,5 @@ def test_lane_step_is_bounded():
     rng = random.Random(0)
     s = (20, 0, 0)
     for i in range(2000):
-        s = state.lane_step(s, rng.random() < 0.5, i * 1000, 20, 2)
+        s = chains.lane_step(s, rng.random() < 0.5, i * 1000, 20, 2)
         assert 2 <= s[0] <= 20
-
-
-def test_pandas_timestamps_have_a_known_unit():
-    assert pd.Series(pd.to_datetime(["2024-01-01"])).dt.unit in ("ns", "us", "ms")
