@@ -121,31 +121,31 @@ def redraft_pages(spark, folder):
 
 
 @query("rescue_round", with_(FINALS) + """
-select f.job_id, f.page, case when f.step = 'failed' and f.page % 2 = 0 then 'ai' else f.outcome end outcome,
-  case when f.step = 'failed' and f.page % 2 = 0 then md5(trim(f.raw_markdown, chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(160)||chr(12288))) else md5(f.markdown) end text_md5
+select f.job_id, f.page, case when f.step = 'failed' and length(f.raw_markdown) > 200 then 'ai' else f.outcome end outcome,
+  case when f.step = 'failed' and length(f.raw_markdown) > 200 then md5(trim(f.raw_markdown, chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(160)||chr(12288))) else md5(f.markdown) end text_md5
 from finals f""")
 def rescue_round(spark, folder):
-    """Second round: the failed pages with an even number get their full text back."""
+    """Second round: the failed pages of some length get their full text back."""
     finals = lib_finals(spark, folder)
     again = lib_replies(spark, folder).join(
         finals.filter(F.coalesce("ai_failed", F.lit(False))).select("job_id", "page", F.col("raw_markdown").alias("_md")), ["job_id", "page"])
-    even = F.col("page") % 2 == 0
-    second = again.withColumn("r_markdown", F.when(even, F.col("_md"))).withColumn(
-        "r_error", F.when(~even, F.col("r_error"))).withColumn("r_no_text", F.lit(False)).drop("_md")
+    long = F.char_length("_md") > 200
+    second = again.withColumn("r_markdown", F.when(long, F.col("_md"))).withColumn(
+        "r_error", F.when(~long, F.col("r_error"))).withColumn("r_no_text", F.lit(False)).drop("_md")
     drafts = lib_drafts(spark, folder).join(second, ["job_id", "page"])
     healed = pages.rescue(finals, page_state.apply_reply(drafts))
     return healed.select("job_id", "page", page_state.outcome().alias("outcome"), F.md5("markdown").alias("text_md5"))
 
 
 @query("latest_checkpoint", with_(PAGES) + """
-select job_id, page, case when page % 3 = 0 then md5(markdown) else md5(markdown || '!') end result_md5 from lib_pages""")
+select job_id, page, case when length(markdown) <= 200 then md5(markdown) else md5(markdown || '!') end result_md5 from lib_pages""")
 def latest_checkpoint(spark, folder):
-    """The pages twice as a change log, the second write only for two thirds of
-    them, with a half-written line after each document."""
+    """The pages twice as a change log, the second write only for longer ones,
+    with a half-written line after each document."""
     p = lib_pages(spark, folder)
     entry = lambda md: F.to_json(F.struct("page", F.struct(md.alias("markdown")).alias("result")))
     first = p.select("job_id", F.lit(0).alias("seq"), entry(F.col("markdown")).alias("line"))
-    second = p.filter(F.col("page") % 3 != 0).select("job_id", F.lit(1).alias("seq"), entry(F.concat("markdown", F.lit("!"))).alias("line"))
+    second = p.filter(F.char_length("markdown") > 200).select("job_id", F.lit(1).alias("seq"), entry(F.concat("markdown", F.lit("!"))).alias("line"))
     half = p.filter(F.col("page") == 1).select("job_id", F.lit(2).alias("seq"), F.lit('{"page":1,"result":{"mark').alias("line"))
     log = first.unionByName(second).unionByName(half)
     latest = changelog.latest_pages(log, "markdown string")
@@ -153,10 +153,10 @@ def latest_checkpoint(spark, folder):
 
 
 @query("resumed_pages", with_(FINALS) + """
-select job_id, page, case when page % 4 = 0 then 'archive' else 'kept' end src from finals where page % 4 = 0 or outcome <> 'fallback'""")
+select job_id, page, case when length(raw_markdown) > 200 then 'archive' else 'kept' end src from finals where length(raw_markdown) > 200 or outcome <> 'fallback'""")
 def resumed_pages(spark, folder):
     finals = lib_finals(spark, folder)
-    archived = lib_pages(spark, folder).filter(F.col("page") % 4 == 0).select("job_id", "page", F.lit("archive").alias("result"))
+    archived = lib_pages(spark, folder).filter(F.char_length("markdown") > 200).select("job_id", "page", F.lit("archive").alias("result"))
     kept = finals.filter(~page_state.is_fallback()).select("job_id", "page", F.lit("kept").alias("result"))
     return pages.resume(lib_drafts(spark, folder), archived, kept).withColumnRenamed("result", "src")
 

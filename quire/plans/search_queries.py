@@ -103,7 +103,7 @@ def read_window(spark, folder):
 
 
 @query("document_outline", with_(PAGES) + f""",
-dressed as (select job_id, page, case when page % 2 = 0 then repeat('#', page % 5 + 1) || ' ' || left(markdown, 80) else markdown end md from lib_pages),
+dressed as (select job_id, page, case when page % 2 = 0 then repeat('#', page % 5 + 1) || ' ' || markdown else markdown end md from lib_pages),
 l as (select job_id, page, unnest(string_split(md, chr(10))) raw, unnest(range(len(string_split(md, chr(10))))) line from dressed),
 h as (select *, regexp_extract(raw, {q(fv.HEADING_1_TO_3)}, 1) h from l),
 r as (select *, row_number() over (partition by job_id order by page, line) n from h where h <> '')
@@ -111,7 +111,7 @@ select job_id, n, page, {CLIP(FLAT('h'), fv.OUTLINE_CLIP)} heading from r where
 def document_outline(spark, folder):
     p = lib_pages(spark, folder)
     marks = F.expr("repeat('#', page % 5 + 1)")
-    md = F.when(F.col("page") % 2 == 0, F.concat(marks, F.lit(" "), F.left("markdown", F.lit(80)))).otherwise(F.col("markdown"))
+    md = F.when(F.col("page") % 2 == 0, F.concat(marks, F.lit(" "), F.col("markdown"))).otherwise(F.col("markdown"))
     return search.outline(p.withColumn("markdown", md))
 
 
@@ -173,7 +173,7 @@ def deep_results(spark, folder):
 
 
 @query("page_answers", f"""
-with a as (select doc_id, doc_id % 5 k, left(text, 400) t from documents)
+with a as (select doc_id, doc_id % 5 k, text t from documents)
 select doc_id, case when k in (0, 1) then {TRIM('t')} else '' end markdown, k = 2 no_text, case when k = 2 then 'photo of ' || doc_id else '' end note,
   case when k in (0, 1) then greatest(0, doc_id % 7 - 2) else 0 end formula_count,
   case when k in (0, 1) then 'q1|q2' else '' end questions,
@@ -182,7 +182,7 @@ def page_answers(spark, folder):
     """Raw answers derived from the documents: fenced, wrapped, empty and broken ones."""
     k = F.col("doc_id") % 5
     body = F.to_json(F.struct(
-        F.when(k < 2, F.left("text", F.lit(400))).otherwise("").alias("markdown"), (F.col("doc_id") % 7 - 2).alias("formulaCount"),
+        F.when(k < 2, F.col("text")).otherwise("").alias("markdown"), (F.col("doc_id") % 7 - 2).alias("formulaCount"),
         F.array(F.lit("q1"), F.lit("q2")).alias("questionNumbers"), (k == 2).alias("noText"),
         F.when(k == 2, F.concat(F.lit("photo of "), F.col("doc_id").cast("string"))).otherwise("").alias("note")))
     raw = (
