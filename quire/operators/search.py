@@ -46,13 +46,15 @@ def search_hits(
 ) -> DataFrame:
     """The ranked documents with their first hits in (page, offset) order.
 
+    The at most ``limit`` ranked ids go into the plan as an IN filter, which
+    reaches the Parquet scan: the text of other documents is not read again.
     Offsets are cut per page, then per document by a rank whose limit is pushed
     below the shuffle; snippets are built only for the hits that are kept.
     """
     needle = needle_of(query)
-    ranked = search(pages, query, limit)
+    ranked = [row["job_id"] for row in search(pages, query, limit).collect()]
     width = max(len(needle), 1)
-    found = _counted(pages, needle).join(ranked, "job_id", "left_semi")
+    found = _counted(pages.filter(F.col("job_id").isin(ranked)), needle)
     offsets = text.occurrence_offsets(F.col("markdown"), needle or "\0", per_doc, ignore_case=True)
     each = found.select("job_id", "page", "markdown", F.explode(offsets).alias("at"))
     w = Window.partitionBy("job_id").orderBy("page", "at")
