@@ -185,3 +185,8 @@ def usable_provider(provider: Column, credentials: Column, allowed: Column) -> C
     """A provider with a credential, and on the allow list unless that is empty."""
     has = F.coalesce(F.try_element_at(credentials, provider), F.lit("")) != ""
     return has & ((F.coalesce(F.size(allowed), F.lit(0)) <= 0) | F.array_contains(allowed, provider))
+
+
+def pages_per_minute(elapsed_ms: Column, pages: Column) -> Column:
+    """Pace of a running batch; 0 in its first seconds."""
+    return F.when((elapsed_ms > 3000) & (pages > 0), pages / (elapsed_ms / 60000)).otherwise(F.lit(0.0))

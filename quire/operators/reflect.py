@@ -204,3 +204,29 @@ def report(done: DataFrame, key: str, now: datetime, tz: str = "UTC") -> dict[st
 def stale(cache: DataFrame, prints: DataFrame) -> DataFrame:
     """Cached texts (``key``, ``fp``) whose fingerprint no longer fits (``key``, ``fingerprint``)."""
     return prints.join(cache, "key", "left").select("key", (~F.col("fp").eqNullSafe(F.col("fingerprint"))).alias("stale"))
+
+
+def named_topics(topics_df: DataFrame, narrative: DataFrame, lang: str = "en") -> DataFrame:
+    """Topics with the names and notes of a recap (``topics``: tag, name, desc as
+    ``answers.narratives`` gives them); a topic without one keeps its tag."""
+    told = narrative.filter(F.col("topics").isNotNull()).select(F.inline("topics")).groupBy("tag").agg(
+        F.max(F.struct("name", "desc")).alias("_t")
+    )
+    other = "其它" if lang == "zh" else "Everything else"
+    plain = F.when(F.col("tag") == fv.OTHER_TOPIC, other).otherwise(F.col("tag"))
+    return topics_df.join(told, "tag", "left").select(
+        *topics_df.columns,
+        F.coalesce(F.nullif(F.col("_t.name"), F.lit("")), plain).alias("name"),
+        F.coalesce(F.col("_t.desc"), F.lit("")).alias("desc"),
+    )
+
+
+def plain_headline(topics_df: DataFrame, lang: str = "en") -> DataFrame:
+    """A headline from the two largest topics, for periods without a recap."""
+    zh = lang == "zh"
+    # at most six rows
+    lead = topics_df.filter((F.col("tag") != fv.OTHER_TOPIC) & (F.col("rank") <= 2)).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tag"))), lambda x: x["tag"]), "和" if zh else " and ").alias("_l")
+    )
+    some = F.concat(F.lit("这段时间主要在弄" if zh else "A stretch of "), F.col("_l"))
+    return lead.select(F.when(F.col("_l") != "", some).otherwise("这段时间还没有转换记录" if zh else "Nothing converted yet").alias("headline"))

@@ -7,10 +7,12 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
+from quire.functions import answers
 from quire.operators import reflect
 from quire.plans.library_queries import DONE
-from quire.plans.registry import query
+from quire.plans.registry import ORACLE, query
 from quire.plans.views_sql import TAGS, TRIM, q, with_
+from quire.sources.tables import table
 from quire.sources.views import NOW, done_jobs
 
 AT = datetime.fromisoformat(NOW)
@@ -90,3 +92,26 @@ n as (select id, row_number() over (order by created_at, id) n, count(*) over ()
 select n, id from n where t <= {fv.SAMPLE_CAP} or n - 1 in (select cast(floor(i * (t / {float(fv.SAMPLE_CAP)}::double)) as bigint) from range({fv.SAMPLE_CAP}) r(i), (select max(t) t from n) x)""")
 def reflect_sample(spark, folder):
     return reflect.sample(done_jobs(spark, folder), PERIOD)
+
+
+
+@query("reflect_named_topics", ORACLE["reflect_topics"].replace("select cast(rank as int) rank, tag,", """select tag,
+  case when tag = '__other__' then 'Everything else' when tag in (select c_mktsegment from customer) then 'About ' || tag else tag end as name,
+  case when tag in (select c_mktsegment from customer) then 'from ' || lower(tag) else '' end as "desc",""")
+    .replace("cast(pages as bigint) pages, cast(docs as bigint) docs,", ""))
+def reflect_named_topics(spark, folder):
+    """A recap that names the market segments; the other tags stand for themselves."""
+    seg = F.col("c_mktsegment")
+    raw = F.to_json(F.struct(F.struct(F.lit("x").alias("headline")).alias("en"), F.array(F.struct(
+        seg.alias("tag"), F.concat(F.lit("About "), seg).alias("name_en"), F.concat(F.lit("from "), F.lower(seg)).alias("desc_en"))).alias("topics")))
+    told = table(spark, folder, "customer").select(seg).distinct().select(raw.alias("raw"))
+    recap = answers.narratives(told, F.col("raw"), "en").select("narrative.topics")
+    named = reflect.named_topics(reflect.topics(done_jobs(spark, folder), PERIOD), recap)
+    return named.select("tag", "percent", "name", "desc")
+
+
+@query("reflect_headline", """
+with t as (""" + ORACLE["reflect_topics"] + """)
+select 'A stretch of ' || string_agg(tag, ' and ' order by rank) headline from t where rank <= 2 and tag <> '__other__'""")
+def reflect_headline(spark, folder):
+    return reflect.plain_headline(reflect.topics(done_jobs(spark, folder), PERIOD))

@@ -241,3 +241,18 @@ def command_steps(spark, folder):
     )
     s = answers.command_steps(o.select(k, command.alias("command")), F.col("command"), out="s")
     return s.select("o_orderkey", "s.verb", F.array_join("s.args", "|").alias("args"))
+
+
+@query("find_answers", with_(DONE) + """,
+n as (select id, row_number() over (order by created_at desc, id) n from done),
+a as (select c_custkey question, unnest([c_custkey % 37 * 11, c_nationkey + 1, c_custkey % 37 * 11, 10000000000]) n, unnest([0, 1, 2, 3]) pos, c_name from customer where c_mktsegment <> 'BUILDING'),
+f as (select question, id, min(pos) pos, any_value(c_name) why from a join n on n.n = a.n group by 1, 2)
+select question, row_number() over (partition by question order by pos) rank, id, why from f""")
+def find_answers(spark, folder):
+    """Raw answers, one per customer: with a repeated and an unknown number, in prose; one segment's answers are cut off."""
+    k, why = F.col("c_custkey"), F.col("c_name")
+    pick = lambda n: F.struct(n.cast("string").alias("n"), why.alias("why"))
+    body = F.to_json(F.struct(F.array(pick(k % 37 * 11), pick(F.col("c_nationkey") + 1), pick(k % 37 * 11), pick(F.lit(10**10))).alias("results")))
+    raw = F.when(F.col("c_mktsegment") == "BUILDING", F.replace(body, F.lit("}"), F.lit(""))).otherwise(F.concat(F.lit("I found: "), body, F.lit(" Good luck.")))
+    picks = answers.find_picks(views.table(spark, folder, "customer").select(k.alias("question"), raw.alias("raw")), F.col("raw"))
+    return search.find_results(picks.filter(F.col("error").isNull()), search.catalog(done_jobs(spark, folder)).select("n", "id"))
