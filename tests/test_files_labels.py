@@ -107,6 +107,6 @@ def test_card_and_find_answers(spark):
 
 
 def test_command_steps(spark):
-    df = spark.createDataFrame([('node /x/look.mjs search "latent heat" --any --n 5',), ("look read ab12 --page 3",), ("rm -rf /",), ("look fly",)], "v string")
+    df = spark.createDataFrame([('python /x/look.py search "latent heat" --any --n 5',), ("look read ab12 --page 3",), ("rm -rf /",), ("look fly",)], "v string")
     got = [r["step"] for r in answers.command_steps(df, C("v")).collect()]
     assert [tuple(g) if g else None for g in got] == [("search", ["latent heat"]), ("read", ["ab12", "p3"]), None, None]
