@@ -136,18 +136,20 @@ _ESCAPE = re.compile(r"([\\`*_{}\[\]<>])")
 _SPACES = re.compile("[" + re.escape(fv.WS_CHARS) + "]+")
 
 
-def _tolerance(size: float) -> float:
-    return max(fv.ROW_TOLERANCE, size * fv.ROW_TOLERANCE_RATIO)
+def _tolerances(size: list[float]) -> list[float]:
+    # few sizes occur on a page
+    by_size = {s: max(fv.ROW_TOLERANCE, s * fv.ROW_TOLERANCE_RATIO) for s in set(size)}
+    return [by_size[s] for s in size]
 
 
-def _rows(y: list[float], size: list[float], order: list[int]) -> list[list[int]]:
+def _rows(y: list[float], tolerance: list[float], order: list[int]) -> list[list[int]]:
     """Runs, from the top, to rows of run numbers. The rows' first heights fall
     from row to row, so the topmost row within a run's tolerance is found by
     bisection; mostly it is the last one."""
     rows: list[list[int]] = []
     heights: list[float] = []  # negated: rising
     for i in order:
-        reach = -(y[i] + _tolerance(size[i]))
+        reach = -(y[i] + tolerance[i])
         if not heights or heights[-1] < reach:
             rows.append([i])
             heights.append(-y[i])
@@ -164,36 +166,39 @@ def lines_to_markdown(words: list[str], x: list[float], y: list[float], width: l
     sizes = sorted(s for s in size if s > 3)
     body = sizes[len(sizes) // 2] if sizes else fv.BODY_SIZE_DEFAULT
     order = sorted(range(len(words)), key=lambda i: (-y[i], x[i]))
-    blocks: list[str] = []
+    blocks: list[list[str]] = []  # pieces of each block
     above = None
-    for row in _rows(y, size, order):
-        parts, edge = [], 0.0
-        for i in sorted(row, key=x.__getitem__):
-            if parts and x[i] - edge > _tolerance(size[i]):
-                parts.append(" ")
-            parts.append(words[i])
-            edge = x[i] + width[i]
+    tolerance = _tolerances(size)
+    for row in _rows(y, tolerance, order):
+        first_y = y[row[0]]
+        row.sort(key=x.__getitem__)
+        gaps = [x[b] - (x[a] + width[a]) > tolerance[b] for a, b in zip(row, row[1:])]
+        parts = [words[row[0]], *(f" {words[i]}" if gap else words[i] for i, gap in zip(row[1:], gaps))]
         text = strip(_SPACES.sub(" ", _ESCAPE.sub(r"\\\1", "".join(parts))))
         if not text:
             continue
-        mean, top = sum(size[i] for i in row) / len(row), y[row[0]]
+        mean, top = sum([size[i] for i in row]) / len(row), first_y
         gap = 0 if above is None else above - top
         above = top
         number = _NUMBER.match(text)
         if mean > body * fv.HEADING_RATIO and len(text) < fv.HEADING_CHARS:
-            blocks.append(f"### {text}")
+            blocks.append([f"### {text}"])
         elif mean > body * fv.SUBHEADING_RATIO and len(text) < fv.SUBHEADING_CHARS:
-            blocks.append(f"#### {text}")
+            blocks.append([f"#### {text}"])
         elif _BULLET.match(text):
-            blocks.append("- " + _BULLET.sub("", text))
+            blocks.append(["- " + _BULLET.sub("", text)])
         elif number:
-            blocks.append(f"{number[1]}. {text[number.end():]}")
-        elif blocks and blocks[-1][0] not in "#-" and gap < body * fv.PARAGRAPH_GAP:
-            last = blocks[-1]
-            blocks[-1] = last[:-1] + text if last.endswith("-") else f"{last} {text}"
+            blocks.append([f"{number[1]}. {text[number.end():]}"])
+        elif blocks and blocks[-1][0][0] not in "#-" and gap < body * fv.PARAGRAPH_GAP:
+            pieces = blocks[-1]
+            if pieces[-1].endswith("-"):
+                pieces[-1] = pieces[-1][:-1]
+                pieces.append(text)
+            else:
+                pieces.append(f" {text}")
         else:
-            blocks.append(text)
-    return "\n\n".join(blocks)
+            blocks.append([text])
+    return "\n\n".join(map("".join, blocks))
 
 
 # ---- print chunks ---------------------------------------------------------

@@ -18,9 +18,9 @@ USD = lambda x: f"(floor(coalesce(cast(sum(cast({x} as decimal(38,12))) as doubl
 
 
 def _sums(p: str, test: str) -> str:
-    return f"""count_if({test}) {p}calls, cast(coalesce(sum(case when {test} then input_tokens end), 0) as bigint) {p}input_tokens,
+    return f"""count(*) filter (where {test}) {p}calls, cast(coalesce(sum(case when {test} then input_tokens end), 0) as bigint) {p}input_tokens,
   cast(coalesce(sum(case when {test} then output_tokens end), 0) as bigint) {p}output_tokens,
-  {USD(f'case when {test} then cost_usd end')} {p}cost_usd, count_if({test} and cost_usd is null) {p}unpriced"""
+  {USD(f'case when {test} then cost_usd end')} {p}cost_usd, count(*) filter (where {test} and cost_usd is null) {p}unpriced"""
 
 
 BOTH = _sums("month_", MONTH) + ", " + _sums("all_", "true")

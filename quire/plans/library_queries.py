@@ -51,8 +51,8 @@ def recovered_jobs(spark, folder):
 
 @query("batch_summary", with_(JOBS) + f"""
 select batch_id, label, total, done, active, failed, pages, {STAMP_SQL('c')} created_at, {STAMP_SQL('u')} updated_at from (
-select batch_id, max(batch_label) as label, count(*) as total, count_if(status = 'done') done,
-  count_if(status in ('queued', 'running')) active, count_if(status in ('failed', 'cancelled')) failed,
+select batch_id, max(batch_label) as label, count(*) as total, count(*) filter (where status = 'done') done,
+  count(*) filter (where status in ('queued', 'running')) active, count(*) filter (where status in ('failed', 'cancelled')) failed,
   cast(sum(page_count) as bigint) pages, min(created_at) c, max(updated_at) u
 from lib_jobs where batch_id is not null group by batch_id order by c desc, batch_id limit {fv.BATCH_LIMIT})""")
 def batch_summary(spark, folder):
@@ -107,7 +107,7 @@ def month_histogram(spark, folder):
 
 
 @query("quality_counts", with_(DONE) + """
-select count_if(fallback_count > 0) fallback, count_if(review_count > 0 and fallback_count = 0) review from done""")
+select count(*) filter (where fallback_count > 0) fallback, count(*) filter (where review_count > 0 and fallback_count = 0) review from done""")
 def quality_counts(spark, folder):
     return library.quality_counts(done_jobs(spark, folder))
 
@@ -186,7 +186,7 @@ def batch_progress(spark, folder):
 @query("staged_estimate", with_(DONE) + f""",
 r as (select *, row_number() over (partition by mode order by finished_at desc, id) rn from done where duration_ms > 0 and page_count > 0),
 sp as (select mode, {ROUND('median(duration_ms / 1000 / page_count)', 2)} sec from r where rn <= 50 group by mode having count(*) >= 3),
-st as (select mode, cast(sum(page_count) as bigint) pages, count_if(page_count is null) unknown from lib_jobs where status = 'queued' group by mode)
+st as (select mode, cast(sum(page_count) as bigint) pages, count(*) filter (where page_count is null) unknown from lib_jobs where status = 'queued' group by mode)
 select st.mode as mode, pages, unknown, case when pages > 0 then {ROUND('pages * sec', 2)} end secs,
   case when pages > 0 then {ROUND('pages * 0.0125::double', 6)} end cost from st left join sp on sp.mode = st.mode""")
 def staged_estimate(spark, folder):

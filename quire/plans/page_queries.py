@@ -57,8 +57,8 @@ def outcome_counts(spark, folder):
 
 
 @query("document_summary", with_(FINALS) + """
-select job_id, count(*) page_count, count_if(status = 'review') review_count, count_if(method = 'ai') ai_pages,
-  cast(sum(char_count) as bigint) as char_count, count_if(outcome = 'fallback') fallback_count from finals group by job_id""")
+select job_id, count(*) page_count, count(*) filter (where status = 'review') review_count, count(*) filter (where method = 'ai') ai_pages,
+  cast(sum(char_count) as bigint) as char_count, count(*) filter (where outcome = 'fallback') fallback_count from finals group by job_id""")
 def document_summary(spark, folder):
     return pages.summary(lib_finals(spark, folder))
 
@@ -68,14 +68,14 @@ c as (select reasons[-1] r, markdown from finals where outcome = 'fallback'),
 k as (select case when starts_with(r, 'AI 结果未通过程序校验：') then 'rejected' when contains(r, 'credits are depleted') then 'credits'
    when contains(r, '超时') then 'timeout' when contains(r, 'fetch failed') then 'network' when contains(r, '有效 JSON') then 'badOutput' else 'unknown' end kind,
    starts_with(r, 'AI 识别失败，且此页没有文字层可回退：') empty from c)
-select kind, count(*) pages, count_if(empty) empty_pages, kind = 'credits' blocker from k group by kind""")
+select kind, count(*) pages, count(*) filter (where empty) empty_pages, kind = 'credits' blocker from k group by kind""")
 def failure_causes(spark, folder):
     return pages.failure_causes(lib_finals(spark, folder))
 
 
 @query("score_strip", with_(FINALS) + """
-select job_id, count(*) - count_if(status = 'review') passed, count_if(status = 'review' and outcome <> 'noText') review,
-  count_if(outcome = 'noText') no_text, cast(sum(formula_count) as bigint) formulas from finals group by job_id""")
+select job_id, count(*) - count(*) filter (where status = 'review') passed, count(*) filter (where status = 'review' and outcome <> 'noText') review,
+  count(*) filter (where outcome = 'noText') no_text, cast(sum(formula_count) as bigint) formulas from finals group by job_id""")
 def score_strip(spark, folder):
     return pages.scores(lib_finals(spark, folder))
 
@@ -164,7 +164,7 @@ def resumed_pages(spark, folder):
 @query("assembled_markdown", with_(FINALS) + f""",
 b as (select job_id, string_agg('## PDF 第 ' || page || ' 页' || chr(10) || chr(10) || case when markdown <> '' then markdown when outcome = 'noText' then
     '_[AI 检测：此页没有可提取的文字（photo）。]_' else '_[此页未检测到文字，请查看原始 PDF。]_' end || chr(10) || chr(10) || '---' || chr(10), chr(10) order by page) body,
-  count(*) n, count_if(method = 'ai') ai from finals group by job_id),
+  count(*) n, count(*) filter (where method = 'ai') ai from finals group by job_id),
 m as (select job_id, regexp_replace('# Doc\\_' || job_id || chr(10) || chr(10) || '> 由quire转换，共 ' || n || ' 页。由视觉模型直接识别 ' || ai || '/' || n ||
   ' 页；PDF 文字层作为提示与回退，识别未通过校验的页面回退文字层。' || chr(10) || chr(10) || body, '{fv.WS}+\\z', '') || chr(10) md from b)
 select job_id, length(md) size, md5(md) text_md5 from m""")
@@ -283,7 +283,7 @@ def document_sections(spark, folder):
     return pages.page_sections(lib_finals(spark, folder)).select("job_id", "page", F.md5("section").alias("section_md5"))
 
 
-@query("nothing_to_rerun", with_(FINALS) + "select job_id from finals group by job_id having count_if(outcome = 'fallback') = 0")
+@query("nothing_to_rerun", with_(FINALS) + "select job_id from finals group by job_id having count(*) filter (where outcome = 'fallback') = 0")
 def nothing_to_rerun(spark, folder):
     return pages.nothing_to_rerun(lib_finals(spark, folder))
 

@@ -22,8 +22,8 @@ PREV = f"created_at >= timestamp '{PERIOD.previous}' and created_at < timestamp
 
 
 @query("reflect_totals", with_(DONE) + f"""
-select count_if({CUR}) docs, cast(coalesce(sum(case when {CUR} then page_count end), 0) as bigint) pages, cast(coalesce(sum(case when {CUR} then char_count end), 0) as bigint) chars,
-  count_if({PREV}) prev_docs, cast(coalesce(sum(case when {PREV} then page_count end), 0) as bigint) prev_pages from done""")
+select count(*) filter (where {CUR}) docs, cast(coalesce(sum(case when {CUR} then page_count end), 0) as bigint) pages, cast(coalesce(sum(case when {CUR} then char_count end), 0) as bigint) chars,
+  count(*) filter (where {PREV}) prev_docs, cast(coalesce(sum(case when {PREV} then page_count end), 0) as bigint) prev_pages from done""")
 def reflect_totals(spark, folder):
     return reflect.totals(done_jobs(spark, folder), PERIOD)
 

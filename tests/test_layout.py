@@ -70,7 +70,7 @@ def test_rows_against_a_plain_search(seed):
     rng = random.Random(seed)
     runs = [run(f"t{i}", rng.randrange(300), rng.randrange(60), rng.choice([6, 12, 24, 60])) for i in range(60)]
     order = sorted(range(60), key=lambda i: (-runs[i][2], runs[i][1]))
-    got = _rows([r[2] for r in runs], [r[4] for r in runs], order)
+    got = _rows([r[2] for r in runs], [max(2.5, r[4] * 0.24) for r in runs], order)
     assert [[runs[i][0] for i in row] for row in got] == [[r[0] for r in row] for row in scan_rows(runs)]
 
 
