@@ -10,11 +10,12 @@ from quire.functions.base import js_trim, js_trim_end, js_trim_start, squash
 
 # The formula pattern, shaped for a backtracking engine: the run between two
 # dollars is taken possessively (a loop, where a plain group would recurse once
-# per character), and a dollar behind a backslash closes only when the line holds
-# no plain one. The matches are the same.
-_FORMULA_JAVA = r"\$\$[\s\S]*?\$\$|\$(?:[^$\n\\]++|\\.|\\)++\$|\$[^\n]*\\\$"
+# per character), and a dollar behind a backslash closes only when the rest of the
+# line holds no plain one. The matches are the same.
+_RUN = r"(?:[^$\n\\]++|\\.|\\)++"
+_FORMULA_JAVA = rf"\$\$[\s\S]*?\$\$|\${_RUN}\$|\$(?={_RUN}(?:\n|\z))[^\n]*\\\$"
 
-_INLINE_JAVA = r"(?:^|[^\\$])\$((?:[^$\n\\]++|\\.|\\)++(?=\$)|[^\n]*\\)\$"
+_INLINE_JAVA = rf"(?:^|[^\\$])\$({_RUN}(?=\$)|(?={_RUN}(?:\n|\z))[^\n]*\\)\$"
 
 
 def count_formulas(md: Column) -> Column:

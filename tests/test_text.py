@@ -52,6 +52,22 @@ def test_formula_count_is_the_plain_patterns_count(spark, items):
     assert got == [len(PATTERN.findall(i)) for i in items]
 
 
+def test_formula_patterns_on_every_short_text():
+    import itertools
+
+    shaped = [re.compile(p.replace(r"\z", r"\Z")) for p in (text._FORMULA_JAVA, text._INLINE_JAVA)]
+    plain = [re.compile(p) for p in (fv.FORMULA, fv.INLINE_FORMULA)]
+    for size in range(8):
+        for letters in itertools.product("$\\a\n", repeat=size):
+            item = "".join(letters)
+            for mine, theirs in zip(shaped, plain):
+                assert [m.span() for m in mine.finditer(item)] == [m.span() for m in theirs.finditer(item)], item
+
+
+def test_formula_found_by_random_search(spark):
+    assert values(spark, text.count_formulas(C("v")), ["$$\\$ $ $"]) == [1]
+
+
 def test_formulas_on_a_long_line_do_not_overflow(spark):
     line = "$" + "x\\y " * 20000
     assert values(spark, text.count_formulas(C("v")), [line, line + "$"]) == [0, 1]
