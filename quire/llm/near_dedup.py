@@ -1,8 +1,7 @@
 """MinHash near-duplicates by an inverted join of signature coordinates.
 
 1. A document's set is its distinct word shingles, as 64-bit hashes. Documents with
-   equal sets (128-bit digest) form a class, named by its smallest id; only classes
-   go on.
+   equal sets (128-bit digest) form a class; only classes go on.
 2. A class has ``coordinates`` min-hashes. Two classes can be linked only if at
    least ``matches`` coordinates agree; the number is chosen so that a pair at the
    similarity threshold is missed with a probability of at most ``miss``.
@@ -11,22 +10,24 @@
    enough matches meet in the first ``coordinates - matches + 1`` values of both:
    only this prefix is joined.
 4. Star rounds: in each posting list every class is paired with one hub (the most
-   central class, later rounds a random one), pairs with enough matches are
-   confirmed on the full sets, and confirmed links are contracted to components.
-   So a list with n close copies costs n pairs, not n^2.
-5. What is left in lists with more than one component is joined exactly: pairs from
-   different components, of fitting sizes, each in the first prefix value it
-   shares, with enough matches; again confirmed on the full sets.
+   central class, later a random one). Pairs with enough matches are candidates;
+   those whose estimate reaches the threshold are taken as linked for the time
+   being. So a list with n close copies costs n pairs, not n^2.
+5. Lists with classes that are not yet taken as linked are joined exactly: each pair in
+   the first prefix value it shares, of fitting sizes, with enough matches.
+6. All candidates are confirmed on the full sets, read once from the texts of the
+   classes concerned. Confirmed links make the components.
+7. Where classes taken as linked turn out to be in several components, their lists are
+   joined once more, for the pairs across those components, and confirmed.
 
 No list, component or pair has a cap. Links between classes that are in one
 component already add nothing to the result and are not looked for.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is
 linked with nothing; a text with fewer words than a shingle is one shingle; equal
-texts are one component; rows that repeat an id are one document, and if their texts
-differ only one of them is compared with near texts; a row with a null id joins a
-component by an equal set only and is alone otherwise; an empty table gives no rows. Other
-columns are kept; an input column named like an output column is replaced.
+texts are one component; rows that repeat an id are one document; a row with a null id
+joins a component by an equal set only and is alone otherwise; an empty table gives no
+rows. Other columns are kept; an input column named like an output column is replaced.
 """
 
 from __future__ import annotations
@@ -108,22 +109,24 @@ def _sets(batch: pa.Array, shingle: int):
 
 
 def sketched(docs: DataFrame, text: str, shingle: int, coordinates: int) -> DataFrame:
-    """``docs`` with n_shingles, the set's digest and its signature (null for an empty set)."""
+    """``docs`` with n_shingles, the set's digest, the number its class goes by (half of the
+    digest) and its signature; null for an empty set."""
 
     def make():
         def compute(_, hashes):
-            counts, digests, signatures = [], [], []
+            counts, names, digests, signatures = [], [], [], []
             for s in _sets(hashes, shingle):
                 counts.append(len(s))
                 with np.errstate(over="ignore"):
-                    high, low = (int(_mixed(s ^ np.uint64(x)).sum(dtype=np.uint64)) for x in (_SEED, 0x5851F42D4C957F2D))
-                    digests.append((high << 64 | low).to_bytes(16, "big") if len(s) else None)
+                    high, low = (_mixed(s ^ np.uint64(x)).sum(dtype=np.uint64) for x in (_SEED, 0x5851F42D4C957F2D))
+                    names.append(int(high.view(np.int64)) if len(s) else None)
+                    digests.append(high.tobytes() + low.tobytes() if len(s) else None)
                     signatures.append(_signature(s, coordinates).view(np.int64) if len(s) else None)
-            return counts, digests, signatures
+            return counts, names, digests, signatures
 
         return compute
 
-    return add_columns(docs, [col(text).cast("string"), word_hashes(col(text))], "n_shingles long, _digest binary, _sig array<long>", make)
+    return add_columns(docs, [col(text).cast("string"), word_hashes(col(text))], "n_shingles long, _class long, _digest binary, _sig array<long>", make)
 
 
 def with_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
@@ -138,20 +141,13 @@ def _agree(a, b):
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
-def _fitting(percent: int):
+def _fitting(a: str, b: str, percent: int):
     """Sets whose sizes alone do not rule out the similarity."""
-    a, b = F.col("_size_a") * 100, F.col("_size_b") * 100
-    return (a >= F.col("_size_b") * percent) & (b >= F.col("_size_a") * percent)
+    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
 def _side(df: DataFrame, name: str) -> DataFrame:
-    return df.select(F.col("_class").alias(name), *(col(c).alias(f"{c}_{name}") for c in df.columns if c != "_class"))
-
-
-def _similar(pairs: DataFrame, small: DataFrame, matches: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b): those with enough agreeing coordinates and fitting sizes."""
-    joined = pairs.join(_side(small, "a"), "a").join(_side(small, "b"), "b")
-    return joined.filter(_fitting(percent) & (_agree(F.col("_bytes_a"), F.col("_bytes_b")) >= matches)).select("a", "b")
+    return df.select(*(col(c).alias(name if c == "_class" else f"{c}_{name}") for c in df.columns))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -185,12 +181,6 @@ def _labelled(classes: DataFrame, labels: DataFrame | None) -> DataFrame:
     return classes.join(labels, "_class", "left").withColumn("_comp", F.coalesce("_comp", "_class"))
 
 
-def _mixed_lists(posted: DataFrame, *also) -> DataFrame:
-    """The posting lists with classes of more than one component."""
-    lists = posted.groupBy("_value").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high"), *also)
-    return lists.filter("_low != _high").drop("_low", "_high")
-
-
 def prefixes(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
     """Per class that can have a link: its prefix, the rarest values that others share,
     and its centrality, the number of times its values occur."""
@@ -207,53 +197,86 @@ def prefixes(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
     ).filter(F.size("_prefix") > 0)
 
 
-def link_classes(classes: DataFrame, docs: DataFrame, shingle: int, percent: int, coordinates: int, miss: float, stars: int = 3) -> DataFrame | None:
+def _star_pairs(posted: DataFrame, first, percent: int, matches: int) -> DataFrame:
+    """(a, b, _n): classes paired with the hub of a list they stand in, the class that is
+    greatest by ``first``; _n coordinates agree. Lists of one component have no pairs."""
+    lists = posted.groupBy("_value").agg(
+        F.max(F.struct(first.alias("_first"), "_class", "_comp", "_size", "_bytes")).alias("_hub"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high")
+    ).filter("_low != _high")
+    met = posted.join(lists, "_value").filter((F.col("_comp") != F.col("_hub._comp")) & _fitting("_size", "_hub._size", percent))
+    return met.select(
+        F.least("_class", F.col("_hub._class")).alias("a"), F.greatest("_class", F.col("_hub._class")).alias("b"),
+        _agree(F.col("_bytes"), F.col("_hub._bytes")).alias("_n"),
+    ).filter(F.col("_n") >= matches).distinct()
+
+
+def _cross_pairs(posted: DataFrame, percent: int, matches: int, within: str | None = None) -> DataFrame:
+    """(a, b): classes of different components (and, if asked, equal ``within``) that meet
+    in a list, each pair in the first list it meets in, with enough agreeing coordinates."""
+    lists = posted.groupBy("_value").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high")).filter("_low != _high").select("_value")
+    live = written(posted.join(lists, "_value"), "dedup-rest")
+    met = (
+        (F.col("_value_a") == F.col("_value_b")) & (F.col("a") < F.col("b")) & (F.col("_comp_a") != F.col("_comp_b")) & _fitting("_size_a", "_size_b", percent)
+        & (F.get(F.array_intersect("_order_a", "_order_b"), F.lit(0)) == _short(F.col("_value_a")))
+        & (_agree(F.col("_bytes_a"), F.col("_bytes_b")) >= matches)
+    )
+    if within:
+        met = met & (F.col(f"{within}_a") == F.col(f"{within}_b"))
+    return _side(live, "a").join(_side(live, "b"), met).select("a", "b")
+
+
+def _short(value):
+    return value.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("_class")).distinct()
+
+
+def link_classes(classes: DataFrame, docs: DataFrame, shingle: int, percent: int, coordinates: int, miss: float, stars: int = 2) -> DataFrame | None:
     """(_class, _comp) for the classes with links, None if there are none. ``classes``
-    has _class, _hash (of the text), n_shingles and _sig; ``docs`` _id, _hash and _text."""
+    has _class, _id and _hash of one of its documents, n_shingles and _sig; ``docs`` has
+    _id, _hash and _text."""
     matches = least_matches(coordinates, percent / 100, miss)
+    likely = math.ceil(percent * coordinates / 100)
     starts = written(prefixes(classes, coordinates, matches).join(
         classes.select(
-            "_class", "_hash", F.col("n_shingles").alias("_size"),
+            "_class", "_id", "_hash", F.col("n_shingles").alias("_size"),
+            # a byte of each coordinate agrees wherever the whole value does: no pair is lost by comparing bytes
             F.transform("_sig", lambda x: (x.bitwiseAND(F.lit(255)) - 128).cast("byte")).alias("_bytes"),
         ), "_class",
     ), "dedup-starts")
     if starts.isEmpty():
         return None
-    # a byte of each coordinate agrees wherever the whole value does: no pair is lost by comparing bytes
-    small = starts.select("_class", "_size", "_bytes")
-    wanted = starts.select(F.col("_class").alias("_id"), "_hash")
-    bodies = docs.join(wanted, ["_id", "_hash"], "left_semi").dropDuplicates(["_id"])
-    sets = written(with_sets(bodies, "_text", shingle).select(F.col("_id").alias("_class"), "_set"), "dedup-sets")
-    prefix = starts.select("_class", "_centre", "_prefix")
-
-    links = labels = None
+    posts = starts.select("_class", "_centre", "_size", "_bytes", F.explode("_prefix").alias("_value"))
+    candidates, taken = None, None
     for turn in range(stars):
-        posted = _labelled(prefix.select("_class", "_centre", F.explode("_prefix").alias("_value")), labels)
         first = F.col("_centre") if turn == 0 else F.xxhash64("_class", F.lit(turn))
-        lists = _mixed_lists(posted, F.max(F.struct(first.alias("_first"), "_class", "_comp")).alias("_hub"))
-        pairs = posted.join(lists, "_value").filter(F.col("_comp") != F.col("_hub._comp")).select(
-            F.least("_class", F.col("_hub._class")).alias("a"), F.greatest("_class", F.col("_hub._class")).alias("b")
-        ).distinct()
-        found = written(_confirmed(written(_similar(pairs, small, matches, percent), "dedup-pairs"), sets, percent), "dedup-links")
-        if found.isEmpty():
+        found = written(_star_pairs(_labelled(posts, taken), first, percent, matches), "dedup-pairs")
+        candidates = found if candidates is None else candidates.union(found)
+        close = candidates.filter(F.col("_n") >= likely)
+        if found.filter(F.col("_n") >= likely).isEmpty():
             break
-        links = found if links is None else links.union(found)
-        labels = components(links)
-
-    posted = _labelled(starts.select("_class", "_size", "_bytes", "_prefix", F.explode("_prefix").alias("_value")), labels)
-    lists = written(_mixed_lists(posted.select("_value", "_comp")), "dedup-lists")
-    posted = written(posted.join(lists, "_value"), "dedup-rest")
-    one, two = (posted.select(*(col(c).alias(f"{c}_{n}") for c in posted.columns)) for n in "ab")
-    pairs = one.join(
-        two,
-        (F.col("_value_a") == F.col("_value_b")) & (F.col("_class_a") < F.col("_class_b")) & (F.col("_comp_a") != F.col("_comp_b"))
-        & _fitting(percent) & (F.get(F.array_intersect("_prefix_a", "_prefix_b"), F.lit(0)) == F.col("_value_a"))
-        & (_agree(F.col("_bytes_a"), F.col("_bytes_b")) >= matches),
-    ).select(F.col("_class_a").alias("a"), F.col("_class_b").alias("b"))
-    found = written(_confirmed(written(pairs, "dedup-pairs"), sets, percent), "dedup-links")
-    if not found.isEmpty():
-        labels = components(found if links is None else links.union(found))
-    return labels
+        taken = components(close)
+
+    ordered = starts.select("_class", "_size", "_bytes", F.transform("_prefix", _short).alias("_order"), F.explode("_prefix").alias("_value"))
+    candidates = written(candidates.select("a", "b").union(_cross_pairs(_labelled(ordered, taken), percent, matches)).distinct(), "dedup-candidates")
+    wanted = starts.join(_ends(candidates), "_class", "left_semi").select("_id", "_hash", F.col("_class").alias("_of"))
+    bodies = docs.join(wanted, ["_id", "_hash"]).dropDuplicates(["_of"])
+    sets = written(with_sets(bodies, "_text", shingle).select(F.col("_of").alias("_class"), "_set"), "dedup-sets")
+    links = written(_confirmed(candidates, sets, percent), "dedup-links")
+    if links.isEmpty():
+        return None
+    labels = components(links)
+    if taken is None:
+        return labels
+    # classes that were taken as linked but are in several components
+    groups = _labelled(taken.withColumnRenamed("_comp", "_taken"), labels)
+    split = groups.groupBy("_taken").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high")).filter("_low != _high").select("_taken")
+    again = ordered.join(written(groups.join(split, "_taken"), "dedup-split"), "_class")
+    more = _cross_pairs(again, percent, matches, "_taken").distinct().join(candidates, ["a", "b"], "left_anti")
+    found = written(_confirmed(written(more, "dedup-pairs"), sets, percent), "dedup-links")
+    return labels if found.isEmpty() else components(links.union(found))
 
 
 def judged(
@@ -264,20 +287,20 @@ def judged(
     body = col(text).cast("string")
     slim = docs.select(col(id).cast("long").alias("_id"), body.alias("_text"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("_hash"))
     sketches = written(sketched(slim, "_text", shingle, coordinates).drop("_text"), "dedup-sketches")
-    rows = sketches.select("_id", "_hash", "n_shingles", "_digest")
-    equal = written(
-        rows.filter("_digest is not null").groupBy("_digest").agg(F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "_hash"))).alias("_first"))
-        .select("_digest", F.col("_first._id").alias("_class"), F.col("_first._hash").alias("_hash")).filter("_class is not null"), "dedup-classes",
-    )
-    named = equal.groupBy("_class").agg(F.min("_hash").alias("_hash"))  # one text for an id with several
-    classes = written(
-        named.join(sketches.withColumnRenamed("_id", "_class"), ["_class", "_hash"]).groupBy("_class")
-        .agg(F.first("_hash").alias("_hash"), F.first("n_shingles").alias("n_shingles"), F.first("_sig").alias("_sig")), "dedup-signatures",
-    )
+    rows = sketches.select("_id", "_hash", "n_shingles", "_class")
+    # two different sets go by one number in n^2 / 2^65 of all cases; one of them would then stand for both
+    whole = F.struct("_digest", "_id", "_hash", "n_shingles", "_sig")
+    one = sketches.filter("_class is not null and _id is not null").groupBy("_class").agg(F.min(whole).alias("_one"))
+    classes = written(one.select("_class", "_one.*"), "dedup-classes")
     labels = link_classes(classes, slim, shingle, percent, coordinates, miss)
-    of = written(_labelled(equal.select("_digest", "_class"), labels).select("_digest", "_comp"), "dedup-components")
-    component = F.coalesce("_comp", "_id")
-    return rows.join(of, "_digest", "left").select(
+    names = classes.select("_class", F.col("_id").alias("_least"))
+    if labels is not None:
+        linked = labels.join(names, "_class")
+        smallest = linked.groupBy("_comp").agg(F.min("_least").alias("_reached"))
+        names = names.join(linked.join(smallest, "_comp").select("_class", "_reached"), "_class", "left")
+        names = names.select("_class", F.coalesce("_reached", "_least").alias("_least"))
+    component = F.coalesce("_least", "_id")
+    return rows.join(written(names, "dedup-components"), "_class", "left").select(
         "_id", "_hash", "n_shingles", component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept")
     )
 
