@@ -197,22 +197,27 @@ def prefixes(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
     ).filter(F.size("_prefix") > 0)
 
 
-def _star_pairs(posted: DataFrame, first, percent: int, matches: int) -> DataFrame:
+def _star_pairs(starts: DataFrame, first, percent: int, matches: int) -> DataFrame:
     """(a, b, _n): classes paired with the hub of a list they stand in, the class that is
-    greatest by ``first``; _n coordinates agree. Lists of one component have no pairs."""
+    greatest by ``first``; _n coordinates agree. Lists of one component have no pairs.
+    ``starts`` has _comp. Only numbers go through the lists; signatures join the pairs."""
+    posted = starts.select("_class", "_comp", first.alias("_first"), F.explode("_prefix").alias("_value"))
     lists = posted.groupBy("_value").agg(
-        F.max(F.struct(first.alias("_first"), "_class", "_comp", "_size", "_bytes")).alias("_hub"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high")
-    ).filter("_low != _high")
-    met = posted.join(lists, "_value").filter((F.col("_comp") != F.col("_hub._comp")) & _fitting("_size", "_hub._size", percent))
-    return met.select(
-        F.least("_class", F.col("_hub._class")).alias("a"), F.greatest("_class", F.col("_hub._class")).alias("b"),
-        _agree(F.col("_bytes"), F.col("_hub._bytes")).alias("_n"),
-    ).filter(F.col("_n") >= matches).distinct()
+        F.max(F.struct("_first", "_class", "_comp")).alias("_hub"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high")
+    ).filter("_low != _high").select("_value", F.col("_hub._class").alias("_hub"), F.col("_hub._comp").alias("_hub_comp"))
+    met = posted.select("_class", "_comp", "_value").join(lists, "_value").filter("_comp != _hub_comp")
+    pairs = met.select(F.least("_class", "_hub").alias("a"), F.greatest("_class", "_hub").alias("b")).distinct()
+    small = starts.select("_class", "_size", "_bytes")
+    seen = pairs.join(_side(small, "a"), "a").join(_side(small, "b"), "b").filter(_fitting("_size_a", "_size_b", percent))
+    return seen.select("a", "b", _agree(F.col("_bytes_a"), F.col("_bytes_b")).alias("_n")).filter(F.col("_n") >= matches)
 
 
-def _cross_pairs(posted: DataFrame, percent: int, matches: int, within: str | None = None) -> DataFrame:
+def _cross_pairs(starts: DataFrame, percent: int, matches: int, within: str | None = None) -> DataFrame:
     """(a, b): classes of different components (and, if asked, equal ``within``) that meet
-    in a list, each pair in the first list it meets in, with enough agreeing coordinates."""
+    in a list, each pair in the first list it meets in, with enough agreeing coordinates.
+    ``starts`` has _comp."""
+    kept = ["_class", "_comp", "_size", "_bytes", *([within] if within else [])]
+    posted = starts.select(*kept, F.transform("_prefix", _short).alias("_order"), F.explode("_prefix").alias("_value"))
     lists = posted.groupBy("_value").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high")).filter("_low != _high").select("_value")
     live = written(posted.join(lists, "_value"), "dedup-rest")
     met = (
@@ -248,19 +253,17 @@ def link_classes(classes: DataFrame, docs: DataFrame, shingle: int, percent: int
     ), "dedup-starts")
     if starts.isEmpty():
         return None
-    posts = starts.select("_class", "_centre", "_size", "_bytes", F.explode("_prefix").alias("_value"))
     candidates, taken = None, None
     for turn in range(stars):
         first = F.col("_centre") if turn == 0 else F.xxhash64("_class", F.lit(turn))
-        found = written(_star_pairs(_labelled(posts, taken), first, percent, matches), "dedup-pairs")
+        found = written(_star_pairs(_labelled(starts, taken), first, percent, matches), "dedup-pairs")
         candidates = found if candidates is None else candidates.union(found)
         close = candidates.filter(F.col("_n") >= likely)
         if found.filter(F.col("_n") >= likely).isEmpty():
             break
         taken = components(close)
 
-    ordered = starts.select("_class", "_size", "_bytes", F.transform("_prefix", _short).alias("_order"), F.explode("_prefix").alias("_value"))
-    candidates = written(candidates.select("a", "b").union(_cross_pairs(_labelled(ordered, taken), percent, matches)).distinct(), "dedup-candidates")
+    candidates = written(candidates.select("a", "b").union(_cross_pairs(_labelled(starts, taken), percent, matches)).distinct(), "dedup-candidates")
     wanted = starts.join(_ends(candidates), "_class", "left_semi").select("_id", "_hash", F.col("_class").alias("_of"))
     bodies = docs.join(wanted, ["_id", "_hash"]).dropDuplicates(["_of"])
     sets = written(with_sets(bodies, "_text", shingle).select(F.col("_of").alias("_class"), "_set"), "dedup-sets")
@@ -273,7 +276,7 @@ def link_classes(classes: DataFrame, docs: DataFrame, shingle: int, percent: int
     # classes that were taken as linked but are in several components
     groups = _labelled(taken.withColumnRenamed("_comp", "_taken"), labels)
     split = groups.groupBy("_taken").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high")).filter("_low != _high").select("_taken")
-    again = ordered.join(written(groups.join(split, "_taken"), "dedup-split"), "_class")
+    again = starts.join(written(groups.join(split, "_taken"), "dedup-split"), "_class")
     more = _cross_pairs(again, percent, matches, "_taken").distinct().join(candidates, ["a", "b"], "left_anti")
     found = written(_confirmed(written(more, "dedup-pairs"), sets, percent), "dedup-links")
     return labels if found.isEmpty() else components(links.union(found))
