@@ -82,3 +82,8 @@ def texts(array: pa.Array) -> list[str]:
 
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def lowered(text: str) -> str:
+    """``text`` with A-Z in lower case and all else as it is."""
+    return text.encode().lower().decode()  # bytes have ASCII letters only

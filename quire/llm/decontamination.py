@@ -27,7 +27,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.arrow_ops import add_columns, col, lower_ascii, texts
+from quire.llm.arrow_ops import add_columns, col, lower_ascii, lowered
 
 #: words of normalised text: runs of digits, letters and non-ASCII characters
 TEST_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -175,14 +175,13 @@ def normal(text: F.Column) -> F.Column:
     return lower_ascii(text.cast("string"))
 
 
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def cut(text: str, spans: Sequence[tuple[int, int]]) -> str:
     """``text`` without the words of the spans and what stands between them."""
     if not spans:
         return text
-    at = [m.span() for m in _WORDS.finditer(text.translate(_LOWER))]
+    at = [m.span() for m in _WORDS.finditer(lowered(text))]
     parts, done = [], 0
     for start, stop in spans:
         parts.append(text[done : at[start][0]])
@@ -206,7 +205,7 @@ def _pass(df: DataFrame, text: str, items: list[tuple[str, list[str]]], window:
             known = zip(*(e.to_pylist() for e in earlier), strict=True) if earlier else None
             for value in array.to_pylist():
                 value = value or ""
-                words = _WORDS.findall(value.translate(_LOWER))
+                words = _WORDS.findall(lowered(value))
                 spans, found = automaton.match(words)
                 if known is not None:
                     old_spans, old_items = next(known)

@@ -38,11 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.arrow_ops import WORD, add_columns, col, texts
+from quire.llm.arrow_ops import WORD, add_columns, col, lowered, texts
 from quire.session import written
 
 _WORDS = re.compile(WORD)
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: the end of a text; no word has a space
 END = " "
 #: words longer than this are looked up in the table, never in the automaton
@@ -50,7 +49,7 @@ LONG = 256
 
 
 def tokens(text: str) -> list[str]:
-    found = _WORDS.findall(text.translate(_LOWER))
+    found = _WORDS.findall(lowered(text))
     found.append(END)
     return found
 

@@ -25,10 +25,9 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 
-from quire.llm.arrow_ops import add_columns, col, texts
+from quire.llm.arrow_ops import add_columns, col, lowered, texts
 
 _WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 # fixed values: the wording of public licence notices, (licence, notice)
 NOTICES = (
@@ -57,7 +56,7 @@ NOTICES = (
 
 
 def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.translate(_LOWER))
+    return _WORDS.findall(lowered(text))
 
 
 def band_count(similarity: float, rows: int, miss: float) -> int:
