@@ -63,12 +63,13 @@ def download_name(filename: Column, ai_title: Column, meaningful: Column, day: C
     return F.concat(name, F.lit(" "), day, F.lit(f".{ext}"))
 
 
-def natural_key(name: Column, digits: int = 20) -> Column:
-    """Sort key with numbers by value: ``IMG_2`` before ``IMG_10``."""
+def natural_key(name: Column) -> Column:
+    """Sort key with numbers by value: ``IMG_2`` before ``IMG_10``. A number stands behind
+    the count of its digits, so it may have any length."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(
-        F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.ltrim(p, F.lit("0")), digits, "0")).otherwise(p)), ""
-    )
+    number = lambda p: F.ltrim(p, F.lit("0"))
+    sized = lambda p: F.concat(F.lpad(F.length(number(p)).cast("string"), 10, "0"), number(p))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), sized(p)).otherwise(p)), "")
 
 
 def decode_part_name(name: Column) -> Column:

@@ -92,7 +92,7 @@ def formulas(md: Column) -> Column:
     """Display formulas, then the inline ones of the remaining text."""
     display = F.transform(F.regexp_extract_all(md, F.lit(fv.DISPLAY_FORMULA), F.lit(1)), js_trim)
     rest = F.regexp_replace(md, fv.DISPLAY_FORMULA, fv.FORMULA_STASH)
-    inline = F.regexp_extract_all(rest, F.lit(r"(?:^|[^\\$])\$((?:[^$\n\\]|\\.)+?)\$"), F.lit(1))
+    inline = F.regexp_extract_all(rest, F.lit(_INLINE_JAVA), F.lit(1))
     return F.concat(
         F.transform(display, lambda x: F.struct(F.lit(True).alias("display"), x.alias("latex"))),
         F.transform(inline, lambda x: F.struct(F.lit(False).alias("display"), x.alias("latex"))),

@@ -195,9 +195,9 @@ def resolve_prefixes(ids: DataFrame, refs: DataFrame) -> DataFrame:
     )
 
 
-def catalog(done: DataFrame, budget: int = fv.CATALOG_BUDGET) -> DataFrame:
-    """Numbered catalogue lines, newest first. Over the budget every line drops
-    its one-liner and tags. Lines stay rows; the budget check is one sum."""
+def catalog(done: DataFrame, full: bool = True) -> DataFrame:
+    """Numbered catalogue lines, newest first; without ``full`` a line drops its
+    one-liner and tags. A prompt that must stay short asks for the short form."""
     c = fv.CATALOG_CLIP
     sources = [x for x in ("ai_title", "filename", "ai_one_line", "preview", "tags", "page_count") if x in done.columns]
     rows = done.select("id", "created_at", *sources)
@@ -211,7 +211,7 @@ def catalog(done: DataFrame, budget: int = fv.CATALOG_BUDGET) -> DataFrame:
             "_file": flat_cell(F.col("filename")),
         })
 
-    def body(full: bool) -> Column:
+    def body() -> Column:
         return F.concat_ws(
             " | ",
             F.date_format("created_at", "yyyy-MM-dd"),
@@ -222,14 +222,9 @@ def catalog(done: DataFrame, budget: int = fv.CATALOG_BUDGET) -> DataFrame:
             F.concat(F.coalesce("page_count", F.lit(0)).cast("string"), F.lit("页")),
         )
 
-    # the numbers 1..N take N digits, plus one more for each number from 10, from 100, ...
-    count = F.count(F.lit(1))
-    digits = sum((F.greatest(F.lit(0), count - 10**k + 1) for k in range(1, 18)), count)
-    size = cells(rows).select(F.sum(F.char_length(body(True)) + len(" | ") + 1) + digits - 1).scalar()
     # numbered before the text is made: ranges are cut over the short columns
     numbered = cells(row_numbers(rows, [F.col("created_at").desc(), F.col("id")]))
-    line = F.when(size > budget, body(False)).otherwise(body(True))
-    return numbered.select("n", "id", F.concat_ws(" | ", F.col("n").cast("string"), line).alias("line"))
+    return numbered.select("n", "id", F.concat_ws(" | ", F.col("n").cast("string"), body()).alias("line"))
 
 
 def find_results(answers: DataFrame, catalog_rows: DataFrame, limit: int = fv.FIND_RESULTS) -> DataFrame:

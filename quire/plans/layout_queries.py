@@ -9,19 +9,18 @@ from quire.operators import layout
 from quire.plans.registry import query
 from quire.plans.views_sql import FORMULAS, LINES, OPTIONS, SQUASH, TRIM, VISIBLE, q
 from quire.sources import views
-from quire.sources.tables import spread
 
 
 @query("html_to_markdown")
 def html_to_markdown(spark, folder):
-    p = spread(views.table(spark, folder, "pages").select("page_id", "html"), "page_id")
+    p = views.table(spark, folder, "pages").select("page_id", "html")
     return layout.html_pages(p).select("page_id", "markdown", "formula_lost")
 
 
 @query("block_pages")
 def block_pages(spark, folder):
     """Each page's paragraphs as recognised blocks with labels in turn."""
-    p = spread(views.table(spark, folder, "pages").select("page_id", "html"), "page_id")
+    p = views.table(spark, folder, "pages").select("page_id", "html")
     labels = F.array(*[F.lit(x) for x in ("Text", "PageHeader", "Picture", "Equation", "Text", "Diagram")])
     parts = F.split("html", "(?=<p>)", -1)
     blocks = F.transform(parts, lambda h, i: F.struct(
@@ -54,7 +53,7 @@ select doc_id, markdown, {VISIBLE('markdown')} as "char_count", {LINES('markdown
   case when markdown <> '' then 'text' else 'empty' end as method, case when raw < {fv.THIN_TEXT} then 'review' else 'good' end status, case when raw < {fv.THIN_TEXT} then {q(fv.REASON_THIN_TEXT)} else '' end reasons from f""")
 def layout_to_markdown(spark, folder):
     """The words of each document set in twelve columns, the first row larger."""
-    d = spread(views.table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    d = views.table(spark, folder, "documents").select("doc_id", "text")
     items = F.transform(F.split("text", r"\s+", -1), lambda w, i: F.struct(
         w.alias("text"), (i % 12 * 50.0).alias("x"), (700.0 - F.floor(i / 12) * 14.0).cast("double").alias("y"),
         (F.char_length(w) * 8.0).alias("width"), F.when(i < 12, F.lit(24.0)).otherwise(F.lit(12.0)).alias("size")))
@@ -84,5 +83,5 @@ select doc_id, c as chunk, string_agg(line, chr(10) order by i) markdown from (
 def print_chunks(spark, folder):
     """Documents with a blank line between their lines, cut for printing."""
     spaced = F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("markdown")
-    d = spread(views.table(spark, folder, "documents").select("doc_id", spaced), "doc_id")
+    d = views.table(spark, folder, "documents").select("doc_id", spaced)
     return layout.chunked(d, ["doc_id"], target=2000)

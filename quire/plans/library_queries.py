@@ -274,7 +274,7 @@ def day_groups(spark, folder):
 
 @query("file_order", """
 select p_partkey, p_name, array_to_string(list_transform(regexp_extract_all(lower(p_name), '(\\d+|\\D+)'),
-  lambda x: case when regexp_matches(x, '^\\d') then lpad(ltrim(x, '0'), 20, '0') else x end), '') sort_key from part""")
+  lambda x: case when regexp_matches(x, '^\\d') then lpad(length(ltrim(x, '0'))::varchar, 10, '0') || ltrim(x, '0') else x end), '') sort_key from part""")
 def file_order(spark, folder):
     p = views.table(spark, folder, "part")
     return p.select("p_partkey", "p_name", files.natural_key(F.col("p_name")).alias("sort_key"))

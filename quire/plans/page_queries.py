@@ -190,14 +190,14 @@ select doc_id, {PREVIEW_SQL('body')} preview from b""")
 def preview_text(spark, folder):
     md, k = F.col("text"), F.col("doc_id")
     dressed = F.concat(F.lit("# Title of "), k.cast("string"), F.lit("\n\n> 由quire转换，共 1 页。\n\n## PDF 第 1 页\n\n"), md, F.lit("\n\n---"))
-    docs = views.spread(views.table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    docs = views.table(spark, folder, "documents").select("doc_id", "text")
     return docs.select("doc_id", text.preview(F.when(k % 3 == 0, dressed).otherwise(md)).alias("preview"))
 
 
 @query("card_content", f"""
 select doc_id, c as content from (select doc_id, left({TRIM(SQUASH(f"regexp_replace(text, {q(fv.PREVIEW_MARKS)}, '', 'g')"))}, {fv.CARD_LENGTH}) c from documents) where length(c) >= {fv.CARD_MINIMUM}""")
 def card_content(spark, folder):
-    docs = views.spread(views.table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    docs = views.table(spark, folder, "documents").select("doc_id", "text")
     return docs.select("doc_id", text.card_content(F.col("text")).alias("content")).filter(F.col("content").isNotNull())
 
 
@@ -209,7 +209,7 @@ h as (select doc_id, regexp_extract(md, {q(fv.FIRST_H1)}, 1) h from s)
 select doc_id, case when h = '' then 'document' else {TRIM(f"regexp_replace(h, {q(fv.MARKDOWN_ESCAPE)}, {q(chr(92) + '1')}, 'g')")} end title from h""")
 def markdown_titles(spark, folder):
     k = F.col("doc_id")
-    docs = views.spread(views.table(spark, folder, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    docs = views.table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
     md = (
         F.when(k % 3 == 0, F.concat(F.lit("---\nlang: "), F.col("lang"), F.lit("\n---\n# My\\_"), F.col("source"), F.lit(" paper \n"), F.col("text")))
         .when(k % 3 == 1, F.concat(F.lit("---\nno key here\n---\n"), F.col("text"))).otherwise(F.col("text"))
@@ -222,7 +222,7 @@ with r as (select doc_id, list_transform(regexp_extract_all(text, {q(fv.DISPLAY_
   regexp_extract_all(regexp_replace(text, {q(fv.DISPLAY_FORMULA)}, chr(57344) || chr(57345), 'g'), {q(fv.INLINE_FORMULA)}, 1) i from documents)
 select doc_id, len(d) display_count, len(i) inline_count, md5(array_to_string(d, chr(1))) display_md5, md5(array_to_string(i, chr(1))) inline_md5 from r where len(d) + len(i) > 0""")
 def formula_inventory(spark, folder):
-    docs = views.spread(views.table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    docs = views.table(spark, folder, "documents").select("doc_id", "text")
     f = docs.select("doc_id", text.formulas(F.col("text")).alias("f")).filter(F.size("f") > 0)
     part = lambda shown: F.transform(F.filter("f", lambda x: x["display"] == shown), lambda x: x["latex"])
     return f.select(

@@ -129,17 +129,17 @@ n as (select *, row_number() over (order by created_at desc, id) n from done),
 l as (select n, id, concat_ws(' | ', n, strftime(created_at, '%Y-%m-%d'), {CELL("coalesce(nullif(ai_title, ''), filename)", 40)}, {CELL("nullif(ai_one_line, '')", 70)},
     {CELL(f"array_to_string({TAGS('tags')}, '、')", 40)}, {CELL('filename', 60)}, page_count || '页') f,
   concat_ws(' | ', n, strftime(created_at, '%Y-%m-%d'), {CELL("coalesce(nullif(ai_title, ''), filename)", 40)}, '', '', {CELL('filename', 60)}, page_count || '页') s from n),
-cat as (select n, id, case when (select sum(length(f) + 1) - 1 from l) > {{budget}} then s else f end line from l)"""
+cat as (select n, id, {{form}} line from l)"""
 
 
-@query("catalog_lines", CAT.replace("{budget}", str(fv.CATALOG_BUDGET)) + "select n, id, line from cat")
+@query("catalog_lines", CAT.replace("{form}", "s") + "select n, id, line from cat")
 def catalog_lines(spark, folder):
-    return search.catalog(done_jobs(spark, folder))
+    return search.catalog(done_jobs(spark, folder), full=False)
 
 
-@query("catalog_lines_full", CAT.replace("{budget}", str(10**15)) + "select n, id, line from cat")
+@query("catalog_lines_full", CAT.replace("{form}", "f") + "select n, id, line from cat")
 def catalog_lines_full(spark, folder):
-    return search.catalog(done_jobs(spark, folder), budget=10**15)
+    return search.catalog(done_jobs(spark, folder))
 
 
 @query("find_results", with_(DONE) + """,

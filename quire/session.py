@@ -19,12 +19,13 @@ def build_session(master: str | None = None, app: str = "quire", shuffle_partiti
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
     )
     if master:
-        builder = builder.master(master).config("spark.driver.memory", os.environ.get("QUIRE_DRIVER_MEMORY", "8g"))
+        # a cluster's own number of partitions stays
+        builder = builder.master(master).config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        builder = builder.config("spark.driver.memory", os.environ.get("QUIRE_DRIVER_MEMORY", "8g"))
     return builder.getOrCreate()
 
 

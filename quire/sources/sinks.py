@@ -96,7 +96,9 @@ def checksums(entries: DataFrame, content: Column) -> DataFrame:
 def merged_parts(documents: DataFrame, order: list[Column], label: str = "来源文件") -> DataFrame:
     """Text blocks of a merged file, in order: a source comment before each
     document, a rule between two. ``documents``: filename, markdown."""
-    block = F.concat(F.lit(f"<!-- {label}："), F.col("filename"), F.lit(" -->\n\n"), F.col("markdown"), F.lit("\n\n---\n"))
+    # the first row of a sorted table has the number 0
+    rule = F.when(F.monotonically_increasing_id() == 0, "").otherwise("\n---\n\n")
+    block = F.concat(rule, F.lit(f"<!-- {label}："), F.col("filename"), F.lit(" -->\n\n"), F.col("markdown"))
     return documents.orderBy(*order).select(block.alias("value"))
 
 

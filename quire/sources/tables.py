@@ -7,15 +7,3 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-distribute a scan that yields fewer partitions than there are cores.
-
-    A small text table comes as one row group, hence one task. A large one has
-    splits enough and is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)

@@ -33,7 +33,7 @@ def read_usage_logs(spark: SparkSession, path: str, files_per_trigger: int = 64)
 
 def parse_usage(lines: DataFrame, exclude_dirs: list[str] | None = None) -> DataFrame:
     """Usage rows of log lines (``value``). Cheap text tests come before parsing;
-    lines that are cut off, synthetic or undated drop out."""
+    lines that are cut off, synthetic, undated or with a date that is none drop out."""
     rows = lines.filter(F.contains("value", F.lit('"usage"')))
     for folder in exclude_dirs or []:
         rows = rows.filter(~F.contains(F.col("_metadata.file_path"), F.lit(folder)))
@@ -48,7 +48,8 @@ def parse_usage(lines: DataFrame, exclude_dirs: list[str] | None = None) -> Data
         zero("usage.cache_read_input_tokens"), zero("usage.cache_creation.ephemeral_1h_input_tokens"), w5)
     return kept.select(
         F.concat_ws("|", F.coalesce("id", F.lit("undefined")), F.coalesce("requestId", F.lit("undefined"))).alias("key"),
-        F.to_timestamp("timestamp").alias("ts"), F.coalesce("model", F.lit("")).alias("model"), usd.alias("usd"))
+        F.try_to_timestamp(F.col("timestamp")).alias("ts"), F.coalesce("model", F.lit("")).alias("model"), usd.alias("usd"),
+    ).filter(F.col("ts").isNotNull())
 
 
 def first_of_each(rows: DataFrame, key: str = "key", ts: str = "ts", keep: str = f"{fv.LOG_MAX_AGE_DAYS} days") -> DataFrame:

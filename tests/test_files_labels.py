@@ -110,3 +110,9 @@ def test_command_steps(spark):
     df = spark.createDataFrame([('python /x/look.py search "latent heat" --any --n 5',), ("look read ab12 --page 3",), ("rm -rf /",), ("look fly",)], "v string")
     got = [r["step"] for r in answers.command_steps(df, C("v")).collect()]
     assert [tuple(g) if g else None for g in got] == [("search", ["latent heat"]), ("read", ["ab12", "p3"]), None, None]
+
+
+def test_natural_key_of_very_long_numbers(spark):
+    names = [f"f{'1' * 20}5", f"f{'1' * 20}9", f"f{'1' * 22}", "f9", "f010"]
+    df = spark.createDataFrame([(n,) for n in names], "name string").select("name", files.natural_key(F.col("name")).alias("k"))
+    assert [r["name"] for r in df.orderBy("k").collect()] == ["f9", "f010", *names[:3]]

@@ -71,7 +71,7 @@ def test_merged_and_document_files(spark, tmp_path):
     docs = spark.createDataFrame([(2, "b.pdf", "B"), (1, "a.pdf", "A")], "n int, filename string, markdown string")
     sinks.write_merged(docs, [F.col("n")], str(tmp_path / "m"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "m").glob("part-*")))
-    assert text == "<!-- 来源文件：a.pdf -->\n\nA\n\n---\n\n<!-- 来源文件：b.pdf -->\n\nB\n\n---\n\n"
+    assert text == "<!-- 来源文件：a.pdf -->\n\nA\n\n---\n\n<!-- 来源文件：b.pdf -->\n\nB\n"
     pages = spark.createDataFrame([(1, p, f"p{p}" if p != 2 else "", "text", None, None) for p in (3, 1, 2)],
                                   "job_id long, page int, markdown string, method string, no_text boolean, note string")
     sinks.write_documents(pages, str(tmp_path / "d"))

@@ -141,3 +141,10 @@ def test_service_text(spark):
 
 def test_white_space_table_is_complete():
     assert len(set(fv.WS_CHARS)) == 25
+
+
+def test_formulas_of_very_long_lines(spark):
+    long = "x" * 1_000_000
+    df = spark.createDataFrame([(f"a ${long}$ b",), (f"a ${long}",), ("a $x$ and $y\\$z$",)], "md string")
+    got = [[x["latex"] for x in r[0]] for r in df.select(text.formulas(F.col("md"))).collect()]
+    assert got == [[long], [], ["x", "y\\$z"]]
