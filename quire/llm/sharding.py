@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from quire.llm.arrow_ops import col, keeping
 from quire.session import written
 
+#: so many buckets' starting places (24 bytes each) are sent to every executor at most
+SENT_BUCKETS = 500_000
 OUT = ("size", "bucket", "place", "shard", "slot")
 
 
@@ -78,6 +80,8 @@ def shuffle_shards(
     wide = extra * (least + 1)
     shard = F.when(rank < wide, F.floor(rank / (least + 1))).otherwise(extra + F.floor((rank - wide) / F.greatest(least, F.lit(1))))
     first = F.when(F.col("shard") < extra, F.col("shard") * (least + 1)).otherwise(wide + (F.col("shard") - extra) * least)
+    if buckets <= SENT_BUCKETS:  # else the planner chooses
+        starts = F.broadcast(starts)
     return (
         filed.join(starts, "bucket").withColumn("_rank", F.col("_start") + F.col("place"))
         .withColumn("shard", shard.cast("int")).withColumn("slot", (rank - first).cast("long"))
