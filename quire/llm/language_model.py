@@ -28,7 +28,6 @@ that go with the scores.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -38,22 +37,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.arrow_ops import WORD, add_columns, col, lowered, texts
+from quire.llm.arrow_ops import add_columns, col, texts
 from quire.session import written
 
-_WORDS = re.compile(WORD)
 #: the end of a text; no word has a space
-END = " "
+END = b" "
 #: words longer than this are looked up in the table, never in the automaton
 LONG = 256
 
 
-def tokens(text: str) -> list[str]:
-    found = _WORDS.findall(lowered(text))
+def tokens(text: str) -> list[bytes]:
+    """Words in UTF-8, A-Z in lower case, and the end. Bytes are split and lowered by
+    ASCII alone: at 0x20 and 0x09 to 0x0D."""
+    found = text.encode().lower().split()
     found.append(END)
     return found
 
 
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 def count_words(train: DataFrame, text: str, flush: int = 400_000) -> DataFrame:
     """(word, n) of all training tokens, summed in each task before the shuffle."""
 
@@ -88,7 +93,7 @@ def positions(ids: np.ndarray, levels: Sequence[np.ndarray], size: int) -> np.nd
     return at
 
 
-def count_grams(train: DataFrame, text: str, words: list[str], levels: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+def count_grams(train: DataFrame, text: str, words: list[bytes], levels: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted codes and counts of the n-grams two words longer than ``levels`` is, that
     occur ``least`` times or more and whose parts are kept."""
     size = len(words)
@@ -96,7 +101,7 @@ def count_grams(train: DataFrame, text: str, words: list[str], levels: list[np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed, shorter = sent.value
-        number = {w: i for i, w in enumerate(listed)}.get
+        number = _Numbers((w, i) for i, w in enumerate(listed)).__getitem__
         held: list[np.ndarray] = []
         waiting = 0
 
@@ -106,7 +111,8 @@ def count_grams(train: DataFrame, text: str, words: list[str], levels: list[np.n
 
         for batch in batches:
             for value in texts(batch.column(0)):
-                ids = np.array([number(w, -1) for w in tokens(value)], np.int64)
+                found = tokens(value)
+                ids = np.fromiter(map(number, found), np.int64, len(found))
                 part = positions(ids, shorter, size)
                 ok = (part[:-1] >= 0) & (part[1:] >= 0)
                 code = (part[:-1] * size + ids[1:])[ok]
@@ -130,7 +136,7 @@ class Automaton:
     state * size + word, the log10 probability and the next state; ``weight`` and ``fail``
     are a state's failure arc, ``to_root`` the weights of all failure arcs to the root."""
 
-    number: dict[str, int]
+    number: dict[bytes, int]
     root: list[float]
     after: list[int]
     size: int
@@ -139,13 +145,14 @@ class Automaton:
     fail: list[int] = field(default_factory=lambda: [0])
     to_root: list[float] = field(default_factory=lambda: [0.0])
 
-    def read(self, words: Sequence[str]) -> tuple[float, list[int], list[str]]:
-        """One traversal: the log10 probability but for the rare words' own, the
-        numbers of the words known here, and the rare words."""
+    def read(self, words: Sequence, base: Sequence[float] | None = None) -> tuple[float, float, list]:
+        """One traversal: the log10 probability but for the rare words' own, the sum of
+        ``base`` over the words known here, and the rare words."""
+        base = base if base is not None else self.root
         number, arcs, root, after, weight, fail, size = self.number.get, self.arcs.get, self.root, self.after, self.weight, self.fail, self.size
         total, state = 0.0, 0
-        known: list[int] = []
-        rare: list[str] = []
+        plain = 0.0
+        rare: list = []
         for w in words:
             i = number(w)
             if i is None:
@@ -153,7 +160,7 @@ class Automaton:
                 state = 0
                 rare.append(w)
                 continue
-            known.append(i)
+            plain += base[i]
             while state:
                 arc = arcs(state * size + i)
                 if arc is not None:
@@ -165,10 +172,10 @@ class Automaton:
             else:
                 total += root[i]
                 state = after[i]
-        return total, known, rare
+        return total, plain, rare
 
 
-def build(words: list[str], counts: np.ndarray, total: int, grams: list[tuple[np.ndarray, np.ndarray]], word_discount: float, gram_discount: float = 0.75) -> Automaton:
+def build(words: list, counts: np.ndarray, total: int, grams: list[tuple[np.ndarray, np.ndarray]], word_discount: float, gram_discount: float = 0.75) -> Automaton:
     size = max(1, len(words))
     prob = [(counts - word_discount) / max(1, total)]
     count, suffix = [counts], [np.full(len(counts), -1)]  # of an n-gram: the n-gram without its first word
@@ -241,7 +248,7 @@ def fit(train: DataFrame, text: str = "text", order: int = 3, share: float = 1e-
     d = min(max(one["n1"] / (one["n1"] + 2 * one["n2"]), 0.1), 0.9) if one["n1"] else 0.5
     frequent = table.filter((F.col("n") >= least) & (F.length("word") <= LONG)).toPandas()  # total / least rows at most
     frequent = frequent.sort_values("word")
-    words, counts = frequent["word"].tolist(), frequent["n"].to_numpy(np.int64)
+    words, counts = [w.encode() for w in frequent["word"]], frequent["n"].to_numpy(np.int64)
     grams: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(2, order + 1):
         grams.append(count_grams(train, text, words, [g[0] for g in grams], least))
@@ -259,14 +266,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str]
 
     def make():
         automaton, counts = sent.value
-        base = np.log10(np.array(counts, float) + 0.5) - below if counts else np.zeros(0)
+        base = [math.log10(c + 0.5) - below for c in counts]
 
         def compute(array):
             rows = []
             for value in texts(array):
                 words = tokens(value)
-                total, known, rare = automaton.read(words)
-                rows.append((len(words), len(known), float(base[known].sum()) if known else 0.0, total, rare))
+                total, plain, rare = automaton.read(words, base)
+                rows.append((len(words), len(words) - len(rare), plain, total, rare))
             return list(zip(*rows, strict=True))
 
         return compute
