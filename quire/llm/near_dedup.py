@@ -5,8 +5,8 @@
 2. A class has ``coordinates`` min-hashes. Two classes can be linked only if at
    least ``matches`` coordinates agree; the number is chosen so that a pair at the
    similarity threshold is missed with a probability of at most ``miss``.
-3. Classes are posted under (coordinate, value). Values that one class alone has
-   join nothing and are skipped. With the rarest values first, two classes with
+3. Classes are posted under (coordinate, value). Values that no other class of a
+   fitting size has join nothing and are skipped. With the rarest values first, two classes with
    enough matches meet in the first ``coordinates - matches + 1`` values of both:
    only this prefix is joined.
 4. Star rounds: in each posting list every class is paired with one hub (the most
@@ -181,15 +181,38 @@ def _labelled(classes: DataFrame, labels: DataFrame | None) -> DataFrame:
     return classes.join(labels, "_class", "left").withColumn("_comp", F.coalesce("_comp", "_class"))
 
 
-def prefixes(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """Per class that can have a link: its prefix, the rarest values that others share,
-    and its centrality, the number of times its values occur."""
-    postings = classes.select("_class", F.explode("_sig").alias("_value"))
-    shared = written(postings.groupBy("_value").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "dedup-values")
-    found = postings.join(shared, "_value").groupBy("_class").agg(
+def _band(percent: int):
+    """Sizes in steps of the least ratio that a link allows (a thousandth wider, against
+    rounding): sets that can be linked are in one band or in neighbouring ones. Bands
+    end at 63, so that a long holds one bit for each."""
+    step = math.log(max(100 / percent, 1.01)) * 1.001
+    return F.least(F.lit(63), F.floor(F.log(F.col("_size")) / step)).cast("int")
+
+
+def _bit(band):
+    return F.call_function("shiftleft", F.lit(1).cast("long"), band)
+
+
+def prefixes(classes: DataFrame, coordinates: int, matches: int, percent: int) -> DataFrame:
+    """Per class that can have a link: its prefix, the rarest values that others of
+    fitting sizes share, and its centrality, the number of times its values occur.
+    ``classes`` has _size.
+
+    What a value's list says of sizes is one long with a bit for each band that occurs:
+    a class is alone in a list if no neighbouring band occurs, and its own only once."""
+    postings = classes.select("_class", _band(percent).alias("_band"), F.explode("_sig").alias("_value"))
+    lists = postings.groupBy("_value").agg(F.count(F.lit(1)).alias("_n"), F.bit_or(_bit(F.col("_band"))).alias("_bands"))
+    doubled = F.col("_n") > F.bit_count("_bands")
+    next_to = F.col("_bands").bitwiseAND(F.shiftleft("_bands", 1)) != 0
+    shared = written(lists.filter(doubled | next_to), "dedup-values")
+    # the bits of the bands below and above
+    above = F.when(F.col("_band") < 63, _bit(F.col("_band") + 1)).otherwise(F.lit(0).cast("long"))
+    below = F.when(F.col("_band") > 0, _bit(F.col("_band") - 1)).otherwise(F.lit(0).cast("long"))
+    company = doubled | (F.col("_bands").bitwiseAND(above.bitwiseOR(below)) != 0)
+    found = postings.join(shared, "_value").filter(company).groupBy("_class").agg(
         F.array_sort(F.collect_list(F.struct("_n", "_value"))).alias("_shared")  # one per coordinate at most
     )
-    # values of one class alone are the rarest: they take up places of the prefix and join nothing
+    # values that no class of a fitting size shares count as the rarest: they take up places of the prefix and join nothing
     places = F.greatest(F.lit(0), F.lit(coordinates - matches + 1) - (coordinates - F.size("_shared")))
     return found.select(
         "_class", F.slice("_shared", F.lit(1), places).getField("_value").alias("_prefix"),
@@ -201,14 +224,14 @@ def _star_pairs(starts: DataFrame, first, percent: int, matches: int) -> DataFra
     """(a, b, _n): classes paired with the hub of a list they stand in, the class that is
     greatest by ``first``; _n coordinates agree. Lists of one component have no pairs.
     ``starts`` has _comp. Only numbers go through the lists; signatures join the pairs."""
-    posted = starts.select("_class", "_comp", first.alias("_first"), F.explode("_prefix").alias("_value"))
+    posted = starts.select("_class", "_comp", F.col("_size").cast("int"), first.alias("_first"), F.explode("_prefix").alias("_value"))
     lists = posted.groupBy("_value").agg(
-        F.max(F.struct("_first", "_class", "_comp")).alias("_hub"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high")
-    ).filter("_low != _high").select("_value", F.col("_hub._class").alias("_hub"), F.col("_hub._comp").alias("_hub_comp"))
-    met = posted.select("_class", "_comp", "_value").join(lists, "_value").filter("_comp != _hub_comp")
+        F.max(F.struct("_first", "_class", "_comp", "_size")).alias("_hub"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high")
+    ).filter("_low != _high").select("_value", F.col("_hub._class").alias("_hub"), F.col("_hub._comp").alias("_hub_comp"), F.col("_hub._size").cast("long").alias("_hub_size"))
+    met = posted.select("_class", "_comp", F.col("_size").cast("long"), "_value").join(lists, "_value").filter("_comp != _hub_comp").filter(_fitting("_size", "_hub_size", percent))
     pairs = met.select(F.least("_class", "_hub").alias("a"), F.greatest("_class", "_hub").alias("b")).distinct()
-    small = starts.select("_class", "_size", "_bytes")
-    seen = pairs.join(_side(small, "a"), "a").join(_side(small, "b"), "b").filter(_fitting("_size_a", "_size_b", percent))
+    small = starts.select("_class", "_bytes")
+    seen = pairs.join(_side(small, "a"), "a").join(_side(small, "b"), "b")
     return seen.select("a", "b", _agree(F.col("_bytes_a"), F.col("_bytes_b")).alias("_n")).filter(F.col("_n") >= matches)
 
 
@@ -217,11 +240,17 @@ def _cross_pairs(starts: DataFrame, percent: int, matches: int, within: str | No
     in a list, each pair in the first list it meets in, with enough agreeing coordinates.
     ``starts`` has _comp."""
     kept = ["_class", "_comp", "_size", "_bytes", *([within] if within else [])]
-    posted = starts.select(*kept, F.transform("_prefix", _short).alias("_order"), F.explode("_prefix").alias("_value"))
-    lists = posted.groupBy("_value").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high")).filter("_low != _high").select("_value")
-    live = written(posted.join(lists, "_value"), "dedup-rest")
+    # sets of fitting sizes meet under the greater of their bands: each is posted under its own and the next one
+    posted = starts.select(
+        "_class", "_comp", _band(percent).alias("_band"), F.explode("_prefix").alias("_value"),
+    ).select("*", F.explode(F.array(F.col("_band"), F.col("_band") + 1)).alias("_at"))
+    ends = (F.min("_comp").alias("_low"), F.max("_comp").alias("_high"), F.max("_band").alias("_top"))
+    lists = posted.groupBy("_value", "_at").agg(*ends).filter("_low != _high and _top = _at").select("_value", "_at")
+    numbers = written(posted.join(lists, ["_value", "_at"]).select("_class", "_band", "_value", "_at"), "dedup-lists")
+    carried = starts.select(*kept, F.transform("_prefix", _short).alias("_order"))
+    live = written(numbers.join(carried, "_class"), "dedup-rest")
     met = (
-        (F.col("_value_a") == F.col("_value_b")) & (F.col("a") < F.col("b")) & (F.col("_comp_a") != F.col("_comp_b")) & _fitting("_size_a", "_size_b", percent)
+        (F.col("_value_a") == F.col("_value_b")) & (F.col("_at_a") == F.col("_at_b")) & (F.col("_at_a") == F.greatest("_band_a", "_band_b")) & (F.col("a") < F.col("b")) & (F.col("_comp_a") != F.col("_comp_b")) & _fitting("_size_a", "_size_b", percent)
         & (F.get(F.array_intersect("_order_a", "_order_b"), F.lit(0)) == _short(F.col("_value_a")))
         & (_agree(F.col("_bytes_a"), F.col("_bytes_b")) >= matches)
     )
@@ -244,9 +273,10 @@ def link_classes(classes: DataFrame, docs: DataFrame, shingle: int, percent: int
     _id, _hash and _text."""
     matches = least_matches(coordinates, percent / 100, miss)
     likely = math.ceil(percent * coordinates / 100)
-    starts = written(prefixes(classes, coordinates, matches).join(
+    classes = classes.withColumnRenamed("n_shingles", "_size")
+    starts = written(prefixes(classes, coordinates, matches, percent).join(
         classes.select(
-            "_class", "_id", "_hash", F.col("n_shingles").alias("_size"),
+            "_class", "_id", "_hash", "_size",
             # a byte of each coordinate agrees wherever the whole value does: no pair is lost by comparing bytes
             F.transform("_sig", lambda x: (x.bitwiseAND(F.lit(255)) - 128).cast("byte")).alias("_bytes"),
         ), "_class",
