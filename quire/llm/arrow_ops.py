@@ -46,28 +46,36 @@ def slices(batch: pa.RecordBatch, sizes: Sequence[int], most: int) -> Iterator[p
 
 
 def add_columns(
-    df: DataFrame, inputs: Sequence[Column], ddl: str, make: Callable[[], Callable[..., Sequence[pa.Array]]], most: int = 4_000_000
+    df: DataFrame, inputs: Sequence[Column], ddl: str, make: Callable[[], Callable[..., Sequence[pa.Array]]], most: int = 4_000_000,
+    drop: Sequence[str] = (),
 ) -> DataFrame:
-    """``df`` with the columns of ``ddl``. ``make`` runs once in each task and
+    """``df``, without the columns ``drop``, with the columns of ``ddl``. ``make`` runs once in each task and
     returns a function from the Arrow arrays of ``inputs`` (the first one a
-    string) to the arrays of the new columns; it sees about ``most`` characters
-    at a time, so memory is bounded by that or by the longest row."""
+    string, or a list of 64-bit numbers) to the arrays of the new columns; it sees
+    about ``most`` bytes of the first at a time, so memory is bounded by that or by
+    the longest row. Workers serve many tasks: what a batch took is given back."""
     new = fields(ddl)
-    kept = keeping(df, [f.name for f in new])
+    kept = keeping(df, [*drop, *(f.name for f in new)])
     schema = T.StructType([*(df.schema[c] for c in kept), *new])
     target = to_arrow_schema(T.StructType(new))
     width = len(inputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
+        pool = pa.default_memory_pool()
         for whole in batches:
-            lengths = pa.compute.fill_null(pa.compute.binary_length(whole.column(0)), 0).to_pylist()
+            first = whole.column(0)
+            lengths = pa.compute.multiply(pa.compute.list_value_length(first), 8) if pa.types.is_list(first.type) else pa.compute.binary_length(first)
+            lengths = pa.compute.fill_null(lengths, 0).to_pylist()
             for batch in slices(whole, lengths, most):
                 made = compute(*(batch.column(i) for i in range(width)))
                 arrays = [a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(made, target, strict=True)]
                 arrays = [a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, target, strict=True)]
                 rest = [batch.column(i) for i in range(width, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([*rest, *arrays], names=[*kept, *(f.name for f in new)])
+                del batch, made, arrays, rest
+            del whole, first
+            pool.release_unused()
 
     import pyarrow.compute  # noqa: F401, PLC0415
 

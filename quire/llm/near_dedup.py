@@ -109,11 +109,11 @@ def _sets(batch: pa.Array, shingle: int):
 
 
 def sketched(docs: DataFrame, text: str, shingle: int, coordinates: int) -> DataFrame:
-    """``docs`` with n_shingles, the set's digest, the number its class goes by (half of the
+    """``docs``, without the text, with n_shingles, the set's digest, the number its class goes by (half of the
     digest) and its signature; null for an empty set."""
 
     def make():
-        def compute(_, hashes):
+        def compute(hashes):
             counts, names, digests, signatures = [], [], [], []
             for s in _sets(hashes, shingle):
                 counts.append(len(s))
@@ -126,14 +126,14 @@ def sketched(docs: DataFrame, text: str, shingle: int, coordinates: int) -> Data
 
         return compute
 
-    return add_columns(docs, [col(text).cast("string"), word_hashes(col(text))], "n_shingles long, _class long, _digest binary, _sig array<long>", make)
+    return add_columns(docs, [word_hashes(col(text))], "n_shingles long, _class long, _digest binary, _sig array<long>", make, drop=[text])
 
 
 def with_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     def make():
-        return lambda _, hashes: [[s.view(np.int64) for s in _sets(hashes, shingle)]]
+        return lambda hashes: [[s.view(np.int64) for s in _sets(hashes, shingle)]]
 
-    return add_columns(docs, [col(text).cast("string"), word_hashes(col(text))], "_set array<long>", make)
+    return add_columns(docs, [word_hashes(col(text))], "_set array<long>", make, drop=[text])
 
 
 def _agree(a, b):
@@ -319,7 +319,7 @@ def judged(
     (the smallest id that links reach) and kept (the id is the component's)."""
     body = col(text).cast("string")
     slim = docs.select(col(id).cast("long").alias("_id"), body.alias("_text"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("_hash"))
-    sketches = written(sketched(slim, "_text", shingle, coordinates).drop("_text"), "dedup-sketches")
+    sketches = written(sketched(slim, "_text", shingle, coordinates), "dedup-sketches")
     rows = sketches.select("_id", "_hash", "n_shingles", "_class")
     # two different sets go by one number in n^2 / 2^65 of all cases; one of them would then stand for both
     whole = F.struct("_digest", "_id", "_hash", "n_shingles", "_sig")
