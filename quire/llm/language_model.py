@@ -1,23 +1,27 @@
 """Language model scores by a weighted backoff automaton.
 
-Counts of all training tokens make a smoothed backoff model: words, then n-grams up
-to ``order``. An n-gram is kept where its words, its shorter n-grams and its own
-count reach ``share`` of all training tokens, so each order has at most 1 / ``share``
-n-grams at any input size. Kept n-grams are the states of an automaton; each has arcs
-with log-probabilities and a failure arc, with the backoff weight, to the state of
-its suffix. A text is read once, left to right: the state is carried, failure arcs
-are followed until an arc has the word.
-
-The root's arcs are all words of the training texts. Those at ``share`` or over stand
-in the automaton; the others, which grow with the corpus, stay a table. A rare word
-leads to the root, so the traversal needs nothing of it but its probability, and that
-is joined from the table and added. So nothing that grows with the corpus is sent to
-one place, frequent words are never a join key, and no count is left out.
+Counts of all training tokens make a smoothed backoff model: words, then n-grams up to
+``order``. Every n-gram of the training texts is kept, at any count and input size: tables
+in the shared folder have for each its log-probability, and for each context its backoff
+weight, so what is learnt grows with the corpus. The frequent n-grams (``FAST`` of all
+training tokens, so at most 1 / ``FAST`` of each order) are also sent to the executors:
+a place whose longest n-gram is among them takes its value there. All other places are
+joined with the tables, longest n-gram first; those without one follow the failure arc,
+that is, take the weight of the context and go on with the n-gram without its first word.
+Which n-grams are sent changes where a value is looked up, never the value.
+
+In the tables a word is a number: its place among the frequent words, or 63 bits of
+a hash, salted until no two words of the training texts share one.
+
+A caller that wants a model of bounded size gives ``share``: n-grams are then kept only
+where their words, their shorter n-grams and their own count reach that share of all
+training tokens, and are the states of an automaton with failure arcs that is read
+once, left to right; rare words are joined from the table of words and added.
 
 Smoothing is absolute discounting: n1 / (n1 + 2 n2) for words, 0.75 for longer
 n-grams. Unknown words share what the discount of the words leaves over; what the
-discount and the n-grams that are not kept leave over in a context goes, by its backoff
-weight, to the words that have no arc there.
+discount leaves over in a context goes, by its backoff weight, to the words that have
+no arc there.
 
 Defined cases: a null or empty text has one token, the end; repeated rows count as
 often as they stand there and score alike; with no training rows every word is
@@ -31,6 +35,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +49,12 @@ from quire.session import written
 END = b" "
 #: words longer than this are looked up in the table, never in the automaton
 LONG = 256
+#: share of the training tokens from which n-grams are sent to the executors too
+FAST = 1e-6
+#: what is taken off the count of an n-gram longer than a word
+DISCOUNT = 0.75
+#: the number of the places before a text; words have others
+BEGIN = -1
 
 
 def tokens(text: str) -> list[bytes]:
@@ -220,35 +231,160 @@ def build(words: list, counts: np.ndarray, total: int, grams: list[tuple[np.ndar
     return a
 
 
+class _Codes(dict):
+    """Numbers of words: the frequent ones' places, of all others a hash below ``BEGIN``."""
+
+    def __init__(self, words: Sequence[bytes], salt: int, most: int = 1_000_000):
+        super().__init__((w, i) for i, w in enumerate(words))
+        self.salt, self.most = salt.to_bytes(8, "little"), len(words) + most
+
+    def __missing__(self, word: bytes) -> int:
+        code = -2 - (int.from_bytes(blake2b(word, digest_size=8, salt=self.salt).digest(), "little") >> 1)
+        if len(self) < self.most and len(word) <= LONG:  # memory of a worker; others are hashed again
+            self[word] = code
+        return code
+
+
+def _names(order: int, length: int) -> list[str]:
+    """Columns of the last ``length`` words of an n-gram of ``order`` words."""
+    return [f"g{i}" for i in range(order - length, order)]
+
+
+def word_codes(table: DataFrame, words: list[bytes]) -> tuple[int, DataFrame]:
+    """A salt by which no two words of the table share a number, and (word, n, code)."""
+    for salt in range(100):
+        sent = table.sparkSession.sparkContext.broadcast((words, salt))  # at most 1 / FAST words
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            number = _Codes(*sent.value, most=0).__getitem__
+            for batch in batches:
+                codes = [number(w.encode()) for w in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.int64())], names=["word", "n", "code"])
+
+        coded = written(table.select("word", "n").mapInArrow(run, "word string, n long, code long"), "lm-codes")
+        if coded.groupBy("code").count().filter("count > 1").isEmpty():
+            return salt, coded
+    raise RuntimeError("no salt tells all words apart")
+
+
+def count_all(train: DataFrame, text: str, words: list[bytes], salt: int, order: int) -> DataFrame:
+    """(g0, ..., n): every n-gram of ``order`` words with its count, one ending at each
+    token; ``BEGIN`` stands for the places before a text."""
+    sent = train.sparkSession.sparkContext.broadcast((words, salt))
+    names = _names(order, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = _Codes(*sent.value).__getitem__
+        for batch in batches:
+            held, waiting = [], 0
+            for value in texts(batch.column(0)):
+                found = tokens(value)
+                held += [BEGIN] * (order - 1), map(number, found)
+                waiting += len(found)
+                if waiting > 1_000_000:
+                    yield from out(held)
+                    held, waiting = [], 0
+            yield from out(held)
+
+    def out(held: list) -> Iterator[pa.RecordBatch]:
+        ids = np.fromiter((i for part in held for i in part), np.int64)
+        ends = np.flatnonzero(ids != BEGIN)
+        if len(ends):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[ends - order + 1 + k]) for k in range(order)], names=names)
+
+    found = train.select(col(text).cast("string").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return found.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+
+
+@dataclass
+class Tables:
+    """The whole model. ``grams[j]`` has (last j words, n, lp) of every n-gram of j words,
+    ``weights[j]`` (all but the last of j words, bow) of every context, both as log10.
+    ``words`` are the frequent words, ``levels`` the frequent n-grams as ``positions``
+    takes them, ``values`` the log-probabilities of both (bounded)."""
+
+    order: int
+    salt: int
+    words: list[bytes]
+    grams: dict[int, DataFrame]
+    weights: dict[int, DataFrame]
+    levels: list[np.ndarray]
+    values: list[np.ndarray]
+
+
+def tabled(train: DataFrame, text: str, order: int, table: DataFrame, words: list[bytes], least: int, total: int, word_discount: float) -> Tables:
+    salt, coded = word_codes(table, words)
+    last = f"g{order - 1}"
+    one = coded.select(F.col("code").alias(last), "n", F.log10((F.col("n") - word_discount) / F.lit(float(max(1, total)))).alias("lp"))
+    made = Tables(order, salt, words, {1: one}, {}, [], [])
+    counts: dict[int, DataFrame] = {}
+    if order > 1:
+        counts[order] = written(count_all(train, text, words, salt, order), f"lm-count-{order}")
+        for j in range(order - 1, 1, -1):
+            counts[j] = written(counts[j + 1].groupBy(*_names(order, j)).agg(F.sum("n").alias("n")), f"lm-count-{j}")
+    for j in range(2, order + 1):
+        own, shorter, context = _names(order, j), _names(order, j - 1), _names(order, j)[:-1]
+        grams = counts[j].filter(F.col(own[0]) != BEGIN)
+        low = grams.join(made.grams[j - 1].select(*shorter, F.col("lp").alias("low")), shorter)
+        # every token but the end has a follower, so a context occurs as often as its n-grams
+        sums = low.groupBy(*context).agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("kinds"), F.sum(F.pow(F.lit(10.0), "low")).alias("low"))
+        floor = F.lit(1e-12)
+        bow = F.log10(F.greatest(DISCOUNT * F.col("kinds") / F.col("c"), floor) / F.greatest(1 - F.col("low"), floor))
+        made.weights[j] = written(sums.select(*context, "c", bow.alias("bow")), f"lm-weights-{j}")
+        lp = F.log10((F.col("n") - DISCOUNT) / F.col("c"))
+        made.grams[j] = written(grams.join(made.weights[j].select(*context, "c"), context).select(*own, "n", lp.alias("lp")), f"lm-grams-{j}")
+    size, at = max(1, len(words)), np.arange(len(words))
+    first = one.filter(F.col(last) >= 0).toPandas().sort_values(last)  # the frequent words
+    made.values.append(first["lp"].to_numpy(np.float64))
+    before: dict[tuple, int] = {(i,): i for i in at.tolist()}
+    for j in range(2, order + 1):
+        own = _names(order, j)
+        rows = made.grams[j].filter(F.col("n") >= least)
+        for c in own:
+            rows = rows.filter(F.col(c) >= 0)
+        rows = rows.toPandas()  # total / least rows at most
+        keys = list(zip(*(rows[c].tolist() for c in own), strict=True))
+        codes = np.array([before[k[:-1]] * size + k[-1] for k in keys], np.int64)
+        by = np.argsort(codes)
+        before = {keys[i]: n for n, i in enumerate(by.tolist())}
+        made.levels.append(codes[by])
+        made.values.append(rows["lp"].to_numpy(np.float64)[by])
+    return made
+
+
 @dataclass
 class Model:
-    """What is learnt: the automaton and counts of frequent words (bounded), and the
-    table of all words."""
+    """What is learnt: the tables of all n-grams, or the automaton of those that reach a
+    share that the caller gave; counts of frequent words (bounded), and the table of all words."""
 
-    automaton: Automaton
+    automaton: Automaton | None
     counts: list[int]
     words: DataFrame
     total: int
     distinct: int
     word_discount: float
+    tables: Tables | None = None
 
     @property
     def unknown(self) -> float:
         return math.log10(self.word_discount * self.distinct / self.total) if self.total else 0.0
 
 
-def fit(train: DataFrame, text: str = "text", order: int = 3, share: float = 1e-6) -> Model:
+def fit(train: DataFrame, text: str = "text", order: int = 3, share: float | None = None) -> Model:
+    """The whole model, or with ``share`` one of bounded size."""
     table = written(count_words(train, text), "lm-words")
     one = table.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct"),
         F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"),
     ).first()
     total = int(one["total"])
-    least = max(2, math.ceil(share * total))
+    least = max(2, math.ceil((FAST if share is None else share) * total))
     d = min(max(one["n1"] / (one["n1"] + 2 * one["n2"]), 0.1), 0.9) if one["n1"] else 0.5
     frequent = table.filter((F.col("n") >= least) & (F.length("word") <= LONG)).toPandas()  # total / least rows at most
     frequent = frequent.sort_values("word")
     words, counts = [w.encode() for w in frequent["word"]], frequent["n"].to_numpy(np.int64)
+    if share is None:
+        return Model(None, counts.tolist(), table, total, int(one["distinct"]), d, tabled(train, text, order, table, words, least, total, d))
     grams: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(2, order + 1):
         grams.append(count_grams(train, text, words, [g[0] for g in grams], least))
@@ -257,10 +393,8 @@ def fit(train: DataFrame, text: str = "text", order: int = 3, share: float = 1e-
     return Model(build(words, counts, total, grams, d), counts.tolist(), table, total, int(one["distinct"]), d)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns of ``docs`` with n_tokens, n_known (tokens seen in training),
-    base_score (the add-a-half word model) and score, both log10 probabilities."""
-    m = model
+def _pruned(m: Model, docs: DataFrame):
+    """``make`` for the automaton of bounded size."""
     sent = docs.sparkSession.sparkContext.broadcast((m.automaton, m.counts))  # at most 1 / share words and n-grams of each order
     below = math.log10(m.total + 0.5 * (m.distinct + 1))
 
@@ -278,9 +412,84 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str]
 
         return compute
 
+    return make
+
+
+def _whole(m: Model, docs: DataFrame):
+    """Output columns and ``make`` for the whole model: sums of what the executors have,
+    and the n-grams that are to be looked up."""
+    t = m.tables
+    sent = docs.sparkSession.sparkContext.broadcast((t.words, t.salt, m.counts, t.levels, t.values))  # at most 1 / FAST words and n-grams of each order
+    below = math.log10(m.total + 0.5 * (m.distinct + 1))
+    order, names = t.order, _names(t.order, t.order)
+
+    def make():
+        words, salt, counts, levels, values = sent.value
+        number, size = _Codes(words, salt).__getitem__, max(1, len(words))
+        base = np.log10(np.array(counts, np.float64) + 0.5) - below
+
+        def compute(array):
+            rows, offsets, grams = [], [0], [np.zeros((0, order), np.int64)]
+            for value in texts(array):
+                found = tokens(value)
+                codes = np.fromiter(map(number, found), np.int64, len(found))
+                ids = np.where(codes >= 0, codes, -1)
+                best = np.full(len(ids), -np.inf)
+                for k in range(order):  # near the start of a text the longest n-gram is shorter
+                    at = positions(ids, levels[:k], size)
+                    here = slice(k, k + 1) if k < order - 1 else slice(k, None)
+                    ok = at[here] >= 0
+                    best[here][ok] = values[k][at[here][ok]]
+                known, open_ = ids >= 0, np.isneginf(best)
+                padded = np.concatenate([np.full(order - 1, BEGIN), codes])
+                ends = np.flatnonzero(open_)
+                grams.append(np.stack([padded[ends + k] for k in range(order)], 1))
+                offsets.append(offsets[-1] + len(ends))
+                rows.append((len(ids), int(known.sum()), float(base[ids[known]].sum()), float(best[~open_].sum()), [found[i] for i in np.flatnonzero(~known)]))
+            flat = np.concatenate(grams)
+            struct = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, k])) for k in range(order)], names=names)
+            made = list(zip(*rows, strict=True)) or [[]] * 5
+            return [*made, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)]
+
+        return compute
+
+    return ", _grams array<struct<" + ", ".join(f"{c}: long" for c in names) + ">>", make
+
+
+def _looked_up(m: Model, read: DataFrame) -> DataFrame:
+    """(_row, _score) of the n-grams in ``_grams``, in parts that are to be added."""
+    t = m.tables
+    left = read.select("_row", F.inline("_grams"))
+    parts = []
+    for j in range(t.order, 1, -1):
+        own = _names(t.order, j)
+        found = written(left.join(t.grams[j].select(*own, "lp"), own, "left").select("_row", "lp", *(F.when(F.col("lp").isNull(), F.col(c)).alias(c) for c in own)), "lm-found")
+        parts.append(found.filter(F.col("lp").isNotNull()).select("_row", F.col("lp").alias("_score")))
+        missed = found.filter(F.col("lp").isNull()).drop("lp")
+        parts.append(missed.join(t.weights[j].select(*own[:-1], "bow"), own[:-1]).select("_row", F.col("bow").alias("_score")))
+        left = missed.drop(own[0])
+    last = _names(t.order, 1)
+    parts.append(left.join(t.grams[1].select(*last, "lp"), last, "left").select("_row", F.coalesce("lp", F.lit(m.unknown)).alias("_score")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns of ``docs`` with n_tokens, n_known (tokens seen in training),
+    base_score (the add-a-half word model) and score, both log10 probabilities."""
+    m = model
+    if m.tables:
+        extra, make = _whole(m, docs)
+    else:
+        extra, make = "", _pruned(m, docs)
+    below = math.log10(m.total + 0.5 * (m.distinct + 1))
     numbered = docs.select(*(col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)), F.monotonically_increasing_id().alias("_row"), col(text).cast("string").alias("_text"))
     names = [f"_keep_{i}" for i in range(len(keep))]
-    read = add_columns(numbered, [F.col("_text")], "_n long, _known long, _base double, _score double, _rare array<string>", make).drop("_text")
+    read = add_columns(numbered, [F.col("_text")], "_n long, _known long, _base double, _score double, _rare array<string>" + extra, make).drop("_text")
+    if m.tables:
+        read = written(read, "lm-read")
     # one row with the text's own sums, under a key of its own, and one for each rare word
     own = ["_n", "_known", "_base", "_score", *names]
     apart = read.select("_row", *own, F.posexplode(F.concat(F.array(F.concat(F.lit(" "), "_row")), "_rare")).alias("_at", "word"))
@@ -288,12 +497,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str]
     first = F.col("_n").isNotNull()
     looked = apart.join(m.words, "word", "left")
     count = F.coalesce("n", F.lit(0))
-    log_word = F.when(F.col("n").isNull(), F.lit(m.unknown)).otherwise(F.log10((F.col("n") - m.word_discount) / F.lit(float(max(1, m.total)))))
+    log_word = F.lit(0.0) if m.tables else F.when(F.col("n").isNull(), F.lit(m.unknown)).otherwise(F.log10((F.col("n") - m.word_discount) / F.lit(float(max(1, m.total)))))
     parts = looked.select(
         "_row", *names, "_n", F.when(first, F.col("_known")).otherwise((count > 0).cast("long")).alias("_known"),
         F.when(first, F.col("_base")).otherwise(F.log10(count + 0.5) - below).alias("_base"),
         F.when(first, F.col("_score")).otherwise(log_word).alias("_score"),
     )
+    if m.tables:
+        parts = parts.unionByName(_looked_up(m, read), allowMissingColumns=True)
     summed = parts.groupBy("_row").agg(
         *(F.first(n, ignorenulls=True).alias(n) for n in names), F.sum("_n").alias("n_tokens"), F.sum("_known").alias("n_known"),
         F.sum("_base").alias("base_score"), F.sum("_score").alias("score"),

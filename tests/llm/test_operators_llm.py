@@ -307,6 +307,40 @@ def test_base_score_counts_and_model(spark, folder):
         assert r["score"] == pytest.approx(read + sum(one.get(w, model.unknown) for w in rare))
 
 
+@pytest.mark.parametrize("fast", [1e-6, 0.05, 1.0])
+def test_every_ngram_is_kept_at_any_input_size(spark, monkeypatch, fast):
+    monkeypatch.setattr(language_model, "FAST", fast)  # decides what is sent, never a value
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("aaabbcdefg") for _ in range(rng.randrange(9))) for _ in range(60)] + ["once seen " + "w" * 300, None]
+    seen = [language_model.tokens(t or "") for t in texts]
+    counts = [collections.Counter(tuple(ws[i : i + k]) for ws in seen for i in range(len(ws) - k + 1)) for k in (1, 2, 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = language_model.fit(docs)
+    for k in (2, 3):
+        assert model.tables.grams[k].count() == len(counts[k - 1])
+    total = sum(counts[0].values())
+
+    def prob(gram):
+        c = counts[len(gram) - 1][gram]
+        if len(gram) == 1:
+            return (c - model.word_discount) / total if c else 10**model.unknown
+        after = [g for g in counts[len(gram) - 1] if g[:-1] == gram[:-1]]
+        if not after:
+            return prob(gram[1:])
+        n = sum(counts[len(gram) - 1][g] for g in after)
+        if c:
+            return (c - 0.75) / n
+        return max(0.75 * len(after) / n, 1e-12) / max(1 - sum(prob(g[1:]) for g in after), 1e-12) * prob(gram[1:])
+
+    asked = [*texts, "g f e d c b a", "once seen never", "never once", "a a a a a"]
+    got = language_model.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        ws = language_model.tokens(asked[r["doc_id"]] or "")
+        assert r["score"] == pytest.approx(sum(math.log10(prob(tuple(ws[max(0, i - 2) : i + 1]))) for i in range(len(ws))))
+        assert (r["n_tokens"], r["n_known"]) == (len(ws), sum((w,) in counts[0] for w in ws))
+
+
 def test_backoff_probabilities_sum_to_one():
     rng = np.random.default_rng(8)
     words = [f"w{i}" for i in range(12)]
