@@ -51,7 +51,9 @@ _TAG = re.compile(
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NO_DISPLAY = re.compile(r"(?:\A|;)\s*display\s*:\s*none\b", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -64,6 +66,20 @@ class Block:
     links: int  # characters of the text that are in links
 
 
+def hides(attr: str) -> bool:
+    """Whether the attributes of a tag hide the element: ``hidden`` itself (but for
+    until-found), ``aria-hidden`` true, or a style without display."""
+    if not _MAY_HIDE.search(attr):
+        return False
+    for name, value in _ATTRIBUTE.findall(attr):
+        name, value = name.lower(), html.unescape(value.strip("\"'")).strip()
+        if name == "hidden" and value.lower() != "until-found":
+            return True
+        if name == "aria-hidden" and value.lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
+            return True
+    return False
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page, in order, with decoded text and single spaces."""
     out: list[Block] = []
@@ -114,7 +130,7 @@ def blocks(page: str) -> list[Block]:
                 if attr:
                     for value in _NAMES.findall(attr):
                         fs += [f"name={w.lower()}" for w in _PART.findall(_CAMEL.sub(" ", value))]
-                    if _HIDDEN.search(attr):
+                    if hides(attr):
                         fs.append("hidden")
                         hidden += 1
                 stack.append((name, tuple(fs)))

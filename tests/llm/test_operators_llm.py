@@ -245,6 +245,16 @@ def test_pages_without_content():
         assert html_crf.main_text(html_crf.prior(), page)[0] in ("", "<p")
 
 
+@pytest.mark.parametrize(
+    "attr,seen",
+    [('class="post overflow-hidden"', 1), ('class="md:block hidden-xs"', 1), ('aria-hidden="false"', 1), ('data-hidden="0"', 1), ('id="the-hidden-valley"', 1),
+     ('title="a hidden b" data-x=hidden', 1), ('hidden="until-found"', 1), ('style="x-display: none"', 1), ("class='hidden'", 1), ("hidden", 0), ('HIDDEN=""', 0),
+     ('id=a hidden="hidden"', 0), ("aria-hidden=true", 0), ('style="color:red; display : none"', 0), ("hidden/", 0)],
+)
+def test_only_attributes_that_hide_drop_text(attr, seen):
+    assert [b.text for b in html_crf.blocks(f"<body><div {attr}><p>Text.</p></div><p>Rest.</p></body>")] == ["Text."] * seen + ["Rest."]
+
+
 # Classifier ------------------------------------------------------------------
 
 
