@@ -14,7 +14,7 @@ notices, forms and comments added from the page's own other blocks), with the la
 carried over, so that weights rest on many signs and not on one tag.
 
 Defined cases: null or empty html, or a page without content, has the empty text;
-scripts, styles, comments, head and hidden elements have no blocks; unclosed and
+scripts, styles, comments, head, hidden and embedded elements (``UNSEEN``) have no blocks, the text of math is kept; unclosed and
 crossing tags are tolerated; repeated rows give equal texts; without a page to learn
 from the weights are those of the built-in signs; an empty table gives no rows. Other
 columns are kept; an input column named like an output column is replaced.
@@ -39,17 +39,17 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-# elements whose content is no text of the page
-UNSEEN = "script|style|head|title|noscript|template|textarea|select|iframe|object|svg|canvas|audio|video|math"
+# elements whose content is no text of the page; those of RAW run to their own end tag, the others end at that of an element around them too
+RAW = frozenset("script style textarea title".split())
+UNSEEN = frozenset("head noscript template select iframe object svg canvas audio video".split())
+# what may stand in a head; anything else ends it
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title head html".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # an opening tag ends an open element of these kinds
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _ATTR = r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*"""
-_TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{UNSEEN})\b{_ATTR}>.*?(?:</(?P=raw)\s*>|(?=<body\b)|\Z)"
-    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attr>{_ATTR})>|<[!?/a-zA-Z][^>]*>",
-    re.S | re.I,
-)
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attr>{_ATTR})>|<[!?/a-zA-Z][^>]*>", re.S)
+_RAW_END = {name: re.compile(rf"</{name}\s*>|(?=<body\b)", re.I) for name in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _MAY_HIDE = re.compile(r"hidden|display", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -88,6 +88,8 @@ def blocks(page: str) -> list[Block]:
     links = [0, 0]  # open <a>, characters in them
     hidden = 0
 
+    unseen = 0
+
     def flush() -> None:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
@@ -97,31 +99,65 @@ def blocks(page: str) -> list[Block]:
         links[1] = 0
 
     def pop() -> None:
-        nonlocal hidden
-        _, fs = stack.pop()
+        nonlocal hidden, unseen
+        name, fs = stack.pop()
         hidden -= "hidden" in fs
+        unseen -= name in UNSEEN
+
+    def put(start: int, stop: int) -> None:
+        if stack and stack[-1][0] == "head" and not page[start:stop].isspace():
+            pop()
+        if not unseen:
+            parts.append(page[start:stop])
+            links[1] += (stop - start) * (links[0] > 0)
+
+    def leave(name: str) -> None:
+        """Ends the innermost element of this name and all in it, if there is one."""
+        if not any(n == name for n, _ in stack):
+            return
+        if unseen:  # what was read before the unseen element has the elements around that above it
+            first = next(i for i, (n, _) in enumerate(stack) if n in UNSEEN)
+            at = max(i for i, (n, _) in enumerate(stack) if n == name)
+            while len(stack) > max(first, at):
+                pop()
+            if at >= first:
+                return
+            flush()
+        while stack[-1][0] != name:
+            pop()
+        pop()
 
     at = 0
-    for m in _TAG.finditer(page):
+    while m := _TAG.search(page, at):
         if m.start() > at:
-            parts.append(page[at : m.start()])
-            links[1] += (m.start() - at) * (links[0] > 0)
+            put(at, m.start())
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
             continue
-        if name == "a":
-            links[0] = 0 if m["end"] else 1
-        elif name == "br":
-            parts.append(" ")
+        closed = m["attr"].endswith("/")
+        if stack and stack[-1][0] == "head" and not m["end"] and name not in IN_HEAD:
+            pop()
+        if name in RAW:
+            if not m["end"] and not (closed and any(n == "svg" for n, _ in stack)):
+                end = _RAW_END[name].search(page, at)
+                at = end.end() if end else len(page)
+        elif name in UNSEEN:
+            if m["end"]:
+                leave(name)
+            elif not closed:
+                stack.append((name, ()))
+                unseen += 1
         elif name in BLOCK:
-            flush()
             if m["end"]:
-                if any(n == name for n, _ in stack):
-                    while stack[-1][0] != name:
-                        pop()
-                    pop()
+                if not unseen:
+                    flush()
+                leave(name)
             elif name not in VOID:
+                while unseen and name == "body":
+                    pop()
+                if not unseen:
+                    flush()
                 ends = CLOSES.get(name) or ({"p"} if name not in ("html", "body") else ())
                 while stack and stack[-1][0] in ends:
                     pop()
@@ -134,10 +170,18 @@ def blocks(page: str) -> list[Block]:
                         fs.append("hidden")
                         hidden += 1
                 stack.append((name, tuple(fs)))
-        elif name in ("button", "label", "option", "input"):
+            elif not unseen:
+                flush()
+        elif unseen:
+            continue
+        elif name == "a":
+            links[0] = 0 if m["end"] else 1
+        elif name in ("br", "button", "label", "option", "input"):
             parts.append(" ")
     if at < len(page):
-        parts.append(page[at:])
+        put(at, len(page))
+    while unseen:
+        pop()
     flush()
     return out
 

@@ -255,6 +255,22 @@ def test_only_attributes_that_hide_drop_text(attr, seen):
     assert [b.text for b in html_crf.blocks(f"<body><div {attr}><p>Text.</p></div><p>Rest.</p></body>")] == ["Text."] * seen + ["Rest."]
 
 
+def test_embedded_elements_end_where_they_should():
+    def found(page):
+        return [b.text for b in html_crf.blocks(page)]
+
+    assert found('<article><h1>T <svg class="icon"/></h1><p>First paragraph.</p><p>Second.</p></article>') == ["T", "First paragraph.", "Second."]
+    for name in html_crf.UNSEEN - {"head"}:
+        assert found(f"<div><p>a <{name} x='1'>no <i>no</i></{name}> b</p><p>c</p></div>") == ["a b", "c"], name
+        assert found(f"<div><p>a <{name} x='1'/> b</p><p>c</p></div>") == ["a b", "c"], name
+        assert found(f"<article><div>a <{name}>no <p>no</p></div><p>b</p></article><p>c</p>") == ["a", "b", "c"], name
+    assert found("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p>") == ["Let x=2 hold."]
+    assert found("<svg><title/><path/><style/></svg><p>a</p>") == ["a"]
+    assert found("<p>a</p><script>x='<p>no</p>'</script><style/>no</style><textarea><p>no</textarea><p>b</p>") == ["a", "b"]
+    assert found("<head><meta x><title>no</title><link y><p>a</p>") == found("<html><head><noscript>no<body><p>a</p></body>") == found("<head><title>no</title> a") == ["a"]
+    assert html_crf.blocks("<div class='c'>a <svg>no</div>b")[0].above == ("tag=div", "name=c")
+
+
 # Classifier ------------------------------------------------------------------
 
 
