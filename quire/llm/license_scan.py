@@ -123,9 +123,10 @@ class Scanner:
         self.sizes = sorted({len(g) for g in self.codes})
 
     def scan(self, words: Sequence[str]) -> list[tuple[int, int, int, float]]:
-        """(notice, start, stop, containment) of each match: the words from the first to
-        the last shingle of the notice in a window. Overlapping finds of one notice are one; of
-        several notices in one place the one with the highest containment, then the longest, stays."""
+        """(notice, start, stop, containment) of each match: the words of the shortest
+        stretch that holds enough of the notice, with what adjoins it. Overlapping finds of
+        one notice are one. Of several notices the one with the highest containment, then
+        the longest, stays, and others go only where most of their shingles are its own."""
         known = self.words.get
         ids = [known(w, -1) for w in words]
         hits: list[tuple[int, int]] = []  # place, shingle code
@@ -140,7 +141,7 @@ class Scanner:
         hits.sort()
         place = np.array([h[0] for h in hits])
         code = np.array([h[1] for h in hits], np.uint64)
-        best: dict[tuple[int, int], tuple[int, int, float]] = {}
+        made: dict[int, set[tuple[int, int]]] = {}  # first and last hit of the stretches of each notice
         for g in self.groups:
             # windows start at multiples of the stride; a window has the shingles that lie whole in it
             for w in np.unique(np.concatenate([place // g.stride, np.maximum(place // g.stride - 1, 0)])):
@@ -152,19 +153,63 @@ class Scanner:
                     continue
                 for i in g.retrieve(own):
                     shared = [x for x in range(a, b) if int(code[x]) in g.sets[i]]
-                    n = len({int(code[x]) for x in shared})
-                    if n >= g.need[i]:
-                        start, stop = int(place[shared[0]]), min(len(words), int(place[shared[-1]]) + self.shingle)
-                        last = best.get((i, -1))
-                        if last and start < last[1]:
-                            best[i, -1] = (last[0], max(stop, last[1]), max(last[2], n / len(g.sets[i])))
-                        else:
-                            if last:
-                                best[i, last[0]] = last
-                            best[i, -1] = (start, stop, n / len(g.sets[i]))
-        found = sorted((i, *v) for (i, _), v in best.items())
+                    if len({int(code[x]) for x in shared}) >= g.need[i]:
+                        made.setdefault(i, set()).update(self.stretches(shared, place, code, g.need[i]))
+        found: list[tuple[tuple[int, int, int, float], set[int]]] = []
+        for i, ends in made.items():
+            g = next(g for g in self.groups if i in g.sets)
+            finds = []
+            for first, last in ends:
+                held = {x for x in range(first, last + 1) if int(code[x]) in g.sets[i]}
+                share = len({int(code[x]) for x in held}) / len(g.sets[i])
+                finds.append(((i, int(place[first]), min(len(words), int(place[last]) + self.shingle), share), held))
+            finds.sort(key=lambda f: (-f[0][3], f[0][2] - f[0][1], f[0][1]))
+            kept: list[tuple[tuple[int, int, int, float], set[int]]] = []
+            for f in finds:
+                if not any(2 * len(f[1] & o[1]) > len(f[1]) for o in kept):
+                    kept.append(f)
+            found += kept
         # of notices that differ in a word or two, the one that fits best stands for the place
-        return [m for m in found if not any(o[1] < m[2] and m[1] < o[2] and (o[3], o[2] - o[1]) > (m[3], m[2] - m[1]) for o in found)]
+        found.sort(key=lambda f: (-f[0][3], f[0][1] - f[0][2], f[0]))
+        stay: list[tuple[tuple[int, int, int, float], set[int]]] = []
+        for m, held in found:
+            if not any((o[3], o[2] - o[1]) > (m[3], m[2] - m[1]) and 2 * len(held & theirs) > len(held) for o, theirs in stay):
+                stay.append((m, held))
+        return sorted(m for m, _ in stay)
+
+    def stretches(self, shared: Sequence[int], place: np.ndarray, code: np.ndarray, need: int) -> list[tuple[int, int]]:
+        """The first and last of the hits ``shared`` in each of the shortest stretches with
+        ``need`` distinct shingles, disjoint, each with the new shingles that adjoin it."""
+        seen: dict[int, int] = {}
+        left, short = 0, []
+        for right, x in enumerate(shared):
+            seen[int(code[x])] = seen.get(int(code[x]), 0) + 1
+            while seen[c := int(code[shared[left]])] > 1:
+                seen[c] -= 1
+                left += 1
+            while len(seen) >= need:
+                short.append((int(place[x] - place[shared[left]]), left, right))
+                del seen[int(code[shared[left]])]
+                left += 1
+                while left <= right and seen[c := int(code[shared[left]])] > 1:
+                    seen[c] -= 1
+                    left += 1
+        taken: list[tuple[int, int]] = []
+        gap = self.shingle + 1  # one foreign word lies between
+        for _, a, b in sorted(short):
+            if any(a <= d and c <= b for c, d in taken):
+                continue
+            low = max((d + 1 for _, d in taken if d < a), default=0)
+            high = min((c for c, _ in taken if c > b), default=len(shared))
+            new = {int(code[x]) for x in shared[a : b + 1]}
+            while b + 1 < high and place[shared[b + 1]] - place[shared[b]] <= gap and int(code[shared[b + 1]]) not in new:
+                b += 1
+                new.add(int(code[shared[b]]))
+            while a > low and place[shared[a]] - place[shared[a - 1]] <= gap and int(code[shared[a - 1]]) not in new:
+                a -= 1
+                new.add(int(code[shared[a]]))
+            taken.append((a, b))
+        return [(shared[a], shared[b]) for a, b in taken]
 
 
 def scan(

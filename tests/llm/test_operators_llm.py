@@ -307,6 +307,26 @@ def test_notices_are_found_whole_and_damaged():
     assert scanner.scan(license_scan.words_of("licensed under the terms of the public road")) == []
 
 
+def test_notices_side_by_side_are_all_found():
+    scanner = license_scan.Scanner()
+
+    def found(text):
+        return [(scanner.names[i], a, b, c) for i, a, b, c in sorted(scanner.scan(license_scan.words_of(text)), key=lambda m: m[1])]
+
+    gpl = "This work is licensed under the GNU General Public License, version 2"
+    assert found(f"Licensed under the Apache License, Version 2.0. {gpl}") == [("Apache-2.0", 0, 8, 1.0), ("GPL-2.0", 8, 20, 1.0)]
+    assert found("Licensed under the Apache License, Version 2.0 or licensed under the BSD 3-Clause License") == [("Apache-2.0", 0, 8, 1.0), ("BSD-3-Clause", 9, 16, 1.0)]
+    assert found(f"licensed under the x y z {gpl}. {gpl}") == [("GPL-2.0", 6, 18, 1.0), ("GPL-2.0", 18, 30, 1.0)]
+    rng = random.Random(7)
+    one = {}
+    for name, text in license_scan.NOTICES:
+        one[text] = {m[0] for m in found(text)}
+        assert one[text] == {name}
+    for _ in range(400):
+        texts = [rng.choice(license_scan.NOTICES)[1] for _ in range(rng.randrange(2, 5))]
+        assert {m[0] for m in found(rng.choice((". ", " or ", " and also ")).join(texts))} >= set().union(*(one[t] for t in texts)), texts
+
+
 def test_band_count_keeps_its_promise():
     for s in (0.2, 0.5, 0.9):
         assert (1 - s**2) ** license_scan.band_count(s, 2, 1e-6) <= 1e-6
