@@ -1,19 +1,41 @@
-"""Per-page checkpoint log: JSON lines ``{"page", "result"}``, last write wins."""
+"""Per-page checkpoint log: JSON lines ``{"page", "result"}``, last write wins.
+
+``append_log`` writes text files in folders ``job_id=<id>/seq=<n>``, n being the
+microsecond of the append; ``read_log`` takes these and ``<id>/pages.jsonl``, whose
+n is the time of the file. An empty job id comes back as null."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+PARTS = "part-*.txt*"
+
+
+def folder_id() -> Column:
+    """The job id of a file in a folder ``job_id=<id>``: Spark escapes it in the name, and the name in the path."""
+    found = F.regexp_extract(F.col("_metadata.file_path"), r"/job_id=([^/]*)/(?:seq=\d+/)?[^/]+\z", 1)
+    for _ in range(2):
+        found = F.url_decode(F.replace(found, F.lit("+"), F.lit("%2B")))
+    return F.when(found != "__HIVE_DEFAULT_PARTITION__", found)
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of ``<path>/<job_id>/pages.jsonl`` with their position in the file."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "pages.jsonl").text(path)
+    """Lines of ``<path>/<job_id>/pages.jsonl`` and of ``append_log`` with their position."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{pages.jsonl,{PARTS}}}").text(path)
     meta = F.col("_metadata")
+    file, plain = meta["file_path"], meta["file_name"] == "pages.jsonl"
+    written = F.nullif(F.regexp_extract(file, r"/seq=(\d+)/[^/]+\z", 1), F.lit("")).cast("long")
     return raw.select(
-        F.regexp_extract(meta["file_path"], r"([^/]+)/[^/]+\z", 1).alias("job_id"),
-        # rows of one file are read in order inside a split; splits are ordered by their start
-        F.struct(meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row")).alias("seq"),
+        F.when(plain, F.regexp_extract(file, r"([^/]+)/[^/]+\z", 1)).otherwise(folder_id()).alias("job_id"),
+        # rows of one file are read in order inside a split; splits are ordered by their start, files of one append by their task
+        F.struct(
+            F.coalesce(written, F.unix_micros(meta["file_modification_time"])).alias("append"), meta["file_name"].alias("file"),
+            meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"),
+        ).alias("seq"),
         F.col("value").alias("line"),
     )
 
@@ -28,6 +50,6 @@ def latest_pages(log: DataFrame, result_schema: str) -> DataFrame:
 
 
 def append_log(pages: DataFrame, path: str) -> None:
-    """Adds ``page``/``result`` lines, one folder per document."""
-    lines = pages.select("job_id", F.to_json(F.struct("page", "result")).alias("value"))
-    lines.write.mode("append").partitionBy("job_id").text(path)
+    """Adds ``page``/``result`` lines, one folder per document and append."""
+    lines = pages.select("job_id", F.lit(time.time_ns() // 1000).alias("seq"), F.to_json(F.struct("page", "result")).alias("value"))
+    lines.write.mode("append").partitionBy("job_id", "seq").text(path)

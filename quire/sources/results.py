@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.changelog import PARTS, folder_id
+
 PAGE = (
     "struct<page:int,markdown:string,rawMarkdown:string,charCount:bigint,lineCount:bigint,method:string,status:string,"
     "reasons:array<string>,formulaCount:bigint,optionCount:bigint,uncertain:array<string>,aiAttempted:boolean,noText:boolean,"
@@ -23,13 +25,14 @@ _NAMES = {
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """``<path>/<job_id>/result.json`` files, one row each; ``readable`` is false
-    where the JSON cannot be parsed."""
+    """``<path>/<job_id>/result.json`` files and the rows of ``write_results``, one row each;
+    ``readable`` is false where the JSON cannot be parsed."""
     raw = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "result.json").option("wholetext", "true").text(path)
     )
     job = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+\z", 1).alias("job_id")
-    parsed = raw.select(job, F.from_json("value", RESULT).alias("r"))
+    own = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", PARTS).text(path).select(folder_id().alias("job_id"), "value")
+    parsed = raw.select(job, "value").unionByName(own).select("job_id", F.from_json("value", RESULT).alias("r"))
     return parsed.select("job_id", F.coalesce("r.pageCount", "r.markdown", "r.title", F.size("r.pages").cast("string")).isNotNull().alias("readable"), "r.*")
 
 

@@ -41,6 +41,31 @@ def test_results(spark, tmp_path):
     assert (tmp_path / "out" / "job_id=a").is_dir()
 
 
+IDS = ["job-1", "a b", "x:y", "50%", "a%20b", "ü+/?#=", "007", "c=d", None]
+
+
+def test_log_round_trip(spark, tmp_path):
+    out = str(tmp_path / "log")
+    for text in ("old", "new"):  # the second append wins
+        rows = [(j, p, (f"{text} {j} {p}",)) for j in IDS for p in ((1, 2) if text == "old" else (2, 3))]
+        changelog.append_log(spark.createDataFrame(rows, "job_id string, page int, result struct<markdown:string>").repartition(3), out)
+    got = {(r["job_id"], r["page"]): r["result"]["markdown"] for r in changelog.latest_pages(changelog.read_log(spark, out), "markdown string").collect()}
+    assert got == {(j, p): f"{'old' if p == 1 else 'new'} {j} {p}" for j in IDS for p in (1, 2, 3)}
+    (tmp_path / "log" / "job-1").mkdir()
+    (tmp_path / "log" / "job-1" / "pages.jsonl").write_text(json.dumps({"page": 3, "result": {"markdown": "newest"}}))
+    again = changelog.latest_pages(changelog.read_log(spark, out), "markdown string").filter("job_id = 'job-1' AND page = 3").collect()
+    assert [r["result"]["markdown"] for r in again] == ["newest"]
+
+
+def test_results_round_trip(spark, tmp_path):
+    rows = [(j, f"title {j}\nof two lines", 2, [(1, "x"), (2, "é")]) for j in IDS]
+    docs = spark.createDataFrame(rows, "job_id string, title string, pageCount long, pages array<struct<page: int, markdown: string>>")
+    results.write_results(docs, str(tmp_path / "out"))
+    got = results.read_results(spark, str(tmp_path / "out"))
+    assert {(r["job_id"], r["title"], r["pageCount"], r["readable"]) for r in got.collect()} == {(j, t, n, True) for j, t, n, _ in rows}
+    assert {(r["job_id"], r["page"], r["markdown"]) for r in results.result_pages(got).collect()} == {(j, p, m) for j, *_, ps in rows for p, m in ps}
+
+
 def test_ocr_and_files(spark, tmp_path):
     (tmp_path / "o" / "j1").mkdir(parents=True)
     (tmp_path / "o" / "j1" / "results.json").write_text(json.dumps({"doc": [{"blocks": [{"label": "Text", "html": "a"}]}, {"blocks": []}]}))
