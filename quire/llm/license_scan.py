@@ -1,7 +1,8 @@
 """Licence scan: which licence notices a text holds, and where.
 
 A text is cut into overlapping windows of words, one size for each group of notices of
-like length, so that every place where a notice may stand lies whole in some window.
+like length, so that every place where a notice may stand lies whole in some window, also
+with foreign words in it up to half of the longest notice of its group.
 MinHash bands of the windows retrieve notices; the number of bands is chosen so that a
 window with a notice at the containment limit collides with a probability of at least
 1 - ``miss``. Retrieved notices are verified: the share of the notice's distinct
@@ -46,6 +47,7 @@ NOTICES = (
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("AGPL", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
     ("LGPL", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("MIT", "Released under the MIT License"),
@@ -70,7 +72,7 @@ class Group:
     def __init__(self, notices: list[tuple[int, frozenset[int], int]], rows: int, percent: int, miss: float, shingle: int):
         self.notices, self.rows = notices, rows
         longest = max(n for _, _, n in notices)
-        self.window, self.stride = 2 * longest, longest
+        self.window, self.stride = 2 * longest, max(1, longest // 2)
         self.need = {i: -(-percent * len(s) // 100) for i, s, _ in notices}
         self.least = min(self.need.values())
         places = self.window - min(shingle, longest) + 1
@@ -125,8 +127,8 @@ class Scanner:
     def scan(self, words: Sequence[str]) -> list[tuple[int, int, int, float]]:
         """(notice, start, stop, containment) of each match: the words of the shortest
         stretch that holds enough of the notice, with what adjoins it. Overlapping finds of
-        one notice are one. Of several notices the one with the highest containment, then
-        the longest, stays, and others go only where most of their shingles are its own."""
+        one notice are one. Of several notices those with the highest containment, then the
+        fewest foreign words, then the longest stay; others go only where most of their shingles are theirs."""
         known = self.words.get
         ids = [known(w, -1) for w in words]
         hits: list[tuple[int, int]] = []  # place, shingle code
@@ -144,7 +146,7 @@ class Scanner:
         made: dict[int, set[tuple[int, int]]] = {}  # first and last hit of the stretches of each notice
         for g in self.groups:
             # windows start at multiples of the stride; a window has the shingles that lie whole in it
-            for w in np.unique(np.concatenate([place // g.stride, np.maximum(place // g.stride - 1, 0)])):
+            for w in np.unique(np.concatenate([np.maximum(place // g.stride - k, 0) for k in range(-(-g.window // g.stride))])):
                 a, b = np.searchsorted(place, [w * g.stride, w * g.stride + g.window])
                 if b - a < g.least:
                     continue
@@ -170,10 +172,13 @@ class Scanner:
                     kept.append(f)
             found += kept
         # of notices that differ in a word or two, the one that fits best stands for the place
-        found.sort(key=lambda f: (-f[0][3], f[0][1] - f[0][2], f[0]))
+        length = {i: n for g in self.groups for i, _, n in g.notices}
+        rank = lambda m, held: (m[3], min(0, length[m[0]] - (m[2] - m[1])), length[m[0]])
+        found.sort(key=lambda f: (*(-r for r in rank(*f)), f[0]))
         stay: list[tuple[tuple[int, int, int, float], set[int]]] = []
         for m, held in found:
-            if not any((o[3], o[2] - o[1]) > (m[3], m[2] - m[1]) and 2 * len(held & theirs) > len(held) for o, theirs in stay):
+            others = set().union(*(theirs for o, theirs in stay if rank(o, theirs) > rank(m, held)))
+            if 2 * len(held & others) <= len(held):
                 stay.append((m, held))
         return sorted(m for m, _ in stay)
 

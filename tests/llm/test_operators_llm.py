@@ -327,6 +327,16 @@ def test_notices_side_by_side_are_all_found():
         assert {m[0] for m in found(rng.choice((". ", " or ", " and also ")).join(texts))} >= set().union(*(one[t] for t in texts)), texts
 
 
+def test_damaged_notices_at_every_place_and_agpl():
+    scanner = license_scan.Scanner()
+    names = lambda words: {scanner.names[i] for i, *_ in scanner.scan(words)}
+    gpl = license_scan.words_of(dict(license_scan.NOTICES)["GPL"])
+    for start in range(70):
+        assert names(["x"] * start + gpl[:12] + ["y"] * 12 + gpl[12:] + ["x"] * 40) == {"GPL"}, start
+    at = gpl.index("general")
+    assert names([*gpl[:at], "affero", *gpl[at:]]) == {"AGPL"}
+
+
 def test_band_count_keeps_its_promise():
     for s in (0.2, 0.5, 0.9):
         assert (1 - s**2) ** license_scan.band_count(s, 2, 1e-6) <= 1e-6
