@@ -19,6 +19,7 @@ from quire.llm import (
     piece_bpe,
     quality_rules,
     sharding,
+    tree_bpe,
 )
 from quire.sources.tables import table
 
@@ -122,6 +123,15 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+@query("op12_tree_bpe")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return tree_bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json")).select(
+        "doc_id", "n_tokens", F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE["op2_quality_rules"] = r"""
