@@ -15,6 +15,7 @@ from quire.llm import (
     html_crf,
     language_model,
     license_scan,
+    merkle,
     near_dedup,
     piece_bpe,
     quality_rules,
@@ -123,6 +124,18 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+@query("op11_path_copying_tree")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    more = merkle.leaf(docs, changed={"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1})
+    made = merkle.manifest(docs, changed=F.when(tampered, more))
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", "").cast("binary"), 256).alias("proof_sha256"),
+        F.col("version_root").alias("folded_root"), (F.col("version_root") == F.col("root")).alias("verified"),
+    )
+
+
 @query("op12_tree_bpe")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -177,6 +190,44 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)"""
 
+_PARTS = ["CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END".format(c) for c in ("doc_id", "source", "lang", "{n}", "text")]
+_LEAF = "sha256(" + " || ".join(_PARTS) + ")"
+
+ORACLE["op11_path_copying_tree"] = f"""
+WITH RECURSIVE rows AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)),
+      4294967295::BIGINT) % 7 = 0 AS tampered FROM documents),
+leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS tree, {_LEAF.format(n='n_chars')} AS leaf,
+    CASE WHEN tampered THEN {_LEAF.format(n='(n_chars + 1)')} ELSE {_LEAF.format(n='n_chars')} END AS changed FROM rows),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS m FROM leaves),
+lower AS (
+  SELECT 0 AS level, tree, idx, leaf AS node, m FROM placed
+  UNION ALL
+  SELECT any_value(level) + 1, tree, idx // 2, sha256(string_agg(node, '' ORDER BY idx)), (any_value(m) + 1) // 2 FROM lower WHERE m > 1 GROUP BY tree, idx // 2),
+subroots AS (SELECT tree, node AS subroot, level AS levels, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS trees FROM lower WHERE m = 1),
+upper AS (
+  SELECT 0 AS level, place AS idx, subroot AS node, trees AS m FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, idx // 2, sha256(string_agg(node, '' ORDER BY idx)), (any_value(m) + 1) // 2 FROM upper WHERE m > 1 GROUP BY idx // 2),
+root AS (SELECT node AS root, level AS levels FROM upper WHERE m = 1),
+steps AS (
+  SELECT p.tree, p.idx, l.level, l.node AS sibling, l.idx & 1 = 0 AS on_left FROM placed p JOIN lower l ON l.tree = p.tree AND l.idx = xor(p.idx >> l.level, 1) AND l.m > 1
+  UNION ALL
+  SELECT p.tree, p.idx, s.levels + u.level, u.node, u.idx & 1 = 0
+  FROM placed p JOIN subroots s USING (tree) JOIN upper u ON u.idx = xor(s.place >> u.level, 1) AND u.m > 1),
+proofs AS (SELECT tree, idx, string_agg(sibling, '' ORDER BY level) AS proof FROM steps GROUP BY tree, idx),
+folds AS (
+  SELECT p.tree, p.idx, 0 AS level, p.changed AS node, s.levels + root.levels AS top FROM placed p JOIN subroots s USING (tree), root
+  UNION ALL
+  SELECT f.tree, f.idx, f.level + 1,
+    sha256(CASE WHEN s.sibling IS NULL THEN f.node WHEN s.on_left THEN s.sibling || f.node ELSE f.node || s.sibling END), f.top
+  FROM folds f LEFT JOIN steps s ON s.tree = f.tree AND s.idx = f.idx AND s.level = f.level WHERE f.level < f.top)
+SELECT p.doc_id, p.leaf, s.subroot, root.root, sha256(coalesce(proof, '')) AS proof_sha256, f.node AS folded_root, f.node = root.root AS verified
+FROM placed p JOIN subroots s USING (tree) JOIN folds f ON f.tree = p.tree AND f.idx = p.idx AND f.level = f.top
+  LEFT JOIN proofs ON proofs.tree = p.tree AND proofs.idx = p.idx, root"""
+
 ORACLE["op10_coordinate_join"] = rf"""
 WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 shingles AS (
