@@ -11,6 +11,8 @@ import re
 from bisect import bisect_left
 from html.parser import HTMLParser
 
+import numpy as np
+
 from quire import fixed_values as fv
 
 VOID = frozenset("area base basefont br col command embed frame hr img input isindex keygen link meta param source track wbr".split())
@@ -203,35 +205,45 @@ def lines_to_markdown(words: list[str], x: list[float], y: list[float], width: l
 
 # ---- print chunks ---------------------------------------------------------
 
-_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
-_HEADING = re.compile(r"^ {0,3}#{1,6}\s")
+_SPACE_CLASS = re.escape(fv.WS_CHARS)
+_BLANKS = re.escape(fv.WS_CHARS.replace("\n", ""))
+#: a code fence from its opening line to the line that closes it, or to the end
+_FENCED = re.compile(
+    rf"^ {{0,3}}(?:(`{{3,}})|(~{{3,}}))[^\n]*(?:\n(?! {{0,3}}(?:\1`*|\2~*)[{_BLANKS}]*(?:\n|\Z))[^\n]*)*(?:\n[^\n]*)?", re.M)
+_HEADING = re.compile(rf"^ {{0,3}}#{{1,6}}[{_SPACE_CLASS}]")
 
 
 def print_chunks(markdown: str, target: int = fv.PRINT_CHUNK_BYTES) -> list[str]:
     """Cuts before a heading once a chunk has ``target`` bytes, or at a blank line
     once it has twice that; never inside a code fence or a ``$$`` block. Joined
-    with line feeds the chunks are the text again."""
-    chunks: list[list[str]] = [[]]
-    size, fence, math, filled = 0, "", False, False
-    for line in markdown.split("\n"):
-        blank = not strip(line)
-        if filled and not fence and not math:
-            if (size >= target and _HEADING.match(line)) or (size >= 2 * target and blank):
-                chunks.append([])
-                size, filled = 0, False
-        chunks[-1].append(line)
-        size += len(line.encode()) + 1
-        filled = filled or not blank
-        opened = _FENCE.match(line)
-        if fence:
-            bare = strip(line)
-            if opened and opened[1][0] == fence[0] and len(opened[1]) >= len(fence) and not bare.strip(fence[0]):
-                fence = ""
-        elif opened:
-            fence = opened[1]
-        elif line.count("$$") % 2:
-            math = not math
-    if len(chunks) > 1 and not filled:
-        tail = chunks.pop()
-        chunks[-1].extend(tail)
-    return ["\n".join(c) for c in chunks]
+    with line feeds the chunks are the text again.
+
+    Lines where a cut may fall are flagged for the whole text; each cut is then looked up
+    in the running byte counts of those lines."""
+    lines = markdown.split("\n")
+    starts = np.cumsum([0, *(len(line) + 1 for line in lines)])
+    before = np.cumsum([0, *(len(line.encode()) + 1 for line in lines)])
+    blank = np.array([not strip(line) for line in lines])
+    fenced, inside = np.zeros(len(lines), bool), np.zeros(len(lines), bool)
+    for m in _FENCED.finditer(markdown):
+        a, b = np.searchsorted(starts, [m.start(), m.end()], "right") - 1
+        fenced[a : b + 1], inside[a + 1 : b + 1] = True, True
+    odd = np.array([line.count("$$") % 2 == 1 for line in lines]) & ~fenced
+    free = ~inside & ((np.cumsum(odd) - odd) % 2 == 0)
+    heads = np.flatnonzero(free & np.array([bool(_HEADING.match(line)) for line in lines]))
+    gaps, text = np.flatnonzero(free & blank), np.flatnonzero(~blank)
+    cuts = [0]
+    while True:
+        content = np.searchsorted(text, cuts[-1])
+        if content == len(text):
+            break
+        # the first place of each kind behind the first line with text at which enough bytes have come together
+        least = [np.searchsorted(at, text[content], "right") for at in (heads, gaps)]
+        full = [np.searchsorted(before[at], before[cuts[-1]] + size) for at, size in ((heads, target), (gaps, 2 * target))]
+        found = [at[max(x, y)] for at, x, y in zip((heads, gaps), least, full, strict=True) if max(x, y) < len(at)]
+        if not found:
+            break
+        cuts.append(int(min(found)))
+    if len(cuts) > 1 and not len(text[text >= cuts[-1]]):
+        cuts.pop()  # only blank lines are left: they stay with the chunk before
+    return ["\n".join(lines[a:b]) for a, b in zip(cuts, [*cuts[1:], len(lines)], strict=True)]

@@ -187,12 +187,11 @@ def snippet(text: Column, at: Column, needle_size: Column, width: int = fv.WORD_
 
 
 def translate_service_text(c: Column) -> Column:
-    """Service messages in English; unknown ones stay as they are."""
-    singular = lambda x: F.regexp_replace(x, r"(^|[^\d./])1 pages\b", "$11 page")
-    out = None
+    """Service messages in English; unknown ones stay as they are, null is empty."""
+    out = F.when(c.isNull(), F.lit(""))
     for pattern, template in fv.SERVICE_MESSAGES:
-        branch = (c.rlike(pattern), singular(F.regexp_replace(c, pattern, template)))
-        out = F.when(*branch) if out is None else out.when(*branch)
+        # an end is the text's own end, and a pattern without one takes all that follows
+        whole = pattern[:-1] + r"\z" if pattern.endswith("$") else pattern + r"[\s\S]*\z"
+        made = F.regexp_replace(c, whole, template)
+        out = out.when(c.rlike(whole), F.regexp_replace(made, r"(^|[^\d./])1 pages\b", "$11 page"))
     return out.otherwise(c)
-
-

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
@@ -254,6 +256,30 @@ def note_marks(spark, folder):
         JOIN(F.transform(text.wikilinks(F.col("md")), link)).alias("links"))
 
 
+# messages of a service: the reasons of pages, and what it says on the way, with numbers and
+# words of the documents in it; the last ones are none of its messages
+SAID = [
+    ("已完成 {a}/{b} 页", "Done {a}/{b} {s}"), ("读取文字层 {a}/{b} 页", "Reading text layer {a}/{b} {s}"),
+    ("续跑：已有 {a} 页存档，跳过", "Resuming: {a} {p} already archived"), ("补救 {a} 页失败的识别", "Retrying {a} failed pages"),
+    ("第 {a} 页跳过", "Page {a} skipped"), ("正在使用 Surya 逐页解析 {a}", "Surya is parsing layout, tables and formulas page by page (the first run is slow)"),
+    ("重新精校排队中，只重跑 {a} 页回退页 {l}", "Queued for re-refine, only {a} fallback pages will be re-run"),
+    ("重新精校排队中 {a}", "Queued for re-refine, reusing the current result as the draft"), ("保留 {a} 页上次已成功的 AI 结果", "Keeping {a} {p} that AI already got right"),
+    ("Chrome 打印中途退出（exit {l}）：{a}\n{b}", "Chrome exited while printing (exit {l}): {a}\n{b}"), ("请求超时（{b}s 未返回）。", "Request timed out ({b} s)."),
+    ("图片转 PDF 失败：{l}", "Image → PDF failed: {l}"), ("图片转 PDF 失败：{l}\n{l}", "图片转 PDF 失败：{l}\n{l}"),
+    ("连不上本机 Ollama（{l}）：{a}。{b}", "Can't reach local Ollama ({l}): {a}. Make sure Ollama is open (its icon is in the menu bar)."),
+    ("{b} 页待识别，按 {a} 页一组滚动生成图像", "{b} {q} to recognize, rendering {a} at a time"), ("已取消 {a}", "已取消 {a}"), ("{l}", "{l}"),
+]
+
+
+def _said_sql(template: str) -> str:
+    """The message as SQL over n (a number) and l (a word)."""
+    plural = lambda n: f"case when {n} = 1 then 'page' else 'pages' end"
+    # a number behind a slash stays plural
+    parts = {"{a}": "a", "{b}": "b", "{l}": "l", "{p}": plural("a"), "{q}": plural("b"), "{s}": "'pages'"}
+    out = re.split(r"(\{\w\})", template)
+    return " || ".join(parts[x] if x in parts else q(x).replace("\n", "' || chr(10) || '") for x in out if x)
+
+
 @query("service_messages", with_(FINALS) + f"""
 select m message, count(*) pages from (select case when starts_with(r, '{fv.REASON_REJECTED}') then 'AI result failed validation: ' || substr(r, length('{fv.REASON_REJECTED}') + 1)
   when starts_with(r, '{fv.REASON_FAILED_TEXT}') then 'AI failed, fell back to the text layer: ' || substr(r, length('{fv.REASON_FAILED_TEXT}') + 1)
@@ -261,10 +287,18 @@ select m message, count(*) pages from (select case when starts_with(r, '{fv.REAS
   when r = '{fv.REASON_NO_TEXT}（photo）' then 'AI detection: no extractable text (photo)'
   when r = '{fv.REASON_UNREADABLE}' then 'Unreadable symbols remain in the result' when r = '{fv.REASON_UNCERTAIN}symbol' then 'Model marked as uncertain: symbol'
   when r = '{fv.REASON_THIN_TEXT}' then 'Very little text layer; use High accuracy for scanned or formula pages' end m
-  from (select unnest(reasons) r from finals)) group by 1""")
+  from (select unnest(reasons) r from finals)
+  union all select case k {' '.join(f"when {i} then {_said_sql(said)}" for i, (_, said) in enumerate(SAID))} end
+  from (select doc_id % {len(SAID)} k, cast(n_chars % 4 as varchar) a, cast(n_chars % 3 as varchar) b, lang l from documents)) group by 1""")
 def service_messages(spark, folder):
     reasons = lib_finals(spark, folder).select(F.explode("reasons").alias("r"))
-    return reasons.groupBy(text.translate_service_text(F.col("r")).alias("message")).agg(F.count(F.lit(1)).alias("pages"))
+    d = views.table(spark, folder, "documents")
+    words = {"a": (F.col("n_chars") % 4).cast("string"), "b": (F.col("n_chars") % 3).cast("string"), "l": F.col("lang")}
+    said = F.coalesce(*(
+        F.when(F.col("doc_id") % len(SAID) == i, F.concat(*(words.get(x[1:-1], F.lit(x)) for x in re.split(r"(\{\w\})", template) if x)))
+        for i, (template, _) in enumerate(SAID)))
+    every = reasons.unionAll(d.select(said.alias("r")))
+    return every.groupBy(text.translate_service_text(F.col("r")).alias("message")).agg(F.count(F.lit(1)).alias("pages"))
 
 
 @query("method_labels", with_(FINALS) + """
