@@ -298,7 +298,9 @@ def service_messages(spark, folder):
         F.when(F.col("doc_id") % len(SAID) == i, F.concat(*(words.get(x[1:-1], F.lit(x)) for x in re.split(r"(\{\w\})", template) if x)))
         for i, (template, _) in enumerate(SAID)))
     every = reasons.unionAll(d.select(said.alias("r")))
-    return every.groupBy(text.translate_service_text(F.col("r")).alias("message")).agg(F.count(F.lit(1)).alias("pages"))
+    # each distinct text is translated once
+    distinct = every.groupBy("r").agg(F.count(F.lit(1)).alias("n"))
+    return distinct.groupBy(text.translate_service_text(F.col("r")).alias("message")).agg(F.sum("n").alias("pages"))
 
 
 @query("method_labels", with_(FINALS) + """

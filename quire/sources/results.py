@@ -1,11 +1,12 @@
-"""Stored results: one JSON file per document, and the tables made from them."""
+"""Stored results: documents in a versioned table, or one JSON file per document, and the
+tables made from them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.sources.changelog import PARTS, folder_id
+from quire.sources.versions import Part, Versions
 
 PAGE = (
     "struct<page:int,markdown:string,rawMarkdown:string,charCount:bigint,lineCount:bigint,method:string,status:string,"
@@ -13,7 +14,9 @@ PAGE = (
     "note:string,model:string,provider:string,durationMs:bigint,modelMs:bigint,"
     "usage:struct<inputTokens:bigint,outputTokens:bigint,costUsd:double>>"
 )
-RESULT = f"title string, mode string, pageCount bigint, markdown string, durationMs double, pages array<{PAGE}>"
+FIELDS = {"title": "string", "mode": "string", "pageCount": "bigint", "markdown": "string", "durationMs": "double", "pages": f"array<{PAGE}>"}
+RESULT = ", ".join(f"{name} {kind}" for name, kind in FIELDS.items())
+STORED = f"job_id string, {RESULT}"
 OCR_PAGE = "struct<blocks:array<struct<label:string,html:string,reading_order:int,error:boolean>>>"
 
 _NAMES = {
@@ -31,9 +34,11 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "result.json").option("wholetext", "true").text(path)
     )
     job = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+\z", 1).alias("job_id")
-    own = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", PARTS).text(path).select(folder_id().alias("job_id"), "value")
-    parsed = raw.select(job, "value").unionByName(own).select("job_id", F.from_json("value", RESULT).alias("r"))
-    return parsed.select("job_id", F.coalesce("r.pageCount", "r.markdown", "r.title", F.size("r.pages").cast("string")).isNotNull().alias("readable"), "r.*")
+    parsed = raw.select(job, F.from_json("value", RESULT).alias("r"))
+    readable = F.coalesce("r.pageCount", "r.markdown", "r.title", F.size("r.pages").cast("string")).isNotNull().alias("readable")
+    table = Versions(spark, path)
+    own = table.read(table.latest()[1], STORED)
+    return parsed.select("job_id", readable, "r.*").unionByName(own.withColumn("readable", F.lit(True)))
 
 
 def result_pages(results: DataFrame) -> DataFrame:
@@ -47,11 +52,74 @@ def page_struct() -> Column:
     return F.struct(*[F.col(v).alias(k) for k, v in _NAMES.items()])
 
 
-def write_results(documents: DataFrame, path: str) -> None:
-    """One folder per document below ``path``; the write is committed as a whole.
-    ``documents``: job_id and the columns of a stored result."""
-    body = F.to_json(F.struct(*[c for c in documents.columns if c != "job_id"]))
-    documents.select("job_id", body.alias("value")).write.mode("overwrite").partitionBy("job_id").text(path)
+def _stored(documents: DataFrame) -> DataFrame:
+    """Documents with all columns of a stored result; those that are missing are null."""
+    body = F.from_json(F.to_json(F.struct(*[c for c in documents.columns if c != "job_id"])), RESULT)
+    return documents.select(F.col("job_id").cast("string").alias("job_id"), body.alias("_r"), F.monotonically_increasing_id().alias("_row"))
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")
+
+
+def _rewrite(spark: SparkSession, path: str, ids: DataFrame, buckets: int, merge) -> None:
+    """Commits the buckets that ``ids`` (a written table's job_id) fall in anew: ``merge``
+    makes their rows from those they have. All other buckets stay as they are."""
+    table = Versions(spark, path)
+
+    def changed(at: int, parts: list[Part], settings: dict):
+        count = settings.get("buckets", buckets)
+        touched = sorted(r[0] for r in ids.select(_bucket(count).alias("b")).distinct().collect())  # as many as there are buckets at most
+        if not touched:
+            return None
+        rows = merge(table.read([p for p in parts if p.bucket in touched], STORED))
+        folder = table.write(rows.withColumn("bucket", _bucket(count)).repartition(len(touched), "bucket"), "bucket")
+        live = {r[0] for r in rows.select(_bucket(count).alias("b")).distinct().collect()}
+        kept = [p for p in parts if p.bucket not in touched]
+        return [*kept, *(Part(f"{folder}/bucket={b}", at, b) for b in sorted(live))], {"buckets": count}
+
+    table.change(changed)
+
+
+def write_results(documents: DataFrame, path: str, buckets: int = 64) -> None:
+    """Saves documents (job_id and columns of a stored result): each takes the place of what
+    was stored of it, all other documents stay. Of several rows of one document the last
+    counts. ``buckets`` holds for a new table; a bucket should be about as large as a task
+    can write."""
+    table = Versions(documents.sparkSession, path)
+    fresh = table.read([Part(table.write(_stored(documents)), 0)], f"job_id string, _r struct<{RESULT}>, _row long")
+    last = fresh.groupBy("job_id").agg(F.max_by("_r", "_row").alias("_r")).select("job_id", "_r.*")
+
+    def merge(old: DataFrame) -> DataFrame:
+        new = last.withColumnRenamed("job_id", "_id").select("_id")
+        return old.join(new, old["job_id"].eqNullSafe(new["_id"]), "left_anti").unionByName(last)
+
+    _rewrite(documents.sparkSession, path, fresh, buckets, merge)
+
+
+def patch_results(patches: DataFrame, path: str) -> None:
+    """Changes fields of stored documents. ``patches``: job_id, seq, fields (names that the
+    patch sets) and columns of a stored result. Patches of one document are applied in the
+    order of seq; a field that is not named keeps its value, a named one is set, to null too. A
+    patch of a document that is not stored changes nothing."""
+    spark = patches.sparkSession
+    table = Versions(spark, path)
+    columns = list(FIELDS)
+    given = patches.select(
+        F.col("job_id").cast("string").alias("job_id"), "seq", "fields",
+        F.from_json(F.to_json(F.struct(*[c for c in patches.columns if c in columns])), RESULT).alias("_r"))
+    # a struct is null where no patch names the field
+    newest = [F.max_by(F.struct(F.col(f"_r.{c}").alias("v")), F.when(F.array_contains("fields", c), F.col("seq"))).alias(c) for c in columns]
+    merged = given.groupBy("job_id").agg(*newest)
+    kinds = ", ".join(f"{name} struct<v:{kind}>" for name, kind in FIELDS.items())
+    staged = table.read([Part(table.write(merged), 0)], f"job_id string, {kinds}")
+
+    def merge(old: DataFrame) -> DataFrame:
+        p = staged.select(F.col("job_id").alias("_id"), F.struct(*columns).alias("_p"))
+        joined = old.join(p, old["job_id"].eqNullSafe(p["_id"]), "left")
+        return joined.select("job_id", *(F.when(F.col(f"_p.{c}").isNotNull(), F.col(f"_p.{c}.v")).otherwise(F.col(c)).alias(c) for c in columns))
+
+    _rewrite(spark, path, staged, table.latest()[2].get("buckets", 1), merge)
 
 
 def read_ocr(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import chains
 from quire.sources import changelog, results, sinks
+from quire.sources.versions import Versions
 from quire.streaming import ingest, state
 
 T0 = datetime(2024, 1, 1)
@@ -23,8 +24,8 @@ def test_checkpoint_log(spark, tmp_path):
     got = changelog.latest_pages(changelog.read_log(spark, str(tmp_path)), "markdown string").collect()
     assert [(r["job_id"], r["page"], r["result"]["markdown"]) for r in got] == [("job-1", 1, "new")]
     changelog.append_log(got and spark.createDataFrame([("job-2", 5, ("z",))], "job_id string, page int, result struct<markdown:string>"), str(tmp_path / "out"))
-    back = spark.read.text(str(tmp_path / "out"))
-    assert json.loads(back.first()["value"]) == {"page": 5, "result": {"markdown": "z"}}
+    back = changelog.read_log(spark, str(tmp_path / "out"))
+    assert json.loads(back.first()["line"]) == {"page": 5, "result": {"markdown": "z"}}
 
 
 def test_results(spark, tmp_path):
@@ -38,7 +39,7 @@ def test_results(spark, tmp_path):
     stored = results.result_pages(r).select(F.to_json(results.page_struct()).alias("j")).first()["j"]
     assert "noText" not in stored
     results.write_results(r.filter("readable").select("job_id", "title", "pages"), str(tmp_path / "out"))
-    assert (tmp_path / "out" / "job_id=a").is_dir()
+    assert [r["title"] for r in results.read_results(spark, str(tmp_path / "out")).collect()] == ["T"]
 
 
 IDS = ["job-1", "a b", "x:y", "50%", "a%20b", "ü+/?#=", "007", "c=d", None]
@@ -66,6 +67,81 @@ def test_results_round_trip(spark, tmp_path):
     assert {(r["job_id"], r["page"], r["markdown"]) for r in results.result_pages(got).collect()} == {(j, p, m) for j, *_, ps in rows for p, m in ps}
 
 
+def stored(spark, out):
+    return {r["job_id"]: (r["title"], r["pageCount"], r["markdown"]) for r in results.read_results(spark, out).collect()}
+
+
+def test_saving_one_document_leaves_the_others(spark, tmp_path):
+    out = str(tmp_path / "out")
+    shape = "job_id string, title string, pageCount long, markdown string"
+    results.write_results(spark.createDataFrame([(j, f"t {j}", 1, "m") for j in IDS], shape), out, buckets=4)
+    parts = {p.bucket: p for p in Versions(spark, out).latest()[1]}
+    results.write_results(spark.createDataFrame([("a b", "new", 2, None), ("a b", "newest", 3, None)], shape).coalesce(1), out)
+    assert stored(spark, out) == {j: ("newest", 3, None) if j == "a b" else (f"t {j}", 1, "m") for j in IDS}
+    after = {p.bucket: p for p in Versions(spark, out).latest()[1]}
+    assert sum(parts[b] != after[b] for b in parts) == 1 and len(parts) > 1  # one bucket is written anew
+    results.write_results(spark.createDataFrame([("fresh", "f", 1, "x")], shape), out)
+    assert len(stored(spark, out)) == len(IDS) + 1
+    assert sum(1 for _ in tmp_path.rglob("*.parquet")) < 30
+
+
+def test_patches_are_applied_in_order_and_absent_fields_stay(spark, tmp_path):
+    out = str(tmp_path / "out")
+    results.write_results(spark.createDataFrame([(j, f"t {j}", 1, "m") for j in IDS], "job_id string, title string, pageCount long, markdown string"), out, buckets=4)
+    rows = [("50%", 2, ["title"], "second", 9), ("50%", 1, ["title", "pageCount"], "first", 7), (None, 1, ["markdown", "title"], None, 5), ("none", 1, ["title"], "x", 1), ("007", 1, [], "x", 1)]
+    results.patch_results(spark.createDataFrame(rows, "job_id string, seq int, fields array<string>, title string, pageCount long"), out)
+    want = {j: (f"t {j}", 1, "m") for j in IDS} | {"50%": ("second", 7, "m"), None: (None, 1, None)}
+    assert stored(spark, out) == want
+
+
+def test_two_writers_at_once_lose_nothing(spark, tmp_path, monkeypatch):
+    """The second writer commits between the first one's reading and its commit."""
+    out = str(tmp_path / "out")
+    shape = "job_id string, title string"
+    results.write_results(spark.createDataFrame([("x", "0"), ("y", "0")], shape), out, buckets=1)
+    commit, between = Versions.commit, []
+
+    def late(self, base, parts, settings):
+        if not between:
+            between.append(1)
+            results.write_results(spark.createDataFrame([("y", "other"), ("z", "other")], shape), out)
+        return commit(self, base, parts, settings)
+
+    monkeypatch.setattr(Versions, "commit", late)
+    results.write_results(spark.createDataFrame([("x", "mine")], shape), out)
+    assert {j: t for j, (t, *_) in stored(spark, out).items()} == {"x": "mine", "y": "other", "z": "other"}
+
+
+def lines(spark, out):
+    return {(r["job_id"], r["page"]): r["result"]["markdown"] for r in changelog.latest_pages(changelog.read_log(spark, out), "markdown string").collect()}
+
+
+def test_the_log_is_in_commit_order_and_compacts(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "log")
+    add = lambda rows, **kw: changelog.append_log(spark.createDataFrame([(j, p, (m,)) for j, p, m in rows], "job_id string, page int, result struct<markdown:string>"), out, **kw)
+    add([("a", 1, "1"), ("b", 1, "1")])
+    commit, between = Versions.commit, []
+
+    def late(self, base, parts, settings):
+        if not between:
+            between.append(1)
+            add([("a", 1, "earlier"), ("c", 1, "c")])
+        return commit(self, base, parts, settings)
+
+    monkeypatch.setattr(Versions, "commit", late)
+    add([("a", 1, "later")])  # begins first, commits second
+    monkeypatch.setattr(Versions, "commit", commit)
+    want = {("a", 1): "later", ("b", 1): "1", ("c", 1): "c"}
+    assert lines(spark, out) == want
+    changelog.compact_log(spark, out)
+    assert lines(spark, out) == want and len(Versions(spark, out).latest()[1]) == 1
+    for i in range(5):
+        add([("a", 1, str(i))], compact_after=3)
+    assert lines(spark, out)[("a", 1)] == "4" and len(Versions(spark, out).latest()[1]) <= 3
+    changelog.clear_log(spark, out, spark.createDataFrame([("a",)], "job_id string"))
+    assert lines(spark, out) == {("b", 1): "1", ("c", 1): "c"}
+
+
 def test_ocr_and_files(spark, tmp_path):
     (tmp_path / "o" / "j1").mkdir(parents=True)
     (tmp_path / "o" / "j1" / "results.json").write_text(json.dumps({"doc": [{"blocks": [{"label": "Text", "html": "a"}]}, {"blocks": []}]}))
