@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
@@ -9,9 +11,9 @@ from quire.functions import files, labels
 from quire.functions.base import js_round
 from quire.operators import library, search
 from quire.plans.registry import query
-from quire.plans.views_sql import JOBS, NOW_SQL, PAGES, ROUND, SQUASH, TAGS, TRIM, FOLD, q, with_
+from quire.plans.views_sql import FINALS, JOBS, NOW_SQL, PAGES, ROUND, SQUASH, TAGS, TRIM, FOLD, q, with_
 from quire.sources import views
-from quire.sources.views import NOW, done_jobs, lib_jobs, lib_pages
+from quire.sources.views import NOW, done_jobs, lib_finals, lib_jobs, lib_pages
 
 DONE = JOBS + ",\ndone as (select * from lib_jobs where status = 'done')"
 DAY = lambda c: F.date_format(c, "yyyy-MM-dd")
@@ -383,18 +385,36 @@ def backfill_targets(spark, folder):
     return both.select("id", F.coalesce("untagged", F.lit(False)).alias("untagged"), F.coalesce("previewless", F.lit(False)).alias("previewless"))
 
 
-@query("summarised_jobs", with_(DONE, PAGES) + """,
-s as (select cast(job_id as varchar) id, count(*) n, cast(sum(length(markdown)) as bigint) c from lib_pages group by 1)
-select d.id, coalesce(s.n, d.page_count) page_count, coalesce(s.c, d.char_count) "char_count", coalesce(case when s.n is not null then 0 end, d.review_count) review_count
-from done d left join s on s.id = d.id""")
+@query("summarised_jobs", with_(DONE, FINALS) + """,
+s as (select job_id, count(*) n, case when job_id % 4 = 0 then count(*) else sum(char_count) end c, count(*) filter (where job_id % 4 > 0 and status = 'review') review,
+    count(*) filter (where job_id % 4 > 0 and method = 'ai') ai, count(*) filter (where job_id % 4 > 0 and outcome = 'fallback') fell from finals group by job_id)
+select d.id, coalesce(n, d.page_count) page_count, cast(coalesce(c, d.char_count) as bigint) "char_count", coalesce(review, d.review_count) review_count, ai ai_pages,
+  coalesce(fell, d.fallback_count) fallback_count, case when job_id % 6 = 0 then null when job_id % 3 = 0 then 5 else cast(job_id % 100 as bigint) end stored_ms
+from done d left join s on cast(s.job_id as varchar) = d.id""")
 def summarised_jobs(spark, folder):
-    p = lib_pages(spark, folder)
-    zero = F.lit(0).cast("long")
-    s = p.groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("page_count"), F.max(zero).alias("review_count"), F.max(zero).alias("ai_pages"),
-        F.sum(F.char_length("markdown")).alias("char_count"), F.max(zero).alias("fallback_count"))
-    previews = p.filter(F.col("page") == 1).select("job_id", F.col("markdown").alias("preview"))
-    return library.with_summary(done_jobs(spark, folder), s, previews).select("id", "page_count", "char_count", "review_count")
+    """Drafts of all documents are stored, then the finished ones of three in four; patches
+    set the duration of some and clear it again of some of these. The job rows get
+    the summaries of what is read back."""
+    from quire.operators import pages
+    from quire.session import shared_dir
+    from quire.sources import results
+
+    path = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    finals, k = lib_finals(spark, folder), F.col("job_id")
+    drafts = finals.select("job_id", "page", "markdown", F.lit("text").alias("method"), F.lit("good").alias("status"), F.lit(1).cast("long").alias("char_count"))
+    taken = lambda rows: results.as_documents(rows).withColumn("durationMs", (k % 100 + 0.25).cast("double"))
+    results.write_results(taken(drafts), path, buckets=8)
+    results.write_results(taken(finals.filter(k % 4 > 0)), path)
+    ids = lib_pages(spark, folder).select("job_id").distinct()
+    patch = lambda seq, ms: F.struct(F.lit(seq).alias("seq"), F.lit(ms).cast("double").alias("durationMs"))
+    patches = ids.filter(k % 3 == 0).select("job_id", F.inline(F.when(k % 6 == 0, F.array(patch(2, None), patch(1, 5.25))).otherwise(F.array(patch(1, 5.25)))))
+    results.patch_results(patches.withColumn("fields", F.array(F.lit("durationMs"))), path)
+    stored = results.read_results(spark, path)
+    read = results.result_pages(stored)
+    previews = read.filter(F.col("page") == 1).select("job_id", F.col("markdown").alias("preview"))
+    made = library.with_summary(done_jobs(spark, folder), pages.summary(read), previews)
+    ms = stored.select(F.col("job_id").alias("id"), F.round("durationMs").cast("long").alias("stored_ms"))
+    return made.join(ms, "id", "left").select("id", "page_count", "char_count", "review_count", "ai_pages", "fallback_count", "stored_ms")
 
 
 @query("usable_channels", """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from quire.plans.registry import query
 from quire.plans.views_sql import (
     DRAFTS, FINALS, FORMULAS, LINES, OPTIONS, PAGES, SQUASH, TRIM, VISIBLE, q, with_,
 )
+from quire.session import shared_dir
 from quire.sources import changelog, views
 from quire.sources.views import lib_drafts, lib_finals, lib_pages, lib_replies
 
@@ -142,16 +144,19 @@ def rescue_round(spark, folder):
 @query("latest_checkpoint", with_(PAGES) + """
 select job_id, page, case when length(markdown) <= 200 then md5(markdown) else md5(markdown || '!') end result_md5 from lib_pages""")
 def latest_checkpoint(spark, folder):
-    """The pages twice as a change log, the second write only for longer ones,
-    with a half-written line after each document."""
+    """The pages in a change log: all of them, then the longer ones again, then one half-written
+    line of each document. The log is compacted between."""
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
     p = lib_pages(spark, folder)
-    entry = lambda md: F.to_json(F.struct("page", F.struct(md.alias("markdown")).alias("result")))
-    first = p.select("job_id", F.lit(0).alias("seq"), entry(F.col("markdown")).alias("line"))
-    second = p.filter(F.char_length("markdown") > 200).select("job_id", F.lit(1).alias("seq"), entry(F.concat("markdown", F.lit("!"))).alias("line"))
-    half = p.filter(F.col("page") == 1).select("job_id", F.lit(2).alias("seq"), F.lit('{"page":1,"result":{"mark').alias("line"))
-    log = first.unionByName(second).unionByName(half)
-    latest = changelog.latest_pages(log, "markdown string")
-    return latest.select("job_id", "page", F.md5("result.markdown").alias("result_md5"))
+    entry = lambda md: p.select("job_id", "page", F.struct(md.alias("markdown")).alias("result"))
+    changelog.append_log(entry(F.col("markdown")), path)
+    changelog.append_log(entry(F.concat("markdown", F.lit("!"))).filter(F.char_length("result.markdown") > 201), path)
+    changelog.compact_log(spark, path)
+    log = changelog.read_log(spark, path)
+    last = F.struct(*(F.lit(v).cast(t).alias(c) for c, v, t in (("append", 2**62, "long"), ("file", "", "string"), ("block", 0, "long"), ("row", 0, "long"))))
+    half = p.filter(F.col("page") == 1).select(F.col("job_id").cast("string").alias("job_id"), last.alias("seq"), F.lit('{"page":1,"result":{"mark').alias("line"))
+    latest = changelog.latest_pages(log.unionByName(half), "markdown string")
+    return latest.select(F.col("job_id").cast("long").alias("job_id"), "page", F.md5("result.markdown").alias("result_md5"))
 
 
 @query("resumed_pages", with_(FINALS) + """

@@ -52,6 +52,15 @@ def page_struct() -> Column:
     return F.struct(*[F.col(v).alias(k) for k, v in _NAMES.items()])
 
 
+def as_documents(pages: DataFrame) -> DataFrame:
+    """Page rows as documents: job_id, pageCount and pages in order. A stored result is one
+    document, so its pages come together in one row; columns that are missing are null."""
+    have = set(pages.columns)
+    full = pages.withColumns({v: F.lit(None) for v in _NAMES.values() if v not in have})
+    return full.groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("pageCount"), F.transform(F.array_sort(F.collect_list(F.struct("page", page_struct().alias("p")))), lambda x: x["p"]).alias("pages"))
+
+
 def _stored(documents: DataFrame) -> DataFrame:
     """Documents with all columns of a stored result; those that are missing are null."""
     body = F.from_json(F.to_json(F.struct(*[c for c in documents.columns if c != "job_id"])), RESULT)
