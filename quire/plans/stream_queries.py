@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quire.operators import chains
 from quire.plans.registry import query
 from quire.plans.views_sql import CALLS, with_
+from quire.session import shared_dir
 from quire.sources.tables import table
 from quire.streaming import ingest
 
@@ -21,22 +24,33 @@ select 'm' || event_id || '|r' || event_id as key, case event_id % 3 when 0 then
   floor((input_tokens * pin + output_tokens * pout + cached_tokens * pin * 0.1::double) / 1e6 * 1e9 + 0.5) / 1e9 usd
 from (select *, case event_id % 3 when 0 then 0.1::double when 1 then 2.0::double else 4.0::double end pin, case event_id % 3 when 0 then 0.5::double when 1 then 10.0::double else 20.0::double end pout from lib_calls)""")
 def usage_log_ingest(spark, folder):
-    """Every event as a log line, a third of them written twice, with cut-off lines between."""
+    """Every event as a log line; a third are followed by another copy with other numbers, a third
+    by a cut-off line. The logs are read, then grow by files that tell all keys again, and are read again."""
     from quire.functions.base import js_round
     from quire.sources.views import _calls
 
-    c = _calls(_events(spark, folder))
+    base = f"{shared_dir(spark)}/usage-{uuid.uuid4().hex}"
+    c = _calls(table(spark, folder, "events"))
     k = F.col("event_id")
     ks = k.cast("string")
     model = F.get(F.array(F.lit("claude-haiku-x"), F.lit("claude-sonnet-y"), F.lit("something-else")), (k % 3).cast("int"))
-    line = F.to_json(F.struct(
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), F.concat(F.lit("r"), ks).alias("requestId"),
-        F.struct(F.concat(F.lit("m"), ks).alias("id"), model.alias("model"), F.struct(
-            "input_tokens", "output_tokens", F.col("cached_tokens").alias("cache_read_input_tokens")).alias("usage")).alias("message")))
-    copies = F.when(k % 3 == 0, F.array(line, line)).when(k % 3 == 1, F.array(line, F.left(line, F.lit(60)))).otherwise(F.array(line))
-    rows = ingest.first_of_each(ingest.parse_usage(c.select(F.explode(copies).alias("value"))))
-    done = ingest.run_to_table(rows, "usage-log")
-    return done.select("key", "model", js_round(F.col("usd"), 9).alias("usd"))
+
+    def line(more: int):
+        return F.to_json(F.struct(
+            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), F.concat(F.lit("r"), ks).alias("requestId"),
+            F.struct(F.concat(F.lit("m"), ks).alias("id"), model.alias("model"), F.struct(
+                (F.col("input_tokens") + more).alias("input_tokens"), "output_tokens", F.col("cached_tokens").alias("cache_read_input_tokens")).alias("usage")).alias("message")))
+
+    def read() -> None:
+        rows = ingest.parse_usage(ingest.read_usage_logs(spark, f"{base}/logs", suffix=".txt"))
+        ingest.keep_first(rows, f"{base}/table", f"{base}/checkpoint")
+
+    copies = F.when(k % 3 == 0, F.array(line(0), line(5))).when(k % 3 == 1, F.array(line(0), F.left(line(0), F.lit(60)))).otherwise(F.array(line(0)))
+    c.select(F.explode(copies).alias("value")).write.mode("append").text(f"{base}/logs")
+    read()
+    c.select(line(9).alias("value")).write.mode("append").text(f"{base}/logs")
+    read()
+    return ingest.usage_rows(spark, f"{base}/table").select("key", "model", js_round(F.col("usd"), 9).alias("usd"))
 
 
 @query("lane_limits", """

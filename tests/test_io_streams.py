@@ -271,13 +271,76 @@ def test_usage_logs(spark, tmp_path):
     for d in ("x", "own-app"):
         (tmp_path / d).mkdir()
         (tmp_path / d / "log.jsonl").write_text("\n".join(lines if d == "x" else [entry(9)]) + "\n")
-    rows = ingest.parse_usage(ingest.read_usage_logs(spark, str(tmp_path)), exclude_dirs=["own-app"])
-    got = {r["key"]: r["usd"] for r in ingest.run_to_table(ingest.first_of_each(rows), "test-logs").collect()}
+    rows = ingest.parse_usage(ingest.read_usage_logs(spark, str(tmp_path), exclude_dirs=["own-app"]))
+    ingest.keep_first(rows, str(tmp_path / "table"), str(tmp_path / "check"))
+    got = {r["key"]: r["usd"] for r in ingest.usage_rows(spark, str(tmp_path / "table")).collect()}
     assert set(got) == {"m1|r1", "m3|r3"}
     assert abs(got["m1|r1"] - (10 * 2 + 10 + 100 * 0.2 + 7 * 2.5) / 1e6) < 1e-12
     assert abs(got["m3|r3"] - (10 * 4 + 4 * 2.5) / 1e6) < 1e-12
 
 
+def usage_line(i, n, at="2024-01-01T00:00:00.000Z"):
+    return json.dumps({"timestamp": at, "requestId": "r", "message": {"id": f"m{i}", "model": "claude-sonnet-1", "usage": {"input_tokens": n}}}) + "\n"
+
+
+def test_logs_grow_are_cut_and_shortened(spark, tmp_path):
+    """Each trigger takes what is new and whole; the first copy of a key stays."""
+    logs = tmp_path / "logs" / "deep"
+    logs.mkdir(parents=True)
+
+    def step():
+        rows = ingest.parse_usage(ingest.read_usage_logs(spark, str(tmp_path / "logs"), split_bytes=100))
+        ingest.keep_first(rows, str(tmp_path / "table"), str(tmp_path / "check"), compact_after=3)
+        return {r["key"].split("|")[0]: round(r["usd"] * 1e6 / 2) for r in ingest.usage_rows(spark, str(tmp_path / "table")).collect()}
+
+    half = usage_line(4, 4)
+    (logs / "b.jsonl").write_text(usage_line(1, 20) + usage_line(2, 2))
+    (logs / "a.jsonl").write_text(usage_line(1, 1) + usage_line(3, 3) + half[:70])
+    (logs / "other.txt").write_text(usage_line(9, 9))
+    assert step() == {"m1": 1, "m2": 2, "m3": 3}  # of two copies in one trigger the one in the first file
+    with (logs / "a.jsonl").open("a") as f:
+        f.write(half[70:] + usage_line(1, 50) + "é not json\n")
+    assert step() == {"m1": 1, "m2": 2, "m3": 3, "m4": 4}
+    (logs / "b.jsonl").write_text(usage_line(5, 5))  # shorter than it was: read from its start
+    assert step() == {"m1": 1, "m2": 2, "m3": 3, "m4": 4, "m5": 5}
+    (logs / "c.jsonl").write_text("".join(usage_line(i, i) for i in range(6, 40)) + "\n\n")
+    want = {f"m{i}": i for i in range(1, 40)}
+    assert step() == want
+    for i in range(40, 44):
+        (logs / f"d{i}.jsonl").write_text(usage_line(i, i) + usage_line(1, 99))
+        step()
+    assert step() == want | {f"m{i}": i for i in range(40, 44)}
+    assert len(Versions(spark, str(tmp_path / "table")).latest()[1]) <= 3
+
+
+@pytest.mark.parametrize("split", [1, 7, 64, 10_000])
+def test_every_line_is_read_once_whatever_the_splits(tmp_path, split):
+    from quire.streaming import growing
+
+    rng = random.Random(split)
+    parts = ["x" * rng.randrange(30) + "é" * rng.randrange(3) for _ in range(60)]
+    (tmp_path / "f.log").write_text("\n".join(parts) + "\nhalf")
+    reader = growing.GrowingReader({"path": str(tmp_path), "splitbytes": str(split)})
+    end = reader.latestOffset()
+    rows = [(r["position"], r["value"]) for p in reader.partitions({}, end) for b in reader.read(p) for r in b.to_pylist()]
+    assert [v for _, v in rows] == parts and [a for a, _ in rows] == sorted(a for a, _ in rows)
+    assert list(reader.partitions(end, end)) == []
+    assert growing.last_line_end(growing.fs.LocalFileSystem(), str(tmp_path / "f.log"), 3) in (0, 1, 2, 3)
+
+
+def test_old_files_are_passed_over_only_where_asked(tmp_path):
+    import os
+
+    from quire.streaming import growing
+
+    (tmp_path / "old.log").write_text("a\n")
+    (tmp_path / "new.log").write_text("b\n")
+    os.utime(tmp_path / "old.log", (1, 1))
+    for age, count in (("", 2), ("8", 1)):
+        reader = growing.GrowingReader({"path": str(tmp_path), "maxagedays": age})
+        assert len(reader.partitions({}, reader.latestOffset())) == count
+
+
 def test_most_free_lane(spark):
     lanes = spark.createDataFrame([("b", 5, 1), ("a", 6, 2), ("c", 3, 3)], "lane string, lane_limit int, in_flight int")
     assert tuple(state.most_free(lanes).first()) == ("a", 4)
