@@ -6,12 +6,12 @@ A text is encoded by a byte-level BPE (A, with a space put before the text) and
 token of A and one of B in a group are linked. The count of an id pair is the number of
 documents that hold it linked.
 
-1. The distinct pairs of all documents are a table, cut by a hash into buckets of about
-   32,768. Each bucket gets a minimal perfect hash: cascaded bit arrays in which a key that
-   is alone in its place sets a bit and all others go on to the next array; a key's number is the
-   rank of its bit. The keys stand beside it in that order, so a look-up is verified.
-2. Every task adds its documents' pairs to a dense vector indexed by the hash and writes it,
-   bucket by bucket; vectors are summed in a tree of sixteen at a time.
+1. Every task aligns its documents and writes how many of them hold each pair. The distinct
+   pairs of all tasks are cut by a hash into buckets of about 32,768. Each bucket gets a minimal
+   perfect hash: cascaded bit arrays in which a key that is alone in its place sets a bit and all others go on to
+   the next array; a key's number is the rank of its bit. The keys stand beside it in that order, so a look-up is verified.
+2. The tasks' counts become dense vectors indexed by the hash, bucket by bucket, which are
+   summed in a tree of sixteen at a time.
 3. A second pass aligns the documents again and looks the counts up.
 
 What is sent to tasks is a slice of 128 buckets (4.2 million pairs, about 70 MB with counts), and the best
@@ -21,7 +21,8 @@ the other, each in a pass of its own. All pairs of all documents are counted.
 A text is cut at single spaces between other characters: both tokenizers start a token there
 whatever stands around (the pattern of A takes at most one space, at a token's front; that no piece of B
 holds a space behind another character is checked). Distinct stretches are aligned once and kept in a
-cache of bounded size. Links of a group come from its distinct ids, so a long run of one character adds few.
+cache of bounded size; when it is full, those that came up in one batch only leave. Links of a group come
+from its distinct ids, so a long run of one character adds few.
 
 Defined cases: a null or empty text, or one whose joined token bytes of A or B are not the
 space and the text (a text with U+2581), has no tokens: zeros, and the empty groups; strings of
@@ -49,12 +50,16 @@ from quire.llm.tree_bpe import byte_letters, spread
 from quire.session import written
 
 SPACE = "▁"
+#: the usual pattern that splits text before byte-level merges: a fixed value
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r" \s|\s ")
 #: ids of B per id of A in a pair's key
 PIECES = 1 << 15
 #: pairs of a bucket, about; buckets of a slice; vectors summed at a time
 BUCKET, SLICE, FAN = 1 << 15, 128, 16
+#: pairs that a task counts before it tells them
+HELD = 2_000_000
 OUT = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
@@ -67,17 +72,22 @@ class Aligner:
 
     def __init__(self, byte_file: str, piece_file: str, cache: int = 300_000):
         import sentencepiece  # noqa: PLC0415
-        from tokenizers import Tokenizer  # noqa: PLC0415
+        import tiktoken  # noqa: PLC0415
 
-        self.a = Tokenizer.from_file(byte_file)
-        self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_file)
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         with open(byte_file, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        of_a = [b""] * (max(vocab.values()) + 1)
-        for s, i in vocab.items():
-            of_a[i] = bytes(byte_of[c] for c in s)
+            model = json.load(f)["model"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        made = [model["vocab"][a + b] for a, b in pairs]
+        if made != sorted(made):
+            raise ValueError("the ids are not in the order of the merges")
+        ranks = {bytes(byte_of[c] for c in s): i for s, i in model["vocab"].items()}
+        # the same vocabulary and pattern; strings of special tokens are plain text
+        self.a = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        of_a = [b""] * (max(ranks.values()) + 1)
+        for s, i in ranks.items():
+            of_a[i] = s
         of_b = []
         for i in range(self.b.get_piece_size()):
             p = self.b.id_to_piece(i)
@@ -100,6 +110,22 @@ class Aligner:
         self.at = {k: np.zeros(1, np.int64) for k in ("a", "b", "group", "pair")}
         self.ids_a, self.ids_b, self.group_a, self.group_b, self.pairs, self.links = (none,) * 6
         self.n_links = none
+        self.batches = none  # in how many batches each stretch came up
+
+    def _trim(self) -> None:
+        """Keeps the stretches that came up in several batches, if they are half of all at most."""
+        keep = np.flatnonzero(self.batches > 1)
+        if 2 * len(keep) > self.cache:
+            return self._clear()
+        self.clears += 1
+        names = list(self.index)
+        self.index = {names[i]: n for n, i in enumerate(keep.tolist())}
+        for kind, columns in (("a", ["ids_a"]), ("b", ["ids_b"]), ("group", ["group_a", "group_b"]), ("pair", ["pairs", "links"])):
+            at, lengths = spread(self.at[kind][:-1], np.diff(self.at[kind]), keep)
+            self.at[kind] = np.concatenate([[0], np.cumsum(lengths)])
+            for c in columns:
+                setattr(self, c, getattr(self, c)[at])
+        self.bad, self.n_links, self.batches = self.bad[keep], self.n_links[keep], np.ones(len(keep), np.int64)
 
     def stretches(self, text: str) -> list[str]:
         """The text cut at single spaces; each stands for a space and itself."""
@@ -111,7 +137,7 @@ class Aligner:
 
     def _encode(self, blocks: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of A and B of each block."""
-        a = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast([" " + b for b in blocks], add_special_tokens=False)]
+        a = [np.array(self.a.encode_ordinary(" " + b), np.int64) for b in blocks]
         b = [np.array(ids, np.int64) for ids in self.b.encode(blocks, num_threads=1)]
         return list(zip(a, b, strict=True))
 
@@ -169,12 +195,14 @@ class Aligner:
         """The numbers of the stretches of all texts, and the offset of each text; a text
         without tokens has none."""
         if len(self.index) > self.cache:
-            self._clear()
+            self._trim()
         index, base = self.index, len(self.index)
         split = [self.stretches(v) for v in values]
         of = np.array([index.setdefault(s, len(index)) for stretches in split for s in stretches], np.int64)
         if len(index) > base:
             self._learn(list(index)[base:])
+            self.batches = np.concatenate([self.batches, np.zeros(len(index) - base, np.int64)])
+        self.batches[np.unique(of)] += 1
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
         wrong = np.concatenate([[0], np.cumsum(self.bad[of])])
         keep = wrong[offsets[1:]] == wrong[offsets[:-1]]
@@ -345,23 +373,29 @@ def _batches(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterat
             yield texts(batch.column(0))
 
 
-def distinct_pairs(docs: DataFrame, byte_file: str, piece_file: str) -> DataFrame:
-    """The distinct pairs of ``docs`` (one column of texts) as keys."""
+def counted_pairs(docs: DataFrame, byte_file: str, piece_file: str) -> DataFrame:
+    """How many documents of each task hold each pair (``docs``: one column of texts). A
+    task with very many pairs tells them in several stretches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(byte_file, piece_file)
-        clears, told = aligner.clears, np.zeros(0, bool)
+        none = np.zeros(0, np.int64)
+        keys, counts = none, none
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["pair", "n"])
+
         for values in _batches(batches):
-            of, _ = aligner.align(values)
-            if clears != aligner.clears:
-                clears, told = aligner.clears, np.zeros(0, bool)
-            told = np.concatenate([told, np.zeros(len(aligner.bad) - len(told), bool)])
-            of = np.unique(of)
-            of = of[~told[of]]
-            told[of] = True
-            at, _ = spread(aligner.at["pair"][:-1], np.diff(aligner.at["pair"]), of)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(aligner.pairs[at]))], names=["pair"])
+            more, own = np.unique(aligner.document_pairs(*aligner.align(values)), return_counts=True)
+            both, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
+            total = np.zeros(len(both), np.int64)
+            np.add.at(total, at, np.concatenate([counts, own]))
+            keys, counts = both, total
+            if len(keys) > HELD:
+                yield rows()
+                keys, counts = none, none
+        yield rows()
 
-    return docs.mapInArrow(run, "pair long").distinct()
+    return docs.mapInArrow(run, "pair long, n long")
 
 
 def hashed(pairs: DataFrame, buckets: int) -> DataFrame:
@@ -382,26 +416,26 @@ def hashed(pairs: DataFrame, buckets: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(build, "bucket int, sizes array<long>, bits binary, keys binary")
 
 
-def count_vectors(docs: DataFrame, byte_file: str, piece_file: str, pair_hash) -> DataFrame:
-    """Each task's vectors of document counts (32-bit), bucket by bucket. ``pair_hash`` is
+def count_vectors(counted: DataFrame, pair_hash) -> DataFrame:
+    """Tasks' vectors of counts, bucket by bucket, from rows of pair and n. ``pair_hash`` is
     a broadcast PairHash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext  # noqa: PLC0415
 
-        aligner, known = _aligner(byte_file, piece_file), pair_hash.value
-        vector = np.zeros(len(known.keys), np.int32)
-        for values in _batches(batches):
-            keys, counts = np.unique(aligner.document_pairs(*aligner.align(values)), return_counts=True)
+        known = pair_hash.value
+        vector = np.zeros(len(known.keys), np.int64)
+        for batch in batches:
+            keys, counts = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             at = known.find(keys)
-            vector[at[at >= 0]] += counts[at >= 0].astype(np.int32)
+            np.add.at(vector, at[at >= 0], counts[at >= 0])
         part = TaskContext.get().partitionId()
         for i, (a, b) in enumerate(zip(known.offset, known.offset[1:])):
             if vector[a:b].any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([known.first + i], pa.int32()), pa.array([part], pa.int32()), pa.array([vector[a:b].astype(np.int64).tobytes()], pa.binary())],
+                    [pa.array([known.first + i], pa.int32()), pa.array([part], pa.int32()), pa.array([vector[a:b].tobytes()], pa.binary())],
                     names=["bucket", "part", "vector"])
 
-    return docs.mapInArrow(run, "bucket int, part int, vector binary")
+    return counted.select("pair", "n").mapInArrow(run, "bucket int, part int, vector binary")
 
 
 def tree_sum(vectors: DataFrame) -> DataFrame:
@@ -511,14 +545,15 @@ def align(df: DataFrame, byte_file: str, piece_file: str, text: str = "text") ->
     files are paths on every machine."""
     spark = df.sparkSession
     docs = df.select(col(text).cast("string").alias("text"))
-    pairs = written(distinct_pairs(docs, byte_file, piece_file), "align-pairs")
+    told = written(counted_pairs(docs, byte_file, piece_file), "align-told")
+    pairs = written(told.select("pair").distinct(), "align-pairs")
     buckets = max(1, -(-pairs.count() // BUCKET))
     tables = written(hashed(pairs, buckets), "align-hash")
     sent, counted = [], []
     for first in range(0, buckets, SLICE):
         part = tables.filter(F.col("bucket").between(first, first + SLICE - 1))
         pair_hash = spark.sparkContext.broadcast(PairHash(first, buckets, part.collect()))
-        vectors = written(count_vectors(docs, byte_file, piece_file, pair_hash), "align-vectors")
+        vectors = written(count_vectors(told, pair_hash), "align-vectors")
         counted.append(written(part.join(tree_sum(vectors), "bucket").select("bucket", "keys", "vector"), "align-counts"))
         sent.append(first)
     best: dict[int, int] = {}
