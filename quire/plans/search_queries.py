@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
 from quire.functions import answers
-from quire.operators import search
+from quire.operators import search, search_index
 from quire.plans.library_queries import DONE
 from quire.plans.registry import query
 from quire.plans.views_sql import FOLD, JOBS, PAGES, SQUASH, TAGS, TRIM, CLIP, q, with_
+from quire.session import shared_dir
 from quire.sources import views
 from quire.sources.views import done_jobs, lib_jobs, lib_pages
 
@@ -36,6 +41,27 @@ def search_counts(spark, folder):
     return search.search(lib_pages(spark, folder), TERM)
 
 
+INDEXED = ["tion", "OU", "the ", "e. "]
+
+
+@query("indexed_search", with_(PAGES) + f""",
+n as (select unnest([{', '.join(q(x) for x in INDEXED)}]) needle),
+c as (select needle, job_id, {FOLD('markdown')} f, trim({FOLD('needle')}) k from lib_pages, n where job_id % 7 <> 0 and length(trim(needle)) >= 2)
+select needle, cast(job_id as varchar) job_id, cast(sum((length(f) - length(replace(f, k, ''))) // length(k)) as bigint) hits from c where contains(f, k) group by 1, 2""")
+def indexed_search(spark, folder):
+    """The index of older texts, brought up to date (a third have changed, one in seven are gone)
+    and searched."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    p, k = lib_pages(spark, folder), F.col("job_id")
+    jobs = p.select(k.alias("id")).distinct()
+    old = p.withColumn("markdown", F.when(k % 3 == 0, F.reverse("markdown")).otherwise(F.col("markdown")))
+    search_index.sync(jobs.withColumn("updated_at", F.lit("1")), old, path)
+    now = jobs.filter(F.col("id") % 7 != 0).withColumn("updated_at", F.when(F.col("id") % 3 == 0, "2").otherwise("1"))
+    search_index.sync(now, p, path)
+    found = [search_index.hit_counts(spark, path, n).select(F.lit(n).alias("needle"), "job_id", "hits") for n in INDEXED]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("search_hits", HITS + f""",
 e as (select job_id, page, markdown, unnest({offsets('f', N)}[1:{fv.HITS_PER_DOC}]) as pos from f where job_id in (select job_id from top)),
 r as (select *, row_number() over (partition by job_id order by page, pos) hit, greatest(0, pos - {fv.CONTEXT}) s, least(length(markdown), pos + {len(N)} + {fv.CONTEXT}) t from e)
