@@ -8,6 +8,8 @@ the join of drafts and replies.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,21 +72,35 @@ def validation_failures(draft: tuple[Column, Column, Column], reply: tuple[Colum
     return F.when(F.coalesce(no_text, F.lit(False)), _none()).otherwise(F.array_compact(checks))
 
 
-def checked(joined: DataFrame) -> DataFrame:
-    """Drafts joined with replies, plus the reply's metrics and the failed checks.
-    Each metric is a column of its own and so taken once."""
+MEASURES = ("_visible", "_formulas", "_options", "_lines", "_blank", "_unclear")
+
+
+def measured(replies: DataFrame) -> DataFrame:
+    """Replies with what is known of their texts. Taken before replies meet drafts, so that a
+    text goes through the join only where it is wanted."""
     reply = F.coalesce(F.col("r_markdown"), F.lit(""))
-    metrics = joined.withColumns({
-        "_reply": reply,
-        "_final": js_trim(reply),
-        "_visible": visible_length(reply).cast("long"),
-        "_formulas": count_formulas(reply).cast("long"),
-        "_options": count_options(reply).cast("long"),
-    })
+    trimmed = js_trim(reply)
+    made = (
+        visible_length(reply).cast("long"), count_formulas(reply).cast("long"), count_options(reply).cast("long"), line_count(trimmed).cast("long"),
+        trimmed == "", F.contains(reply, F.lit(fv.UNCLEAR)))
+    return replies.withColumns(dict(zip(MEASURES, made, strict=True)))
+
+
+def answered(drafts: DataFrame, replies: DataFrame, keys: Sequence[str] = ("job_id", "page")) -> DataFrame:
+    """Final pages of drafts and their replies, one at most for each."""
+    return apply_reply(drafts.withColumn("_written", F.col("markdown") != "").join(measured(replies), list(keys), "left"))
+
+
+def checked(joined: DataFrame) -> DataFrame:
+    """Drafts joined with replies, plus the reply's metrics, where ``answered`` has not taken
+    them already, and the failed checks."""
+    metrics = joined if set(MEASURES) <= set(joined.columns) else measured(joined)
+    if "_written" not in joined.columns:
+        metrics = metrics.withColumn("_written", F.col("markdown") != "")
     failures = validation_failures(
         (F.col("char_count"), F.col("formula_count"), F.col("option_count")),
         (F.col("_visible"), F.col("_formulas"), F.col("_options")),
-        F.col("_final") == "", F.col("r_no_text"))
+        F.col("_blank"), F.col("r_no_text"))
     return metrics.withColumn("_failures", failures)
 
 
@@ -95,7 +111,8 @@ def apply_reply(joined: DataFrame) -> DataFrame:
     error, model, provider, input_tokens, output_tokens, cost_usd. ``r_sent``
     is NULL where the page was not given to the model.
     """
-    md, reasons, reply, final = (F.col(c) for c in ("markdown", "reasons", "_reply", "_final"))
+    md, reasons = F.col("markdown"), F.col("reasons")
+    final = js_trim(F.coalesce(F.col("r_markdown"), F.lit("")))
     step = (
         F.when(F.col("r_sent").isNull(), "local")
         .when(F.col("r_error").isNotNull(), "failed")
@@ -110,14 +127,14 @@ def apply_reply(joined: DataFrame) -> DataFrame:
     uncertain = F.coalesce(F.col("r_uncertain"), _none())
     doubts = F.concat(
         F.transform(uncertain, lambda x: F.concat(F.lit(fv.REASON_UNCERTAIN), x)),
-        F.when(F.contains(reply, F.lit(fv.UNCLEAR)), F.array(F.lit(fv.REASON_UNREADABLE))).otherwise(_none()),
+        F.when(F.col("_unclear"), F.array(F.lit(fv.REASON_UNREADABLE))).otherwise(_none()),
     )
     nothing = F.concat(
         F.lit(fv.REASON_NO_TEXT), F.when(note != "", F.concat(F.lit("（"), note, F.lit("）"))).otherwise(F.lit(""))
     )
     rejected = F.concat(F.lit(fv.REASON_REJECTED), F.array_join(F.col("_failures"), fv.FAILURE_JOINER))
     failed = F.concat(
-        F.when(md != "", F.lit(fv.REASON_FAILED_TEXT)).otherwise(F.lit(fv.REASON_FAILED_EMPTY)), F.col("r_error")
+        F.when(F.col("_written"), F.lit(fv.REASON_FAILED_TEXT)).otherwise(F.lit(fv.REASON_FAILED_EMPTY)), F.col("r_error")
     )
     new_reasons = (
         F.when(adopted, doubts)
@@ -135,7 +152,7 @@ def apply_reply(joined: DataFrame) -> DataFrame:
         pick(final, F.lit(""), md).alias("markdown"),
         F.when(step != "local", md).alias("raw_markdown"),
         pick(F.col("_visible"), F.lit(0).cast("long"), F.col("char_count")).alias("char_count"),
-        pick(line_count(final).cast("long"), F.lit(0).cast("long"), F.col("line_count")).alias("line_count"),
+        pick(F.col("_lines"), F.lit(0).cast("long"), F.col("line_count")).alias("line_count"),
         F.when(used, "ai").otherwise(F.col("method")).alias("method"),
         F.when(step == "local", F.col("status"))
         .when(adopted & (F.size("_reasons") == 0), "good")

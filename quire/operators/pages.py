@@ -15,7 +15,7 @@ KEY = ["job_id", "page"]
 
 def with_replies(drafts: DataFrame, replies: DataFrame) -> DataFrame:
     """Final pages. Keyed by (document, page), so a huge document is spread too."""
-    return page_state.apply_reply(drafts.join(replies, KEY, "left"))
+    return page_state.answered(drafts, replies, KEY)
 
 
 def resume(drafts: DataFrame, archived: DataFrame, kept: DataFrame) -> DataFrame:

@@ -48,25 +48,22 @@ def search_hits(
 
     The at most ``limit`` ranked ids go into the plan as an IN filter, which
     reaches the Parquet scan: the text of other documents is not read again.
-    Offsets are cut per page, then per document by a rank whose limit is pushed
-    below the shuffle; snippets are built only for the hits that are kept.
+    A page's first offsets are cut out with their context where the page is read; what is ranked
+    and shuffled are these short pieces.
     """
     needle = needle_of(query)
     ranked = [row["job_id"] for row in search(pages, query, limit).collect()]
     width = max(len(needle), 1)
     found = _counted(pages.filter(F.col("job_id").isin(ranked)), needle)
-    offsets = text.occurrence_offsets(F.col("markdown"), needle or "\0", per_doc, ignore_case=True)
-    each = found.select("job_id", "page", "markdown", F.explode(offsets).alias("at"))
+    md = F.col("markdown")
+    piece = lambda at: F.struct(
+        at.alias("at"), text.context_before(md, at, context).alias("before"), F.substring(md, at + 1, F.lit(width)).alias("match"),
+        text.context_after(md, at, width, context).alias("after"))
+    offsets = text.occurrence_offsets(md, needle or "\0", per_doc, ignore_case=True)
+    each = found.select("job_id", "page", F.inline(F.transform(offsets, piece)))
     w = Window.partitionBy("job_id").orderBy("page", "at")
     first = each.withColumn("hit", F.row_number().over(w)).filter(F.col("hit") <= per_doc)
-    return first.select(
-        "job_id",
-        "hit",
-        "page",
-        text.context_before(F.col("markdown"), F.col("at"), context).alias("before"),
-        F.substring(F.col("markdown"), F.col("at") + 1, F.lit(width)).alias("match"),
-        text.context_after(F.col("markdown"), F.col("at"), width, context).alias("after"),
-    )
+    return first.select("job_id", "hit", "page", "before", "match", "after")
 
 
 def _meta(jobs: DataFrame) -> Column:
@@ -124,18 +121,19 @@ def word_snippets(pages: DataFrame, words: Sequence[str], per_doc: int = fv.SNIP
     body = F.lower(F.coalesce(F.col("markdown"), F.lit("")))
 
     def spot(i: int, word: str) -> Column:
-        tagged = lambda at: F.struct(F.lit(i).alias("word"), at.alias("at"), F.lit(len(word)).alias("size"))
+        piece = lambda at: text.snippet(F.col("markdown"), at, F.lit(len(word)))
+        tagged = lambda at: F.struct(F.lit(i).alias("word"), at.alias("at"), piece(at).alias("snippet"))
         return F.transform(text.occurrence_offsets(F.col("_b"), word, per_doc), tagged)
 
     spots = F.concat(*[spot(i, word) for i, word in enumerate(needles)])
     hits = (
         pages.withColumn("_b", body)
         .filter(_any([F.contains(F.col("_b"), F.lit(w)) for w in needles]))
-        .select("job_id", "page", "markdown", F.inline(F.slice(spots, 1, per_doc)))
+        .select("job_id", "page", F.inline(F.slice(spots, 1, per_doc)))
     )
     w = Window.partitionBy("job_id").orderBy("page", "word", "at")
     kept = hits.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_doc)
-    return kept.select("job_id", "n", "page", text.snippet(F.col("markdown"), F.col("at"), F.col("size")).alias("snippet"))
+    return kept.select("job_id", "n", "page", "snippet")
 
 
 def word_hits(pages: DataFrame, word: str, limit: int = fv.WORD_LIMIT) -> DataFrame:
@@ -146,18 +144,12 @@ def word_hits(pages: DataFrame, word: str, limit: int = fv.WORD_LIMIT) -> DataFr
 def read_window(pages: DataFrame, word: str, chars: int = fv.READ_CHARS) -> DataFrame:
     """Per document: the first page holding the word, and the text around it."""
     needle = word.lower()
-    found = pages.filter(F.contains(F.lower("markdown"), F.lit(needle)))
-    first = found.groupBy("job_id").agg(F.min_by(F.struct("page", "markdown"), "page").alias("_p"))
-    md = F.col("_p.markdown")
-    at = F.instr(F.lower(md), F.lit(needle)) - 1
-    start = F.greatest(F.lit(0), at - chars // 3)
-    return first.select(
-        "job_id",
-        F.col("_p.page").alias("page"),
-        start.alias("start"),
-        F.substring(md, start + 1, F.lit(chars)).alias("text"),
-        (start + chars < F.char_length(md)).alias("more"),
-    )
+    md = F.col("markdown")
+    found = pages.filter(F.contains(F.lower(md), F.lit(needle)))
+    start = F.greatest(F.lit(0), F.instr(F.lower(md), F.lit(needle)) - 1 - chars // 3)
+    cut = found.select("job_id", "page", start.alias("start"), F.substring(md, start + 1, F.lit(chars)).alias("text"), (start + chars < F.char_length(md)).alias("more"))
+    # the windows, not the pages, are compared and moved
+    return cut.groupBy("job_id").agg(F.min_by(F.struct("page", "start", "text", "more"), "page").alias("_w")).select("job_id", "_w.*")
 
 
 def read_page(pages: DataFrame, job_id, page: int, chars: int = fv.READ_CHARS) -> DataFrame:

@@ -41,7 +41,7 @@ def fast_pages(spark, folder):
 @query("validate_pages", with_(FINALS) + """
 select job_id, page, array_to_string(failures, '|') failures from stepped where len(failures) > 0""")
 def validate_pages(spark, folder):
-    joined = lib_drafts(spark, folder).join(lib_replies(spark, folder), ["job_id", "page"])
+    joined = lib_drafts(spark, folder).join(page_state.measured(lib_replies(spark, folder)), ["job_id", "page"])
     failed = page_state.checked(joined).filter(F.size("_failures") > 0)
     return failed.select("job_id", "page", JOIN("_failures").alias("failures"))
 
@@ -136,8 +136,8 @@ def rescue_round(spark, folder):
     long = F.char_length("_md") > 200
     second = again.withColumn("r_markdown", F.when(long, F.col("_md"))).withColumn(
         "r_error", F.when(~long, F.col("r_error"))).withColumn("r_no_text", F.lit(False)).drop("_md")
-    drafts = lib_drafts(spark, folder).join(second, ["job_id", "page"])
-    healed = pages.rescue(finals, page_state.apply_reply(drafts))
+    answers = page_state.answered(lib_drafts(spark, folder).join(second.select("job_id", "page"), ["job_id", "page"], "left_semi"), second)
+    healed = pages.rescue(finals, answers)
     return healed.select("job_id", "page", page_state.outcome().alias("outcome"), F.md5("markdown").alias("text_md5"))
 
 

@@ -161,8 +161,7 @@ def lib_drafts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lib_finals(spark: SparkSession, folder: str) -> DataFrame:
-    joined = lib_drafts(spark, folder).join(lib_replies(spark, folder), ["job_id", "page"], "left")
-    return page_state.apply_reply(joined)
+    return page_state.answered(lib_drafts(spark, folder), lib_replies(spark, folder))
 
 
 def register(spark: SparkSession, folder: str) -> list[str]:
