@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ _RUN = r"(?:[^$\n\\]++|\\.|\\)++"
 _FORMULA_JAVA = rf"\$\$[\s\S]*?\$\$|\${_RUN}\$|\$(?={_RUN}(?:\n|\z))[^\n]*\\\$"
 
 _INLINE_JAVA = rf"(?:^|[^\\$])\$({_RUN}(?=\$)|(?={_RUN}(?:\n|\z))[^\n]*\\)\$"
+#: the formula without the character before it
+_INLINE_SPAN = _INLINE_JAVA.replace(r"(?:^|[^\\$])", r"(?<![\\$])", 1)
 
 
 def count_formulas(md: Column) -> Column:
@@ -112,6 +116,43 @@ def callouts(md: Column) -> Column:
     )
 
 
+def callout_blocks(md: Column) -> Column:
+    """The callouts of a text with their bodies: kind, title and body (one quote mark less on
+    each line). A callout is a run of quoted lines whose first one opens it."""
+    def block(run: Column) -> Column:
+        kind, title = (F.regexp_extract(run, fv.CALLOUT_HEAD, k) for k in (1, 2))
+        body = F.regexp_replace(F.regexp_replace(run, r"\A[^\n]*\n?", ""), fv.QUOTE_MARK, "")
+        named = F.concat(F.upper(F.left(kind, F.lit(1))), F.lower(F.substr(kind, F.lit(2))))
+        return F.struct(F.lower(kind).alias("kind"), F.when(js_trim(title) != "", js_trim(title)).otherwise(named).alias("title"), body.alias("body"))
+
+    runs = F.regexp_extract_all(md, F.lit(fv.QUOTE_RUN), 0)
+    return F.transform(F.filter(runs, lambda r: r.rlike(fv.CALLOUT_HEAD)), block)
+
+
+def quote_depth(md: Column) -> Column:
+    """The most quote marks in front of a line."""
+    fronts = F.regexp_extract_all(md, F.lit(r"(?m)^(?: {0,3}>)++"), 0)
+    return F.coalesce(F.array_max(F.transform(fronts, lambda x: F.char_length(F.regexp_replace(x, " ", "")))), F.lit(0))
+
+
+def outside_formulas(md: Column, change: Callable[[Column], Column]) -> Column:
+    """The text with ``change`` applied to everything between its formulas; formulas, any
+    number of them, stay as they are. Each list is made once and met by position. (The two private
+    characters that stand for a display formula meanwhile must not be in the text.)"""
+    shown = F.regexp_extract_all(md, F.lit(fv.DISPLAY_FORMULA), 0)
+    rest = F.regexp_replace(md, fv.DISPLAY_FORMULA, fv.FORMULA_STASH)
+    inline = F.regexp_extract_all(rest, F.lit(_INLINE_SPAN), 0)
+    beside = lambda free, kept, how: F.array_join(F.zip_with(free, kept, lambda p, f: F.concat(how(p), F.coalesce(f, F.lit("")))), "")
+    changed = beside(F.split(rest, _INLINE_SPAN, -1), inline, change)
+    return beside(F.split(changed, fv.FORMULA_STASH, -1), shown, lambda p: p)
+
+
+def escape_html(c: Column) -> Column:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(raw), F.lit(safe))
+    return c
+
+
 def highlights(md: Column) -> Column:
     return F.regexp_extract_all(md, F.lit(fv.HIGHLIGHT), F.lit(1))
 

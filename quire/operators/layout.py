@@ -6,6 +6,8 @@ the Python helpers see Arrow batches of pages.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 from quire import fixed_values as fv
 from quire.functions.base import js_trim, line_count
 from quire.functions.markup import html_to_markdown, lines_to_markdown, print_chunks
-from quire.functions.text import count_formulas, count_options, visible_length
+from quire.functions.text import callout_blocks, count_formulas, count_options, quote_depth, visible_length
 
 MARKDOWN = T.StructType([T.StructField("markdown", T.StringType()), T.StructField("formula_lost", T.BooleanType())])
 
@@ -124,3 +126,20 @@ def require_page_count(found: DataFrame, expected: DataFrame) -> DataFrame:
 def chunked(documents: DataFrame, keys: list[str], target: int = fv.PRINT_CHUNK_BYTES) -> DataFrame:
     """Print chunks, one row each, numbered from 0."""
     return documents.select(*keys, F.posexplode(_chunker(target)(F.col("markdown"))).alias("chunk", "markdown"))
+
+
+def callouts(pages: DataFrame, keys: list[str], markdown: str = "markdown") -> DataFrame:
+    """The callouts of each text and those inside them: keys, path (places from the outermost
+    in, from 0), kind, title, body. Levels are as many as quote marks stand before one line
+    anywhere; each is one narrow step on the bodies of the one before."""
+    depth = pages.agg(F.max(quote_depth(F.col(markdown)))).first()[0] or 0
+    blocks = lambda c: F.posexplode(callout_blocks(c)).alias("_at", "_b")
+    level = pages.select(*keys, F.array().cast("array<int>").alias("_path"), F.col(markdown).alias("_text"))
+    levels = []
+    for _ in range(depth):
+        found = level.select(*keys, "_path", blocks(F.col("_text")))
+        levels.append(found.select(*keys, F.concat("_path", F.array("_at")).alias("path"), "_b.kind", "_b.title", "_b.body"))
+        level = levels[-1].select(*keys, F.col("path").alias("_path"), F.col("body").alias("_text"))
+    if not levels:
+        return level.select(*keys, F.col("_path").alias("path"), *(F.lit("").alias(c) for c in ("kind", "title", "body"))).filter(F.lit(False))
+    return reduce(DataFrame.unionByName, levels)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire import fixed_values as fv
 from quire.functions import page_state, text
 from quire.functions.base import line_count
-from quire.operators import pages
+from quire.operators import layout, pages
 from quire.plans.registry import query
 from quire.plans.views_sql import (
     DRAFTS, FINALS, FORMULAS, LINES, OPTIONS, PAGES, SQUASH, TRIM, VISIBLE, q, with_,
@@ -261,6 +261,51 @@ def note_marks(spark, folder):
         JOIN(F.transform(text.wikilinks(F.col("md")), link)).alias("links"))
 
 
+# two levels: the check cuts out the runs of quoted lines, and again those of the bodies
+_RUN = fv.QUOTE_RUN.replace("*+", "*")
+_OPEN = lambda x: f"list_filter(regexp_extract_all({x}, {q(_RUN)}), lambda r: regexp_matches(r, {q(fv.CALLOUT_HEAD)}))"
+_BODY = f"regexp_replace(regexp_replace(run, '^[^\n]*\n?', ''), {q(fv.QUOTE_MARK)}, '', 'g')"
+_PLAIN = lambda x: f"regexp_extract({x}, {q(fv.CALLOUT_HEAD)}, "
+
+
+@query("callout_bodies", f"""
+with n as (select conv_id, turn, '> [!' || role || ']+ About ' || conv_id || chr(10) || '> ' || replace(text, chr(10), chr(10) || '> ') || chr(10)
+  || '> > [!Tip]' || chr(10) || '> > turn ' || turn || chr(10) || '>> [!no] not first' || chr(10) || '> tail' || chr(10) || 'plain' || chr(10) || '> quoted' || chr(10) || '> [!no] inside' || chr(10) || chr(10)
+  || '>[!end-{{x}}]'.replace('{{x}}', cast(turn % 3 as varchar)) md from conversations),
+a as (select conv_id, turn, unnest(runs) run, unnest(range(len(runs))) i from (select conv_id, turn, {_OPEN('md')} runs from n)),
+b as (select conv_id, turn, cast(i as varchar) path, run, {_BODY} body from a),
+c as (select conv_id, turn, path || '.' || j path, run, {_BODY} body from (
+  select conv_id, turn, path, unnest(runs) run, unnest(range(len(runs))) j from (select conv_id, turn, path, {_OPEN('body')} runs from b)))
+select conv_id, turn, path, lower({_PLAIN('run')}1)) kind,
+  case when {TRIM(_PLAIN('run') + '2)')} <> '' then {TRIM(_PLAIN('run') + '2)')} else upper(left({_PLAIN('run')}1), 1)) || lower(substr({_PLAIN('run')}1), 2)) end title, md5(body) body_md5
+from (select * from b union all select * from c)""".replace("'>[!end-{x}]'.replace('{x}', cast(turn % 3 as varchar))", "'>[!end-' || turn % 3 || ']'"))
+def callout_bodies(spark, folder):
+    c = views.table(spark, folder, "conversations")
+    k, t = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    md = F.concat(
+        F.lit("> [!"), F.col("role"), F.lit("]+ About "), k, F.lit("\n> "), F.replace("text", F.lit("\n"), F.lit("\n> ")), F.lit("\n> > [!Tip]\n> > turn "), t,
+        F.lit("\n>> [!no] not first\n> tail\nplain\n> quoted\n> [!no] inside\n\n>[!end-"), (F.col("turn") % 3).cast("string"), F.lit("]"))
+    found = layout.callouts(c.select("conv_id", "turn", md.alias("markdown")), ["conv_id", "turn"])
+    path = F.array_join(F.transform("path", lambda x: x.cast("string")), ".")
+    return found.select("conv_id", "turn", path.alias("path"), "kind", "title", F.md5("body").alias("body_md5"))
+
+
+@query("escaped_around_formulas", f"""
+with d as (select doc_id, '<b>' || replace(text, ' the ', ' <$a<b$ & $$c<' || doc_id || '$$ "the" ') md from documents),
+r as (select doc_id, regexp_extract_all(md, {q(fv.DISPLAY_FORMULA)}) shown, regexp_replace(md, {q(fv.DISPLAY_FORMULA)}, chr(57344) || chr(57345), 'g') rest from d),
+i as (select doc_id, shown, rest, list_transform(regexp_extract_all(rest, {q(fv.INLINE_FORMULA)}, 1), lambda x: '$' || x || '$') kept from r),
+e as (select doc_id, shown, kept, replace(replace(replace(replace(rest, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') t from i),
+s as (select doc_id, shown, list_reduce(list_prepend(t, kept), lambda acc, f: replace(acc, replace(replace(replace(replace(f, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), f)) t from e),
+p as (select doc_id, shown, string_split(t, chr(57344) || chr(57345)) parts from s)
+select doc_id, md5(array_to_string(list_transform(range(1, len(parts) + 1), lambda n: parts[n] || coalesce(shown[n], '')), '')) html_md5 from p""")
+def escaped_around_formulas(spark, folder):
+    """The documents with formulas put in, escaped for HTML but for these."""
+    d = views.table(spark, folder, "documents")
+    put = F.concat(F.lit(' <$a<b$ & $$c<'), F.col("doc_id").cast("string"), F.lit('$$ "the" '))
+    md = F.concat(F.lit("<b>"), F.replace("text", F.lit(" the "), put))
+    return d.select("doc_id", F.md5(text.outside_formulas(md, text.escape_html)).alias("html_md5"))
+
+
 # messages of a service: the reasons of pages, and what it says on the way, with numbers and
 # words of the documents in it; the last ones are none of its messages
 SAID = [

@@ -148,3 +148,29 @@ def test_formulas_of_very_long_lines(spark):
     df = spark.createDataFrame([(f"a ${long}$ b",), (f"a ${long}",), ("a $x$ and $y\\$z$",)], "md string")
     got = [[x["latex"] for x in r[0]] for r in df.select(text.formulas(F.col("md"))).collect()]
     assert got == [[long], [], ["x", "y\\$z"]]
+
+
+def test_callouts_with_bodies_and_nesting(spark):
+    from quire.operators import layout
+
+    md = "\n".join([
+        "intro", "> [!Note] Title", "> body", "> > [!tip]- ", "> > inner", "> >> [!x-1] deep", "> last", "", "> plain", "> [!no] not first", "", "   > [!WARN]", "> [!no] body", "", "    > [!code]", "> [!end]"])
+    rows = spark.createDataFrame([(1, md), (2, None), (3, ""), (4, "> quote"), (5, "> [!a]\n" + "> line\n" * 20_000)], "id int, markdown string")
+    got = {(r["id"], tuple(r["path"])): (r["kind"], r["title"], r["body"]) for r in layout.callouts(rows, ["id"]).collect()}
+    long = got.pop((5, (0,)))
+    assert long[:2] == ("a", "A") and long[2].count("line") == 20_000
+    assert got == {
+        (1, (0,)): ("note", "Title", "body\n> [!tip]- \n> inner\n>> [!x-1] deep\nlast"),
+        (1, (0, 0)): ("tip", "Tip", "inner\n> [!x-1] deep"),
+        (1, (0, 0, 0)): ("x-1", "deep", ""),
+        (1, (1,)): ("warn", "Warn", "[!no] body"),
+        (1, (2,)): ("end", "End", ""),
+    }
+    assert layout.callouts(rows.filter("id = 3"), ["id"]).count() == 0
+
+
+def test_formulas_are_kept_and_the_rest_is_changed(spark):
+    rows = [("<$a<b$>", "&lt;$a<b$&gt;"), ("$$x\n<$$ & $y$ $z<$", "$$x\n<$$ &amp; $y$ $z<$"), (r"\$5 < $6 <", r"\$5 &lt; $6 &lt;"), ("", ""), ("$$<$$" * 300 + "<", "$$<$$" * 300 + "&lt;"), (None, None)]
+    df = spark.createDataFrame([(a, b) for a, b in rows], "md string, want string")
+    for r in df.select("want", text.outside_formulas(F.col("md"), text.escape_html).alias("got")).collect():
+        assert r["got"] == r["want"]
