@@ -382,10 +382,13 @@ def training_rows(page: str, seed: int, variants: int = 3) -> list[list[tuple[Bl
 
 
 def fit(pages: DataFrame, page: str = "html", sample_pages: int = 200, longest: int = 40_000) -> Chain:
-    """A chain from ``sample_pages`` pages of at most ``longest`` characters, those with
-    the smallest hashes. Only this bounded sample comes to the driver."""
+    """A chain from ``sample_pages`` different pages of at most ``longest`` characters, those
+    with the smallest hashes. The hashes are found first, then only their pages are fetched; this
+    bounded sample comes to the driver."""
     chosen = pages.select(col(page).cast("string").alias("html")).filter((F.length("html") > 0) & (F.length("html") <= longest))
-    chosen = chosen.filter(F.col("html").rlike("(?i)<(article|main)\\b")).orderBy(F.xxhash64("html"), "html").limit(sample_pages)
+    chosen = chosen.filter(F.col("html").rlike("(?i)<(article|main)\\b")).withColumn("at", F.xxhash64("html"))
+    least = [r[0] for r in chosen.select("at").distinct().orderBy("at").limit(sample_pages).collect()]
+    chosen = chosen.filter(F.col("at") <= max(least, default=0)).groupBy("at").agg(F.min("html").alias("html")).orderBy("at")
     sequences, longest_chain = [], 80
     for number, row in enumerate(chosen.collect()):  # sample_pages rows of bounded size
         for rows in training_rows(row["html"], number):
