@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,37 +67,54 @@ def walk_in_order(
             return parts(starts).applyInPandas(emit, f"{key} {kind}, {output}")
 
 
-def lane_step(state: tuple, ok: bool, now_ms: int, top: int, floor: int) -> tuple:
-    """(limit, wins, last cut) after one attempt: one more lane every few wins,
-    a cut on failure unless the last one is too recent."""
-    limit, wins, last_cut = state
-    if ok:
-        wins = min(wins + 1, fv.LANE_WINS)  # more are never asked for
-        return (limit + 1, 0, last_cut) if wins >= fv.LANE_WINS and limit < top else (limit, wins, last_cut)
-    if now_ms - last_cut < fv.LANE_COOLDOWN_MS:
-        return limit, 0, last_cut
-    return max(floor, int(limit * fv.LANE_CUT)), 0, now_ms
-
-
 def lane_walk(state: tuple, rows: pd.DataFrame, top: int, low: int) -> tuple[tuple, pd.DataFrame]:
-    changes = []
-    for good, at, event in zip(rows["good"], rows["at_ms"], rows["event_id"]):
-        after = lane_step(state, bool(good), int(at), top, low)
-        if after[0] != state[0]:
-            changes.append((event, at, after[0]))
-        state = after
-    return state, pd.DataFrame(changes, columns=["event_id", "at_ms", "lane_limit"])
+    """Limits from the runs of successes between failures. A run of n adds n / LANE_WINS whole
+    steps, as far as ``top``; a failure ends the run and takes a share of the limit unless one
+    did so within the cool-down. So only failures are gone through one by one, and the rows at which a
+    run adds a step follow from their number in it."""
+    limit, carried, last_cut = state
+    good, at, event = rows["good"].to_numpy(bool), rows["at_ms"].to_numpy(np.int64), rows["event_id"].to_numpy()
+    failures = np.flatnonzero(~good)
+    lengths = np.diff(np.concatenate([[-1], failures, [len(good)]])) - 1
+    lengths[0] += carried
+    base, after = np.empty(len(lengths), np.int64), np.full(len(good), -1, np.int64)
+    for run, n in enumerate(lengths.tolist()):
+        base[run] = limit
+        limit = min(top, limit + n // fv.LANE_WINS)
+        if run < len(failures):
+            here = failures[run]
+            if at[here] - last_cut >= fv.LANE_COOLDOWN_MS:
+                reduced, last_cut = max(low, int(limit * fv.LANE_CUT)), int(at[here])
+                if reduced != limit:
+                    after[here] = limit = reduced
+    run = np.cumsum(~good)
+    first = np.concatenate([[-carried], failures + 1])[run]  # where the run would begin without what was carried
+    place = np.arange(len(good)) - first + 1
+    reached = base[run] + place // fv.LANE_WINS
+    steps = good & (place % fv.LANE_WINS == 0) & (reached <= top)
+    after[steps] = reached[steps]
+    told = np.flatnonzero(after >= 0)
+    # a run that is not over: at the top nothing more is asked for
+    left = int(lengths[-1] % fv.LANE_WINS) if limit < top else 0
+    return (int(limit), left, last_cut), pd.DataFrame({"event_id": event[told], "at_ms": at[told], "lane_limit": after[told].astype(np.int32)})
 
 
 def progress_walk(state: tuple, rows: pd.DataFrame, gap_ms: int = fv.PROGRESS_GAP_MS) -> tuple[tuple, pd.DataFrame]:
-    written_at, page_at = state
-    kept = []
-    for at, page, total in zip(rows["at_ms"], rows["page"], rows["total"]):
-        edge = page == 0 or page >= total or page < page_at or page - page_at > 1
-        if edge or at - written_at >= gap_ms:
-            written_at, page_at = int(at), int(page)
-            kept.append((at, page, total))
-    return (written_at, page_at), pd.DataFrame(kept, columns=["at_ms", "page", "total"])
+    """From one written report to the next: the first that is an end by itself, or whose page does not
+    follow on that written, and else the first after the gap, which is looked up."""
+    at, page, total = (rows[c].to_numpy(np.int64) for c in ("at_ms", "page", "total"))
+    ends = (page == 0) | (page >= total)
+    (written_at, page_at), kept, start = state, [], 0
+    while start < len(at):
+        late = max(start, int(np.searchsorted(at, written_at + gap_ms)))
+        moved = page[start:late] - page_at
+        found = np.flatnonzero(ends[start:late] | (moved < 0) | (moved > 1))
+        here = start + int(found[0]) if len(found) else late
+        if here == len(at):
+            break
+        kept.append(here)
+        written_at, page_at, start = int(at[here]), int(page[here]), here + 1
+    return (written_at, page_at), pd.DataFrame({"at_ms": at[kept], "page": page[kept], "total": total[kept]})
 
 
 def prepared(attempts: DataFrame, slow_ms: int) -> DataFrame:

@@ -249,9 +249,52 @@ def test_a_machine_that_never_forgets_is_still_exact(spark, seed):
     assert {r["i"]: r["s"] for r in out.collect()} == want
 
 
-def test_lane_floor_never_exceeds_the_top():
-    s = (1, 0, 0)
-    assert chains.lane_step(s, False, 10**6, 1, 1)[0] == 1
+def lanes_of(rows):
+    import pandas as pd
+
+    return pd.DataFrame([(ok and ms <= 45000, int(t.timestamp() * 1000), i) for _, t, i, ok, ms in rows], columns=["good", "at_ms", "event_id"])
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_lane_walk_in_any_pieces_equals_the_plain_loop(seed):
+    rng = random.Random(seed)
+    rows = [("a", T0 + timedelta(milliseconds=900 * i), i, rng.random() < 0.9, 0) for i in range(rng.randrange(1, 300))]
+    top, state, got, start = rng.choice([1, 3, 20]), None, [], 0
+    state = (top, 0, 0)
+    while start < len(rows):
+        size = rng.randrange(1, 60)
+        state, out = chains.lane_walk(state, lanes_of(rows[start : start + size]), top, max(1, min(2, top)))
+        got += list(zip(out["event_id"], out["lane_limit"]))
+        start += size
+        assert max(1, min(2, top)) <= state[0] <= top
+    if top > 1:
+        assert got == lane_loop(rows, top)
+    else:
+        assert got == []
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_progress_walk_in_any_pieces_equals_a_plain_loop(seed):
+    import pandas as pd
+
+    rng = random.Random(seed)
+    page, rows, at = 0, [], 0
+    for _ in range(rng.randrange(1, 200)):
+        at += rng.choice([0, 10, 120, 500])
+        page = rng.choice([page, page + 1, page + 1, page + 4, max(0, page - 2), 0, 50])
+        rows.append((at, page, 50))
+    want, last = [], (0, -1)
+    for at, page, total in rows:
+        if page in (0, total) or page > total or page < last[1] or page > last[1] + 1 or at >= last[0] + 300:
+            want.append((at, page))
+            last = (at, page)
+    state, got, start = (0, -1), [], 0
+    while start < len(rows):
+        size = rng.randrange(1, 40)
+        state, out = chains.progress_walk(state, pd.DataFrame(rows[start : start + size], columns=["at_ms", "page", "total"]))
+        got += list(zip(out["at_ms"], out["page"]))
+        start += size
+    assert got == want
 
 
 def test_progress_throttle(spark, tmp_path):
@@ -344,11 +387,3 @@ def test_old_files_are_passed_over_only_where_asked(tmp_path):
 def test_most_free_lane(spark):
     lanes = spark.createDataFrame([("b", 5, 1), ("a", 6, 2), ("c", 3, 3)], "lane string, lane_limit int, in_flight int")
     assert tuple(state.most_free(lanes).first()) == ("a", 4)
-
-
-def test_lane_step_is_bounded():
-    rng = random.Random(0)
-    s = (20, 0, 0)
-    for i in range(2000):
-        s = chains.lane_step(s, rng.random() < 0.5, i * 1000, 20, 2)
-        assert 2 <= s[0] <= 20
