@@ -32,6 +32,8 @@ from quire.session import written
 
 #: so many buckets' starting places (24 bytes each) are sent to every executor at most
 SENT_BUCKETS = 500_000
+#: tasks of pass two at most; beyond it each takes several buckets, one after the other
+MOST_TASKS = 200_000
 OUT = ("size", "bucket", "place", "shard", "slot")
 
 
@@ -67,7 +69,9 @@ def shuffle_shards(
         mixed = group.take(pa.array(order)).drop_columns(["_where"])
         return mixed.append_column("place", pa.array(np.arange(group.num_rows)))
 
-    filed = written(scattered.groupBy("bucket").applyInArrow(fisher_yates, schema), "shard-buckets")
+    # a task for about each bucket, whatever the session's number of shuffle partitions
+    dealt = scattered.repartition(min(buckets, MOST_TASKS), "bucket")
+    filed = written(dealt.groupBy("bucket").applyInArrow(fisher_yates, schema), "shard-buckets")
     counts = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
     # one row per bucket, so this single-task window is over bytes / bucket_bytes rows
     ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
