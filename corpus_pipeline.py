@@ -6,7 +6,7 @@ returns a DataFrame, which ``run`` writes as Parquet in the shared folder and re
 again for the next stage. All stages but the last return the columns of documents.
 
 Defined cases, for every stage: null and empty texts score like a text nothing is known
-of, and go with the rules (fewer than 50 words); repeated rows pass or go together; an
+of, and go there or with the rules (fewer than 50 words); repeated rows pass or go together; an
 empty table stays empty; extra columns are passed on, also those that are named like an
 operator's own outputs.
 """
@@ -22,8 +22,6 @@ from quire.llm.arrow_ops import col
 from quire.session import written
 from quire.sources.tables import table
 
-#: a document whose score is below this is rejected; a text nothing is known of is above it
-LEAST_SCORE = 0.3
 VERDICT = "_stage_verdict"
 
 
@@ -36,9 +34,9 @@ def _decided(docs: DataFrame, judge, kept) -> DataFrame:
 
 
 def classify(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject (``predicted``: a score of 0.7 or more)."""
     model = compression_score.fit(docs, table(spark, folder, "labels"))
-    return _decided(docs, lambda d: compression_score.score(d, model), F.col("score") >= LEAST_SCORE)
+    return _decided(docs, lambda d: compression_score.score(d, model), F.col("predicted") == 1)
 
 
 def rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
