@@ -69,8 +69,8 @@ def shuffle_shards(
         mixed = group.take(pa.array(order)).drop_columns(["_where"])
         return mixed.append_column("place", pa.array(np.arange(group.num_rows)))
 
-    # a task for about each bucket, whatever the session's number of shuffle partitions
-    dealt = scattered.repartition(min(buckets, MOST_TASKS), "bucket")
+    # more tasks than buckets, so that few hash to one task, whatever the session's number of shuffle partitions
+    dealt = scattered.repartition(min(4 * buckets, MOST_TASKS), "bucket")
     filed = written(dealt.groupBy("bucket").applyInArrow(fisher_yates, schema), "shard-buckets")
     counts = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
     # one row per bucket, so this single-task window is over bytes / bucket_bytes rows
