@@ -1,18 +1,20 @@
 """Exact state machines over long ordered runs, in parallel.
 
-A state machine walks its key's rows in order, so a key with a third of all rows
-would be one long task. Here the rows are cut into ranges and every range is
-walked at once from an assumed start. Where the end of the range before differs
+A state machine walks its key's rows in order. The rows are cut into ranges of (key,
+order), so most keys lie whole in one range: these are dealt out by key, sorted, and
+walked once, many keys to a task, batch by batch. A key with a third of all rows would be
+one long task; such a key is torn by the cut, and so is one at the edge of a range. Of the
+torn keys, two a range at most, every range is walked at once from an assumed start. Where the end of the range before differs
 from what was assumed, the range is walked again from the true start, until
 nothing changes. Machines that forget their past (limits that hit a floor or a
 ceiling, counters that reset) settle after a pass or two; the result is that of
 the plain walk in any case, as the first unsettled range of a key is final after
-each pass. What is gathered per step is one range of one key.
+each pass. What is gathered per step is one range of one torn key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -32,9 +34,39 @@ def walk_in_order(
     """Rows put out by ``walk(state, rows) -> (state, output rows)``, called per key
     with its rows in ``order``. ``start`` names the state's (whole-number) fields
     and their first values; ``output`` is the schema of the rows after the key."""
-    fields = list(start)
-    rows = cut(df, [F.col(c) for c in order], [key], ranges)
     kind = dict(df.dtypes)[key]
+    rows = cut(df.filter(F.col(key).isNotNull()), [F.col(c) for c in order], [key], ranges)
+    # a key in several ranges is the first or the last one of each of them
+    edges = rows.groupBy(RANGE).agg(F.array_distinct(F.array(F.min(key), F.max(key))).alias("_keys")).select(F.explode("_keys").alias(key))
+    torn = written(edges.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(key), "torn")
+    whole = rows.join(F.broadcast(torn), key, "left_anti").repartition(key).sortWithinPartitions(key, *(F.col(c).asc_nulls_last() for c in order))
+
+    def walk_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = state = None
+        for pdf in batches:
+            keys, found = pdf[key].to_numpy(), []
+            places = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for a, b in zip(places, places[1:]):
+                if b > a:
+                    if held is None or keys[a] != held:  # else the batch before ended inside this key
+                        held, state = keys[a], tuple(start.values())
+                    state, out = walk(state, pdf.iloc[a:b])
+                    if len(out):
+                        out.insert(0, key, held)
+                        found.append(out)
+            if found:
+                yield pd.concat(found)
+
+    done = whole.mapInPandas(walk_keys, f"{key} {kind}, {output}")
+    if torn.isEmpty():
+        return done
+    pieces = written(rows.join(F.broadcast(torn), key, "left_semi"), "pieces")
+    return done.unionByName(_walk_pieces(pieces, key, order, start, walk, output))
+
+
+def _walk_pieces(rows: DataFrame, key: str, order: Sequence[str], start: dict[str, int], walk: Walk, output: str) -> DataFrame:
+    """``walk_in_order`` for keys in several ranges."""
+    fields, kind = list(start), dict(rows.dtypes)[key]
     state_schema = f"{key} {kind}, {RANGE} int, " + ", ".join(f"{f} long" for f in fields)
 
     def parts(starts: DataFrame):
