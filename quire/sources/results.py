@@ -82,8 +82,9 @@ def _rewrite(spark: SparkSession, path: str, ids: DataFrame, buckets: int, merge
         if not touched:
             return None
         rows = merge(table.read([p for p in parts if p.bucket in touched], STORED))
-        folder = table.write(rows.withColumn("bucket", _bucket(count)).repartition(len(touched), "bucket"), "bucket")
-        live = {r[0] for r in rows.select(_bucket(count).alias("b")).distinct().collect()}
+        # a bucket that is more than a task should write is dealt over several tasks and files
+        folder = table.write(rows.withColumn("bucket", _bucket(count)).hint("rebalance", "bucket"), "bucket")
+        live = {r[0] for r in spark.read.schema("bucket int").parquet(f"{table.path}/{folder}").distinct().collect()}
         kept = [p for p in parts if p.bucket not in touched]
         return [*kept, *(Part(f"{folder}/bucket={b}", at, b) for b in sorted(live))], {"buckets": count}
 
@@ -93,8 +94,7 @@ def _rewrite(spark: SparkSession, path: str, ids: DataFrame, buckets: int, merge
 def write_results(documents: DataFrame, path: str, buckets: int = 64) -> None:
     """Saves documents (job_id and columns of a stored result): each takes the place of what
     was stored of it, all other documents stay. Of several rows of one document the last
-    counts. ``buckets`` holds for a new table; a bucket should be about as large as a task
-    can write."""
+    counts. ``buckets`` holds for a new table; a change writes the buckets anew that it falls in."""
     table = Versions(documents.sparkSession, path)
     fresh = table.read([Part(table.write(_stored(documents)), 0)], f"job_id string, _r struct<{RESULT}>, _row long")
     last = fresh.groupBy("job_id").agg(F.max_by("_r", "_row").alias("_r")).select("job_id", "_r.*")
