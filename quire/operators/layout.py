@@ -8,14 +8,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire import fixed_values as fv
 from quire.functions.base import js_trim, line_count
-from quire.functions.markup import html_to_markdown, lines_to_markdown, print_chunks
+from quire.functions.markup import html_to_markdown, lines_to_markdown, print_chunks, strip
 from quire.functions.text import callout_blocks, count_formulas, count_options, quote_depth, visible_length
 
 MARKDOWN = T.StructType([T.StructField("markdown", T.StringType()), T.StructField("formula_lost", T.BooleanType())])
@@ -36,10 +39,26 @@ def _blocks_markdown(html: pd.Series, display: pd.Series) -> pd.Series:
     return pd.Series([page(b, f) for b, f in zip(html, display)])
 
 
-@F.pandas_udf(T.StringType())
-def _lines_markdown(words: pd.Series, x: pd.Series, y: pd.Series, width: pd.Series, size: pd.Series) -> pd.Series:
-    pages = zip(words, x, y, width, size)
-    return pd.Series([lines_to_markdown(*(column.tolist() for column in page)) for page in pages])
+LAID_OUT = T.StructType([T.StructField("markdown", T.StringType()), T.StructField("raw", T.IntegerType())])
+
+
+@F.arrow_udf(LAID_OUT)
+def _lines_markdown(items: pa.Array) -> pa.Array:
+    """Markdown of each page's runs and the length of their text. The runs of a batch lie in flat columns; a page is a stretch of these."""
+    runs, page = items.flatten(), pc.list_parent_indices(items)
+    text = pc.struct_field(runs, "text")
+    kept = pc.fill_null(pc.not_equal(pc.utf8_trim(text, characters=fv.WS_CHARS), ""), False)
+    text, page = text.filter(kept), page.filter(kept).to_numpy()
+    part = lambda c: pc.struct_field(runs, c).filter(kept).cast(pa.float64())
+    x, y, width = (part(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "width"))
+    size = np.maximum(1.0, pc.fill_null(part("size"), 1.0).to_numpy(zero_copy_only=False))
+    bounds = np.searchsorted(page, np.arange(len(items) + 1)).tolist()
+    markdown, raw = [], []
+    for a, b in zip(bounds, bounds[1:]):
+        words = text.slice(a, b - a).to_numpy(zero_copy_only=False).tolist()
+        markdown.append(lines_to_markdown(words, x[a:b], y[a:b], width[a:b], size[a:b]))
+        raw.append(len(strip("".join(words))))
+    return pa.StructArray.from_arrays([pa.array(markdown, pa.string()), pa.array(raw, pa.int32())], names=["markdown", "raw"])
 
 
 def _chunker(target: int):
@@ -99,17 +118,8 @@ def block_pages(pages: DataFrame, keys: list[str]) -> DataFrame:
 
 def text_layer_pages(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Pages from a text layer. ``items``: array of (text, x, y, width, size)."""
-    runs = pages.select(*keys, F.filter("items", lambda i: js_trim(i["text"]) != "").alias("_items"))
-    part = lambda c: F.transform("_items", lambda i: i[c].cast("double"))
-    flat = runs.select(
-        *keys,
-        F.transform("_items", lambda i: i["text"]).alias("_words"),
-        *[part(c).alias(f"_{c}") for c in ("x", "y", "width")],
-        F.transform(part("size"), lambda v: F.greatest(F.lit(1.0), v)).alias("_size"),
-    )
-    raw = F.array_join("_words", "")
-    rendered = flat.withColumn("markdown", _lines_markdown("_words", "_x", "_y", "_width", "_size"))
-    md, thin = F.col("markdown"), F.char_length(js_trim(raw)) < fv.THIN_TEXT
+    rendered = pages.select(*keys, _lines_markdown(F.col("items")).alias("_m")).select(*keys, "_m.markdown", "_m.raw")
+    md, thin = F.col("markdown"), F.col("raw") < fv.THIN_TEXT
     return rendered.select(
         *keys, "markdown", *_metrics(md), F.when(md != "", "text").otherwise("empty").alias("method"),
         F.when(thin, "review").otherwise("good").alias("status"),
