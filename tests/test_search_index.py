@@ -1,6 +1,7 @@
 """The kept search index against a scan of the texts."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -82,3 +83,39 @@ def test_empty_library(spark, tmp_path):
     search_index.sync(*none, path)
     assert found(spark, path, "ab") == {}
     assert search.hit_counts(none[1], "ab").count() == 0
+
+
+def test_a_row_of_postings_for_a_gram_and_block(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = [(i, p, "the same words on every page") for i in range(50) for p in (1, 2)]
+    search_index.sync(
+        spark.createDataFrame([(i, "1") for i in range(50)], "id long, updated_at string"),
+        spark.createDataFrame(rows, "job_id long, page int, markdown string"), path)
+    parts = [p for p in Versions(spark, path).latest()[1] if 0 <= p.bucket < search_index.BUCKETS]
+    # a row of each page would be 100 for each gram; there is at most one block a task of the scan
+    written = Versions(spark, path).read(parts, search_index.POSTINGS).groupBy("gram").count().agg({"count": "max"}).first()[0]
+    assert written <= 8
+    # what moves to the join are numbers: the text is counted where it is read
+    lines = search_index.hit_counts(spark, path, "same")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joined = next(i for i, line in enumerate(lines) if "Join" in line)
+    assert "Project [" in lines[joined + 1] and not re.search(r"[\[ ]markdown#", lines[joined + 1])
+
+
+def test_grams_of_stretches(monkeypatch):
+    pa = pytest.importorskip("pyarrow")
+    rng = random.Random(5)
+    wide = [chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(2000)] + [chr(c) for c in range(0x20000, 0x2A6D0)]
+    values = ["", None, "a", "Ab", "aB\n", "\U0001f642É", "".join(wide)] + ["".join(rng.choice(PARTS) for _ in range(rng.randrange(30))) for _ in range(300)]
+    values += ["".join(rng.sample(wide, 20000)) for _ in range(3)]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for most in (4_000_000, 200):
+        monkeypatch.setattr(search_index, "BLOCK_BYTES", most)
+        found = [set() for _ in values]
+        for first, end, grams, ends, places in search_index._grams(pa.array(values, pa.string())):
+            for i, g in enumerate(grams):
+                for p in places[ends[i] : ends[i + 1]]:
+                    assert g not in found[first + p]
+                    found[first + p].add(g)
+        for value, grams in zip(values, found, strict=True):
+            t = (value or "").translate(lower) + "\0\0"
+            assert grams == {t[i : i + 3] for i in range(len(t) - 2)}
