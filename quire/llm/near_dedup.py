@@ -14,7 +14,9 @@
    those whose estimate reaches the threshold are taken as linked for the time
    being. So a list with n close copies costs n pairs, not n^2.
 5. Lists with classes that are not yet taken as linked are joined exactly: each pair in
-   the first prefix value it shares, of fitting sizes, with enough matches.
+   the first prefix value it shares, of fitting sizes, with enough matches. Classes of crowded
+   lists are joined on their full sets instead, in the rarest shingles of both: a class that
+   has too many shingles of its own for any link meets nobody, however many are nearly like it.
 6. All candidates are confirmed on the full sets, read once from the texts of the
    classes concerned. Confirmed links make the components.
 7. Where classes taken as linked turn out to be in several components, their lists are
@@ -43,6 +45,8 @@ from pyspark.sql import functions as F
 from quire.llm.arrow_ops import add_columns, col, keeping, lower_ascii
 from quire.session import written
 
+#: lists of more classes are crowded
+CROWD = 100
 OUT = ("n_shingles", "component_id", "kept")
 _SEED = 0x9E3779B97F4A7C15
 
@@ -235,20 +239,20 @@ def _star_pairs(starts: DataFrame, first, percent: int, matches: int) -> DataFra
     return seen.select("a", "b", _agree(F.col("_bytes_a"), F.col("_bytes_b")).alias("_n")).filter(F.col("_n") >= matches)
 
 
-def _cross_pairs(starts: DataFrame, percent: int, matches: int, within: str | None = None) -> DataFrame:
+def _cross_pairs(starts: DataFrame, percent: int, matches: int, within: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(a, b): classes of different components (and, if asked, equal ``within``) that meet
-    in a list, each pair in the first list it meets in, with enough agreeing coordinates.
-    ``starts`` has _comp."""
+    in a list that is not crowded, each pair in the first list it meets in, with enough agreeing
+    coordinates; and the classes (_class) of the crowded lists. ``starts`` has _comp."""
     kept = ["_class", "_comp", "_size", "_bytes", *([within] if within else [])]
     # sets of fitting sizes meet under the greater of their bands: each is posted under its own and the next one
     posted = starts.select(
         "_class", "_comp", _band(percent).alias("_band"), F.explode("_prefix").alias("_value"),
     ).select("*", F.explode(F.array(F.col("_band"), F.col("_band") + 1)).alias("_at"))
-    ends = (F.min("_comp").alias("_low"), F.max("_comp").alias("_high"), F.max("_band").alias("_top"))
-    lists = posted.groupBy("_value", "_at").agg(*ends).filter("_low != _high and _top = _at").select("_value", "_at")
-    numbers = written(posted.join(lists, ["_value", "_at"]).select("_class", "_band", "_value", "_at"), "dedup-lists")
+    ends = (F.min("_comp").alias("_low"), F.max("_comp").alias("_high"), F.max("_band").alias("_top"), (F.count(F.lit(1)) > CROWD).alias("_crowded"))
+    lists = posted.groupBy("_value", "_at").agg(*ends).filter("_low != _high and _top = _at").select("_value", "_at", "_crowded")
+    numbers = written(posted.join(lists, ["_value", "_at"]).select("_class", "_band", "_value", "_at", "_crowded"), "dedup-lists")
     carried = starts.select(*kept, F.transform("_prefix", _short).alias("_order"))
-    live = written(numbers.join(carried, "_class"), "dedup-rest")
+    live = written(numbers.filter(~F.col("_crowded")).drop("_crowded").join(carried, "_class"), "dedup-rest")
     met = (
         (F.col("_value_a") == F.col("_value_b")) & (F.col("_at_a") == F.col("_at_b")) & (F.col("_at_a") == F.greatest("_band_a", "_band_b")) & (F.col("a") < F.col("b")) & (F.col("_comp_a") != F.col("_comp_b")) & _fitting("_size_a", "_size_b", percent)
         & (F.get(F.array_intersect("_order_a", "_order_b"), F.lit(0)) == _short(F.col("_value_a")))
@@ -256,7 +260,36 @@ def _cross_pairs(starts: DataFrame, percent: int, matches: int, within: str | No
     )
     if within:
         met = met & (F.col(f"{within}_a") == F.col(f"{within}_b"))
-    return _side(live, "a").join(_side(live, "b"), met).select("a", "b")
+    return _side(live, "a").join(_side(live, "b"), met).select("a", "b"), numbers.filter("_crowded").select("_class").distinct()
+
+
+def _rare_pairs(classes: DataFrame, sets: DataFrame, percent: int, within: str | None = None) -> DataFrame:
+    """(a, b): classes of different components (and, if asked, equal ``within``) that share one of the rarest shingles
+    of both. Sets with the similarity have ``percent`` hundredths of the greater one in common, so they meet in
+    the first ``size - that + 1`` of each; from the first shingle they share, both must have enough left. ``classes``
+    has _comp and _size."""
+    kept = ["_class", "_comp", "_size", *([within] if within else [])]
+    each = written(classes.select(*kept).join(sets, "_class").select(*kept, F.explode("_set").alias("_value")), "dedup-shingles")
+    shared = each.groupBy("_value").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    # what no other class has counts as the rarest: it takes up places and is not posted
+    found = each.join(shared, "_value").groupBy(*kept).agg(F.array_sort(F.collect_list(F.struct("_n", "_value"))).alias("_shared"))
+    found = found.withColumn("_own", F.col("_size") - F.size("_shared"))
+    places = F.col("_size") - F.ceil(F.col("_size") * percent / 100) + 1 - F.col("_own")
+    posted = found.filter(places > 0).select(*kept, "_own", F.posexplode(F.slice("_shared", F.lit(1), places.cast("int"))).alias("_place", "_one"))
+    left = F.col("_size") - F.col("_own") - F.col("_place")
+    posted = written(posted.select(*kept, F.col("_one._value").alias("_value"), left.alias("_left")), "dedup-shared")
+    by = ["_value", *([within] if within else [])]
+    lists = posted.groupBy(*by).agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high"), F.min("_size").alias("_least"))
+    # a size above what is left for leaves no partner in the list
+    live = posted.join(lists.filter("_low != _high"), by).filter(F.col("_left") * (100 + percent) >= (F.col("_size") + F.col("_least")) * percent)
+    live = written(live.select(*kept, "_value", "_left"), "dedup-live")
+    met = (
+        (F.col("_value_a") == F.col("_value_b")) & (F.col("a") < F.col("b")) & (F.col("_comp_a") != F.col("_comp_b")) & _fitting("_size_a", "_size_b", percent)
+        & (F.least("_left_a", "_left_b") * (100 + percent) >= (F.col("_size_a") + F.col("_size_b")) * percent)
+    )
+    if within:
+        met = met & (F.col(f"{within}_a") == F.col(f"{within}_b"))
+    return _side(live, "a").join(_side(live, "b"), met).select("a", "b").distinct()
 
 
 def _short(value):
@@ -293,10 +326,14 @@ def link_classes(classes: DataFrame, docs: DataFrame, shingle: int, percent: int
             break
         taken = components(close)
 
-    candidates = written(candidates.select("a", "b").union(_cross_pairs(_labelled(starts, taken), percent, matches)).distinct(), "dedup-candidates")
-    wanted = starts.join(_ends(candidates), "_class", "left_semi").select("_id", "_hash", F.col("_class").alias("_of"))
+    grouped = _labelled(starts, taken)
+    crossed, crowd = _cross_pairs(grouped, percent, matches)
+    candidates = written(candidates.select("a", "b").union(crossed).distinct(), "dedup-candidates")
+    wanted = starts.join(_ends(candidates).union(crowd), "_class", "left_semi").select("_id", "_hash", F.col("_class").alias("_of"))
     bodies = docs.join(wanted, ["_id", "_hash"]).dropDuplicates(["_of"])
     sets = written(with_sets(bodies, "_text", shingle).select(F.col("_of").alias("_class"), "_set"), "dedup-sets")
+    if not crowd.isEmpty():
+        candidates = written(candidates.union(_rare_pairs(grouped.join(crowd, "_class", "left_semi"), sets, percent)).distinct(), "dedup-candidates")
     links = written(_confirmed(candidates, sets, percent), "dedup-links")
     if links.isEmpty():
         return None
@@ -307,7 +344,10 @@ def link_classes(classes: DataFrame, docs: DataFrame, shingle: int, percent: int
     groups = _labelled(taken.withColumnRenamed("_comp", "_taken"), labels)
     split = groups.groupBy("_taken").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high")).filter("_low != _high").select("_taken")
     again = starts.join(written(groups.join(split, "_taken"), "dedup-split"), "_class")
-    more = _cross_pairs(again, percent, matches, "_taken").distinct().join(candidates, ["a", "b"], "left_anti")
+    more, crowd = _cross_pairs(again, percent, matches, "_taken")
+    if not crowd.isEmpty():  # all classes taken as linked are ends of candidates, so their sets are there
+        more = more.union(_rare_pairs(again.join(crowd, "_class", "left_semi"), sets, percent, "_taken"))
+    more = more.distinct().join(candidates, ["a", "b"], "left_anti")
     found = written(_confirmed(written(more, "dedup-pairs"), sets, percent), "dedup-links")
     return labels if found.isEmpty() else components(links.union(found))
 
