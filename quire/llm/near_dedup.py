@@ -47,6 +47,8 @@ from quire.session import written
 
 #: lists of more classes are crowded
 CROWD = 100
+#: the counts of at most so many shingles are sent to the tasks, the most frequent ones of crowded classes
+FREQUENT = 500_000
 OUT = ("n_shingles", "component_id", "kept")
 _SEED = 0x9E3779B97F4A7C15
 
@@ -263,21 +265,51 @@ def _cross_pairs(starts: DataFrame, percent: int, matches: int, within: str | No
     return _side(live, "a").join(_side(live, "b"), met).select("a", "b"), numbers.filter("_crowded").select("_class").distinct()
 
 
+def _rarest(each: DataFrame, percent: int, least: int) -> DataFrame:
+    """``each`` with _rarest in place of _set: the rarest shingles in which a link must meet, each with what is left
+    of the set from there on. All sets have one order: by the count of a shingle, for those that ``least`` classes
+    have, and before them the others, by their number. So counts are sent to the tasks and not joined."""
+    often = each.select(F.explode("_set").alias("_value")).groupBy("_value").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
+    often = often.toArrow()  # FREQUENT rows at most
+    values, counts = (often.column(c).to_numpy() for c in ("_value", "_n"))
+    by = np.argsort(values)
+    sent = each.sparkSession.sparkContext.broadcast((values[by], counts[by]))
+
+    def make():
+        values, counts = sent.value
+
+        def compute(sets):
+            flat = sets.flatten().to_numpy(zero_copy_only=False)
+            sizes = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+            n = np.zeros(len(flat), np.int64)
+            if len(values):
+                at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+                n = np.where(values[at] == flat, counts[at], 0)
+            order = np.lexsort((flat, n, row))
+            place = np.arange(len(flat)) - starts[row]
+            chosen = place < (sizes + -sizes * percent // 100 + 1)[row]
+            if least == 2:  # one that no other class has takes up a place and is not posted
+                chosen &= n[order] > 0
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[chosen], minlength=len(sizes)))])
+            made = pa.StructArray.from_arrays([pa.array(flat[order][chosen]), pa.array((sizes[row] - place)[chosen])], names=["_value", "_left"])
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)]
+
+        return compute
+
+    return add_columns(each, [F.col("_set")], "_rarest array<struct<_value: long, _left: long>>", make, drop=["_set"])
+
+
 def _rare_pairs(classes: DataFrame, sets: DataFrame, percent: int, within: str | None = None) -> DataFrame:
     """(a, b): classes of different components (and, if asked, equal ``within``) that share one of the rarest shingles
     of both. Sets with the similarity have ``percent`` hundredths of the greater one in common, so they meet in
     the first ``size - that + 1`` of each; from the first shingle they share, both must have enough left. ``classes``
     has _comp and _size."""
     kept = ["_class", "_comp", "_size", *([within] if within else [])]
-    each = written(classes.select(*kept).join(sets, "_class").select(*kept, F.explode("_set").alias("_value")), "dedup-shingles")
-    shared = each.groupBy("_value").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    # what no other class has counts as the rarest: it takes up places and is not posted
-    found = each.join(shared, "_value").groupBy(*kept).agg(F.array_sort(F.collect_list(F.struct("_n", "_value"))).alias("_shared"))
-    found = found.withColumn("_own", F.col("_size") - F.size("_shared"))
-    places = F.col("_size") - F.ceil(F.col("_size") * percent / 100) + 1 - F.col("_own")
-    posted = found.filter(places > 0).select(*kept, "_own", F.posexplode(F.slice("_shared", F.lit(1), places.cast("int"))).alias("_place", "_one"))
-    left = F.col("_size") - F.col("_own") - F.col("_place")
-    posted = written(posted.select(*kept, F.col("_one._value").alias("_value"), left.alias("_left")), "dedup-shared")
+    each = written(classes.select(*kept).join(sets, "_class"), "dedup-shingles")
+    total = each.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    posted = _rarest(each, percent, max(2, math.ceil(total / FREQUENT)))
+    posted = written(posted.select(*kept, F.inline("_rarest")), "dedup-shared")
     by = ["_value", *([within] if within else [])]
     lists = posted.groupBy(*by).agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high"), F.min("_size").alias("_least"))
     # a size above what is left for leaves no partner in the list
