@@ -35,6 +35,7 @@ rows. Other columns are kept; an input column named like an output column is rep
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -265,15 +266,40 @@ def _cross_pairs(starts: DataFrame, percent: int, matches: int, within: str | No
     return _side(live, "a").join(_side(live, "b"), met).select("a", "b"), numbers.filter("_crowded").select("_class").distinct()
 
 
-def _rarest(each: DataFrame, percent: int, least: int) -> DataFrame:
-    """``each`` with _rarest in place of _set: the rarest shingles in which a link must meet, each with what is left
-    of the set from there on. All sets have one order: by the count of a shingle, for those that ``least`` classes
-    have, and before them the others, by their number. So counts are sent to the tasks and not joined."""
-    often = each.select(F.explode("_set").alias("_value")).groupBy("_value").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
-    often = often.toArrow()  # FREQUENT rows at most
-    values, counts = (often.column(c).to_numpy() for c in ("_value", "_n"))
+def _frequent(each: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The most frequent shingles of ``each`` (FREQUENT at most), sorted, how many classes have them, and the
+    least such number that is listed. Counts are summed in each task before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+
+        def out() -> pa.RecordBatch:
+            value, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(value), pa.array(n.astype(np.int64))], names=["_value", "_n"])
+
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy(zero_copy_only=False))
+            waiting += len(held[-1])
+            if waiting > 4_000_000:
+                yield out()
+                held, waiting = [], 0
+        yield out()
+
+    total = each.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    least = max(2, math.ceil(total / FREQUENT))
+    found = each.select("_set").mapInArrow(run, "_value long, _n long").groupBy("_value").agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= least).toArrow()
+    values, counts = (found.column(c).to_numpy() for c in ("_value", "_n"))
     by = np.argsort(values)
-    sent = each.sparkSession.sparkContext.broadcast((values[by], counts[by]))
+    return values[by], counts[by], least
+
+
+def _rarest(each: DataFrame, percent: int, frequent: tuple[np.ndarray, np.ndarray, int], complete: bool) -> DataFrame:
+    """``each`` with _rarest in place of _set: the rarest shingles in which a link must meet, each with what is left
+    of the set from there on. All sets have one order: by the count of a shingle, for those that are listed, and
+    before them the others, by their number. So counts are sent to the tasks and not joined. ``complete``: the
+    counts are those of ``each``."""
+    sent = each.sparkSession.sparkContext.broadcast(frequent[:2])
+    alone = complete and frequent[2] == 2
 
     def make():
         values, counts = sent.value
@@ -289,7 +315,7 @@ def _rarest(each: DataFrame, percent: int, least: int) -> DataFrame:
             order = np.lexsort((flat, n, row))
             place = np.arange(len(flat)) - starts[row]
             chosen = place < (sizes + -sizes * percent // 100 + 1)[row]
-            if least == 2:  # one that no other class has takes up a place and is not posted
+            if alone:  # what no other class has takes up a place and is not posted
                 chosen &= n[order] > 0
             ends = np.concatenate([[0], np.cumsum(np.bincount(row[chosen], minlength=len(sizes)))])
             made = pa.StructArray.from_arrays([pa.array(flat[order][chosen]), pa.array((sizes[row] - place)[chosen])], names=["_value", "_left"])
@@ -300,15 +326,17 @@ def _rarest(each: DataFrame, percent: int, least: int) -> DataFrame:
     return add_columns(each, [F.col("_set")], "_rarest array<struct<_value: long, _left: long>>", make, drop=["_set"])
 
 
-def _rare_pairs(classes: DataFrame, sets: DataFrame, percent: int, within: str | None = None) -> DataFrame:
+def _rare_pairs(
+    classes: DataFrame, sets: DataFrame, percent: int, within: str | None = None, frequent: tuple[np.ndarray, np.ndarray, int] | None = None
+) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray, int]]:
     """(a, b): classes of different components (and, if asked, equal ``within``) that share one of the rarest shingles
     of both. Sets with the similarity have ``percent`` hundredths of the greater one in common, so they meet in
     the first ``size - that + 1`` of each; from the first shingle they share, both must have enough left. ``classes``
-    has _comp and _size."""
+    has _comp and _size. Also the counts that shingles were ordered by; those of other classes (``frequent``) do too."""
     kept = ["_class", "_comp", "_size", *([within] if within else [])]
     each = written(classes.select(*kept).join(sets, "_class"), "dedup-shingles")
-    total = each.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
-    posted = _rarest(each, percent, max(2, math.ceil(total / FREQUENT)))
+    ordered = _frequent(each) if frequent is None else frequent
+    posted = _rarest(each, percent, ordered, frequent is None)
     posted = written(posted.select(*kept, F.inline("_rarest")), "dedup-shared")
     by = ["_value", *([within] if within else [])]
     lists = posted.groupBy(*by).agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high"), F.min("_size").alias("_least"))
@@ -321,7 +349,7 @@ def _rare_pairs(classes: DataFrame, sets: DataFrame, percent: int, within: str |
     )
     if within:
         met = met & (F.col(f"{within}_a") == F.col(f"{within}_b"))
-    return _side(live, "a").join(_side(live, "b"), met).select("a", "b").distinct()
+    return _side(live, "a").join(_side(live, "b"), met).select("a", "b").distinct(), ordered
 
 
 def _short(value):
@@ -364,8 +392,10 @@ def link_classes(classes: DataFrame, docs: DataFrame, shingle: int, percent: int
     wanted = starts.join(_ends(candidates).union(crowd), "_class", "left_semi").select("_id", "_hash", F.col("_class").alias("_of"))
     bodies = docs.join(wanted, ["_id", "_hash"]).dropDuplicates(["_of"])
     sets = written(with_sets(bodies, "_text", shingle).select(F.col("_of").alias("_class"), "_set"), "dedup-sets")
+    frequent = None
     if not crowd.isEmpty():
-        candidates = written(candidates.union(_rare_pairs(grouped.join(crowd, "_class", "left_semi"), sets, percent)).distinct(), "dedup-candidates")
+        rare, frequent = _rare_pairs(grouped.join(crowd, "_class", "left_semi"), sets, percent)
+        candidates = written(candidates.union(rare).distinct(), "dedup-candidates")
     links = written(_confirmed(candidates, sets, percent), "dedup-links")
     if links.isEmpty():
         return None
@@ -378,7 +408,7 @@ def link_classes(classes: DataFrame, docs: DataFrame, shingle: int, percent: int
     again = starts.join(written(groups.join(split, "_taken"), "dedup-split"), "_class")
     more, crowd = _cross_pairs(again, percent, matches, "_taken")
     if not crowd.isEmpty():  # all classes taken as linked are ends of candidates, so their sets are there
-        more = more.union(_rare_pairs(again.join(crowd, "_class", "left_semi"), sets, percent, "_taken"))
+        more = more.union(_rare_pairs(again.join(crowd, "_class", "left_semi"), sets, percent, "_taken", frequent)[0])
     more = more.distinct().join(candidates, ["a", "b"], "left_anti")
     found = written(_confirmed(written(more, "dedup-pairs"), sets, percent), "dedup-links")
     return labels if found.isEmpty() else components(links.union(found))
