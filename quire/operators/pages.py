@@ -31,12 +31,13 @@ def rescue(finals: DataFrame, second: DataFrame) -> DataFrame:
     did not fail; the marker of a failed call leaves with it."""
     again = second.filter(~F.coalesce("ai_failed", F.lit(False)))
     cols = [c for c in finals.columns if c not in (*KEY, "ai_failed")]
-    new = again.select(*KEY, F.struct(*cols).alias("_new"))
-    failed = finals.filter(F.coalesce("ai_failed", F.lit(False))).join(new, KEY, "left")
+    new = again.select(*(F.col(k).alias(f"_new_{k}") for k in KEY), F.struct(*cols).alias("_new"))
+    # final pages are made once: the others go through the join too and meet nothing there
+    same = [F.col(k) == F.col(f"_new_{k}") for k in KEY]
+    joined = finals.join(new, same[0] & same[1] & F.coalesce("ai_failed", F.lit(False)), "left")
     # a replaced row takes the new values even where they are NULL
     picked = [F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in cols]
-    rest = finals.filter(~F.coalesce("ai_failed", F.lit(False))).select(*KEY, *cols)
-    return rest.unionByName(failed.select(*KEY, *picked))
+    return joined.select(*KEY, *picked)
 
 
 def fallback_rerun(finals: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -136,7 +136,7 @@ def rescue_round(spark, folder):
     long = F.char_length("_md") > 200
     second = again.withColumn("r_markdown", F.when(long, F.col("_md"))).withColumn(
         "r_error", F.when(~long, F.col("r_error"))).withColumn("r_no_text", F.lit(False)).drop("_md")
-    answers = page_state.answered(lib_drafts(spark, folder).join(second.select("job_id", "page"), ["job_id", "page"], "left_semi"), second)
+    answers = page_state.apply_reply(lib_drafts(spark, folder).join(page_state.measured(second), ["job_id", "page"]))
     healed = pages.rescue(finals, answers)
     return healed.select("job_id", "page", page_state.outcome().alias("outcome"), F.md5("markdown").alias("text_md5"))
 
