@@ -293,13 +293,12 @@ def _frequent(each: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return values[by], counts[by], least
 
 
-def _rarest(each: DataFrame, percent: int, frequent: tuple[np.ndarray, np.ndarray, int], complete: bool) -> DataFrame:
+def _rarest(each: DataFrame, percent: int, frequent: tuple[np.ndarray, np.ndarray, int]) -> DataFrame:
     """``each`` with _rarest in place of _set: the rarest shingles in which a link must meet, each with what is left
     of the set from there on. All sets have one order: by the count of a shingle, for those that are listed, and
-    before them the others, by their number. So counts are sent to the tasks and not joined. ``complete``: the
-    counts are those of ``each``."""
+    before them the others, by their number. So counts are sent to the tasks and not joined."""
     sent = each.sparkSession.sparkContext.broadcast(frequent[:2])
-    alone = complete and frequent[2] == 2
+    alone = frequent[2] == 2
 
     def make():
         values, counts = sent.value
@@ -326,17 +325,14 @@ def _rarest(each: DataFrame, percent: int, frequent: tuple[np.ndarray, np.ndarra
     return add_columns(each, [F.col("_set")], "_rarest array<struct<_value: long, _left: long>>", make, drop=["_set"])
 
 
-def _rare_pairs(
-    classes: DataFrame, sets: DataFrame, percent: int, within: str | None = None, frequent: tuple[np.ndarray, np.ndarray, int] | None = None
-) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray, int]]:
+def _rare_pairs(classes: DataFrame, sets: DataFrame, percent: int, within: str | None = None) -> DataFrame:
     """(a, b): classes of different components (and, if asked, equal ``within``) that share one of the rarest shingles
     of both. Sets with the similarity have ``percent`` hundredths of the greater one in common, so they meet in
     the first ``size - that + 1`` of each; from the first shingle they share, both must have enough left. ``classes``
-    has _comp and _size. Also the counts that shingles were ordered by; those of other classes (``frequent``) do too."""
+    has _comp and _size."""
     kept = ["_class", "_comp", "_size", *([within] if within else [])]
     each = written(classes.select(*kept).join(sets, "_class"), "dedup-shingles")
-    ordered = _frequent(each) if frequent is None else frequent
-    posted = _rarest(each, percent, ordered, frequent is None)
+    posted = _rarest(each, percent, _frequent(each))
     posted = written(posted.select(*kept, F.inline("_rarest")), "dedup-shared")
     by = ["_value", *([within] if within else [])]
     lists = posted.groupBy(*by).agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high"), F.min("_size").alias("_least"))
@@ -349,7 +345,7 @@ def _rare_pairs(
     )
     if within:
         met = met & (F.col(f"{within}_a") == F.col(f"{within}_b"))
-    return _side(live, "a").join(_side(live, "b"), met).select("a", "b").distinct(), ordered
+    return _side(live, "a").join(_side(live, "b"), met).select("a", "b").distinct()
 
 
 def _short(value):
@@ -392,10 +388,8 @@ def link_classes(classes: DataFrame, docs: DataFrame, shingle: int, percent: int
     wanted = starts.join(_ends(candidates).union(crowd), "_class", "left_semi").select("_id", "_hash", F.col("_class").alias("_of"))
     bodies = docs.join(wanted, ["_id", "_hash"]).dropDuplicates(["_of"])
     sets = written(with_sets(bodies, "_text", shingle).select(F.col("_of").alias("_class"), "_set"), "dedup-sets")
-    frequent = None
     if not crowd.isEmpty():
-        rare, frequent = _rare_pairs(grouped.join(crowd, "_class", "left_semi"), sets, percent)
-        candidates = written(candidates.union(rare).distinct(), "dedup-candidates")
+        candidates = written(candidates.union(_rare_pairs(grouped.join(crowd, "_class", "left_semi"), sets, percent)).distinct(), "dedup-candidates")
     links = written(_confirmed(candidates, sets, percent), "dedup-links")
     if links.isEmpty():
         return None
@@ -408,7 +402,7 @@ def link_classes(classes: DataFrame, docs: DataFrame, shingle: int, percent: int
     again = starts.join(written(groups.join(split, "_taken"), "dedup-split"), "_class")
     more, crowd = _cross_pairs(again, percent, matches, "_taken")
     if not crowd.isEmpty():  # all classes taken as linked are ends of candidates, so their sets are there
-        more = more.union(_rare_pairs(again.join(crowd, "_class", "left_semi"), sets, percent, "_taken", frequent)[0])
+        more = more.union(_rare_pairs(again.join(crowd, "_class", "left_semi"), sets, percent, "_taken"))
     more = more.distinct().join(candidates, ["a", "b"], "left_anti")
     found = written(_confirmed(written(more, "dedup-pairs"), sets, percent), "dedup-links")
     return labels if found.isEmpty() else components(links.union(found))
