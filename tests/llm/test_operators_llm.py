@@ -13,6 +13,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+from quire import session
 from quire.llm import chat, compression_score, decontamination, html_crf, language_model, license_scan, near_dedup, piece_bpe, quality_rules, sharding
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -397,6 +398,35 @@ def test_every_ngram_is_kept_at_any_input_size(spark, monkeypatch, fast):
         assert (r["n_tokens"], r["n_known"]) == (len(ws), sum((w,) in counts[0] for w in ws))
 
 
+def test_buckets_and_their_size_give_the_same(spark, tmp_path, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(40) ** 2 // 8}" for _ in range(3000)]
+    texts = [" ".join(words[i : i + 1 + i % 40]) for i in range(0, 3000, 20)] + ["", None, "w0 unseen w0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    for bucket, most, chunk in ((1 << 19, 200_000, 4_000_000), (60, 200_000, 300), (60, 10, 300)):
+        monkeypatch.setattr(language_model, "BUCKET", bucket)  # small: common words have many buckets
+        monkeypatch.setattr(language_model, "WORDS", most)
+        monkeypatch.setattr(language_model, "CHUNK", chunk)
+        model = language_model.fit(docs.filter("doc_id % 3 > 0"))
+        assert (model.tables.deal.parts > 1).any() == (bucket == 60)
+        got = language_model.score(docs, model).collect()
+        seen.append({r["doc_id"]: tuple(r)[1:] for r in got})
+        assert len(got) == len(texts)
+    for other in seen[1:]:
+        for i, values in seen[0].items():
+            assert other[i][:2] == values[:2]
+            assert other[i][2:] == pytest.approx(values[2:])
+
+
+def test_whole_model_takes_few_bytes_an_ngram(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "_local_folder", lambda application: str(tmp_path))
+    rng = random.Random(13)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(400)) for _ in range(100)]
+    language_model.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 12 * 40_000  # nearly all are seen once
+
+
 def test_backoff_probabilities_sum_to_one():
     rng = np.random.default_rng(8)
     words = [f"w{i}" for i in range(12)]
