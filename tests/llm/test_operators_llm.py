@@ -420,7 +420,7 @@ def test_buckets_and_their_size_give_the_same(spark, tmp_path, monkeypatch):
 
 
 def test_whole_model_takes_few_bytes_an_ngram(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(session, "_local_folder", lambda application: str(tmp_path))
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
     rng = random.Random(13)
     texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(400)) for _ in range(100)]
     language_model.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
