@@ -86,9 +86,13 @@ def measured(replies: DataFrame) -> DataFrame:
     return replies.withColumns(dict(zip(MEASURES, made, strict=True)))
 
 
-def answered(drafts: DataFrame, replies: DataFrame, keys: Sequence[str] = ("job_id", "page")) -> DataFrame:
-    """Final pages of drafts and their replies, one at most for each."""
-    return apply_reply(drafts.withColumn("_written", F.col("markdown") != "").join(measured(replies), list(keys), "left"))
+def answered(drafts: DataFrame, replies: DataFrame, keys: Sequence[str] = ("job_id", "page"), by: Sequence[str] = ()) -> DataFrame:
+    """Final pages of drafts and their replies, one at most for each. ``by``: the keys to deal both
+    out by, where all pages of a document are wanted together afterwards."""
+    left, right = drafts.withColumn("_written", F.col("markdown") != ""), measured(replies)
+    if by:
+        left, right = left.repartition(*by), right.repartition(*by)
+    return apply_reply(left.join(right, list(keys), "left"))
 
 
 def checked(joined: DataFrame) -> DataFrame:

@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 @dataclass(frozen=True)
 class Part:
     """A folder below the table's, the instant of its commit (microseconds, rising with the
-    versions), and the hash bucket it holds (-1: rows of all)."""
+    versions), the hash bucket it holds (-1: rows of all), and, where its rows are patches, the
+    names of the fields they set, with commas."""
 
     folder: str
     at: int
     bucket: int = -1
+    fields: str = ""
 
 
 class Versions:
@@ -81,12 +83,16 @@ class Versions:
             if made is None or self.commit(base, *made):
                 return
 
-    def write(self, rows: DataFrame, *partition: str) -> str:
+    def write(self, rows: DataFrame, *partition: str, **options: str) -> str:
         """Writes rows as a part that does not count yet; its folder."""
         folder = f"data-{uuid.uuid4().hex}"
-        rows.write.partitionBy(*partition).parquet(f"{self.path}/{folder}")
+        rows.write.options(**options).partitionBy(*partition).parquet(f"{self.path}/{folder}")
         return folder
 
+    def drop(self, folder: str) -> None:
+        """Deletes a part that has never counted."""
+        self._files.delete(self._path(f"{self.path}/{folder}"), True)
+
     def read(self, parts: Sequence[Part], schema: str) -> DataFrame:
         """The rows of some parts."""
         folders = [f"{self.path}/{p.folder}" for p in parts]

@@ -11,6 +11,8 @@ the Parquet scans below it. ``SQL`` holds the same views for the comparison.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,8 +162,8 @@ def lib_drafts(spark: SparkSession, folder: str) -> DataFrame:
     return page_state.draft_from_text(lib_pages(spark, folder))
 
 
-def lib_finals(spark: SparkSession, folder: str) -> DataFrame:
-    return page_state.answered(lib_drafts(spark, folder), lib_replies(spark, folder))
+def lib_finals(spark: SparkSession, folder: str, by: Sequence[str] = ()) -> DataFrame:
+    return page_state.answered(lib_drafts(spark, folder), lib_replies(spark, folder), by=by)
 
 
 def register(spark: SparkSession, folder: str) -> list[str]:
